@@ -59,7 +59,7 @@ def bronze_rejects(messages: DataFrame) -> DataFrame:
             "source_partition",
             "source_offset",
             "raw_event",
-            F.when(F.get_json_object("raw_event", "$").isNull(), "malformed_json")
+            F.when(F.json_object_keys("raw_event").isNull(), "malformed_json")
             .when(F.col("event.schema_version").isNull(), "missing_schema_version")
             .otherwise("missing_event_type")
             .alias("reason"),

@@ -206,6 +206,12 @@ def gap_evidence(gaps: DataFrame, alerts: DataFrame, start: Column, end: Column,
     )
 
 
+def freshness_check(fresh: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Freshness of the asked symbols beside the evidence found for each."""
+    found = evidence.select(F.col("query_id").alias("symbol"), "result_rank", "source_uri", "chunk_index", "title", "score")
+    return fresh.select("symbol", "exchange", "event_time", "freshness_lag_ms", "status").join(found, "symbol", "left")
+
+
 def lineage_trace(bar_rows: DataFrame, trades: DataFrame, bronze: DataFrame, symbol: str | None = None, at: Column | None = None) -> DataFrame:
     """From bars to the trades and the bronze rows behind them.
 

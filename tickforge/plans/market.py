@@ -159,3 +159,28 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze_rows(typed_messages(spark, sf_dir), RUN_ID, processed_at())
+
+
+def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as vendor records of twelve instruments: errors are symbol mappings,
+    purchases bare trades, the rest books, of which clicks also traded."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    mapping, bare = "event_type = 'error'", "event_type = 'purchase'"
+    return events.withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS bigint)")).selectExpr(
+        "event_id AS record_id",
+        f"""CASE WHEN {mapping} THEN 'SymbolMappingMsg' WHEN {bare} THEN 'TradeMsg'
+                 WHEN event_type = 'signup' THEN 'BBOMsg' ELSE 'MBP1Msg' END AS record_type""",
+        "IF(user_id % 50 = 49, NULL, 100 + user_id % 12) AS instrument_id",
+        "unix_micros(ts) * 1000 + 789 AS ts_event",
+        "IF(k % 11 = 0, NULL, event_id + 1) AS sequence",
+        f"IF({mapping} OR k % 13 = 0, NULL, value) AS pretty_price",
+        f"IF({mapping}, NULL, k + 1) AS size",
+        "CASE WHEN event_type IN ('click', 'purchase') THEN 'T' WHEN event_type = 'view' THEN 'A' END AS action",
+        "CASE k % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' END AS side",
+        f"""IF({mapping} OR {bare}, NULL, array(named_struct(
+                'pretty_bid_px', value - 5, 'pretty_ask_px', value + 0.25D, 'bid_sz', k, 'ask_sz', k + 2))) AS levels""",
+        "CAST(NULL AS string) AS symbol",
+        f"IF({mapping} OR k % 7 <> 0, NULL, concat('RAW', k)) AS raw_symbol",
+        f"IF({mapping} AND k % 5 <> 0, concat('IN', k % 4), NULL) AS stype_in_symbol",
+        f"IF({mapping}, IF(k % 2 = 0, cast(1000 + k AS string), concat('OUT', k)), NULL) AS stype_out_symbol",
+    )
