@@ -161,6 +161,13 @@ PARTS = {
                  min(source_offset) AS first_source_offset, max(source_offset) AS last_source_offset,
                  max(job_run_id) AS job_run_id, max(processed_at) AS processed_at
           FROM silver_t GROUP BY ALL)""",
+    "sent_bars": """
+    SELECT symbol, exchange, date_trunc('second', event_time) AS window_start, max(sequence_number) AS last_sequence,
+           first(price ORDER BY event_time, sequence_number, source_offset, source_topic, source_partition) AS open,
+           max(price) AS high, min(price) AS low,
+           last(price ORDER BY event_time, sequence_number, source_offset, source_topic, source_partition) AS close,
+           sum(size)::BIGINT AS volume, sum((price * size)::DECIMAL(27,9))::DOUBLE / sum(size) AS vwap
+    FROM trade_rows GROUP BY ALL""",
     "spreads": """
     SELECT '1.0' AS schema_version, symbol, exchange, date_trunc('second', event_time) AS window_start, event_date,
            count(*) AS quote_count, min(spread) AS min_spread, max(spread) AS max_spread,
@@ -268,6 +275,16 @@ PARTS = {
     "sent_feed": """
     SELECT *, event_id % 43 = 0 AS cut, event_id % 31 = 0 AS lacking, CASE WHEN event_id % 29 = 0 THEN 'halt' ELSE event_type END AS sent_type
     FROM events_sent WHERE event_type <> 'quality_alert'""",
+    "feed_ok": "SELECT * FROM sent_feed WHERE NOT cut AND NOT lacking AND sent_type = event_type",
+    "feed_published": f"""
+    SELECT 'market.raw.v1' AS topic, symbol AS key, sequence_number FROM feed_ok
+    UNION ALL SELECT source_topic, symbol, sequence_number FROM feed_ok
+    UNION ALL SELECT 'market.quality.alerts.v1', CASE WHEN cut THEN 'UNKNOWN' ELSE symbol END, CASE WHEN cut THEN 0 ELSE sequence_number END
+    FROM sent_feed WHERE cut OR lacking OR sent_type <> event_type
+    UNION ALL SELECT 'market.quality.alerts.v1', symbol, sequence_number
+    FROM (SELECT *, max(sequence_number) OVER (PARTITION BY symbol, exchange ORDER BY {ARRIVAL}
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM feed_ok)
+    WHERE sequence_number <> previous + 1""",
     "ticks": f"SELECT unnest(range(0, 186)) AS tick, {START} + to_seconds(unnest(range(0, 186))) AS tick_time",
     "records": """
     SELECT event_id AS record_id, event_type, CASE WHEN user_id % 50 = 49 THEN NULL ELSE 100 + user_id % 12 END AS instrument_id,
@@ -528,7 +545,7 @@ def _stale_sql() -> str:
     """The monitor loop itself: one step per tick, the mark carried from step to step."""
     return f"""
     WITH RECURSIVE {{parts}},
-    lags AS (
+    lags AS MATERIALIZED (
       SELECT t.tick, t.tick_time, q.symbol,
              arg_max(q.exchange, row(q.ingest_time, q.source_topic, q.source_partition, q.source_offset)) AS exchange,
              greatest(0, epoch_us(t.tick_time) - epoch_us(arg_max(q.event_time, row(q.ingest_time, q.source_topic, q.source_partition, q.source_offset)))) // 1000 AS lag_ms

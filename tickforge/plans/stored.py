@@ -1,2 +1,222 @@
-STORED = {}
-STORED_SQL = {}
+"""Registered queries that write under the shared folder and read back: sinks, tables
+and streams run to the end of what the given tables hold."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+from tickforge.contracts import ALERTS_TOPIC, BARS_TOPIC, METRICS_TOPIC, QUOTES_TOPIC, RAW_TOPIC, TOP_OF_BOOK_TOPIC, TRADES_TOPIC
+from tickforge.operators import feed, gold, live, reports, silver, vectors
+from tickforge.plans import documents, market
+from tickforge.plans.queries import DAY, Market
+from tickforge.session import ROCKSDB_STATE, scratch_path
+from tickforge.sources import tables, topics
+from tickforge.streaming import jobs, sinks, stateful
+
+MIXED = "mixed"
+
+
+def _place(m: Market, name: str) -> str:
+    return scratch_path(m.spark, name)
+
+
+def _stored(m: Market, messages: DataFrame, place: str) -> DataFrame:
+    """Messages written as JSON files and read back as a stream."""
+    topics.write_topic(messages, MIXED, path=place)
+    return topics.read_topics(m.spark, (MIXED,), "json", path=place)
+
+
+def _streamed(m: Market, name: str, build, messages: DataFrame | None = None) -> DataFrame:
+    """Run a stream over the messages into a table and read that table."""
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+    place = _place(m, name)
+    stream = build(_stored(m, m.messages if messages is None else messages, f"{place}/topics"))
+    jobs.run_available(stream, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return m.spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
+def _bronze_ingest(m: Market) -> DataFrame:
+    place = _place(m, "bronze")
+    stream = _stored(m, m.messages, f"{place}/topics")
+    jobs.bronze_ingest(stream, f"{place}/table", f"{place}/checkpoint", market.RUN_ID, market.processed_at()).awaitTermination()
+    return m.spark.read.parquet(f"{place}/table").drop("raw_event")
+
+
+def _bars(m: Market) -> DataFrame:
+    """Bars as they stand at the end of the stream, the open ones too."""
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+    place = _place(m, "bars")
+    stream = jobs.bar_stream(_stored(m, m.messages, f"{place}/topics"))
+    latest = jobs.LatestRows(m.spark, f"{place}/bars", ["symbol", "exchange", "event_time"])
+    jobs.each_batch(stream, latest.write, f"{place}/checkpoint", output="update").awaitTermination()
+    return latest.read().select(*stream.columns)
+
+
+def _table_overwrite(m: Market) -> DataFrame:
+    """Write trades by date, then replace one date by itself, and read all back."""
+    store = tables.TableStore(m.spark, _place(m, "lakehouse"))
+    store.overwrite(m.trades, "silver_trades")
+    store.overwrite(reports.event_date_filter(m.trades, DAY), "silver_trades", only_present_partitions=True)
+    return store.read("silver_trades")
+
+
+def _table_read(m: Market) -> DataFrame:
+    store = tables.TableStore(m.spark, _place(m, "lakehouse"))
+    store.overwrite(m.quotes, "silver_quotes")
+    return gold.spread_features(store.read("silver_quotes"))
+
+
+def _table_append(m: Market) -> DataFrame:
+    """Two runs of the report after each other in one table."""
+    store = tables.TableStore(m.spark, _place(m, "lakehouse"))
+    path = f"{store.base_path}/reports/quality"
+    for run in ("run-1", "run-2"):
+        shown = {"silver_trades": m.trades, "silver_quotes": m.quotes}
+        store.append(reports.quality_report(shown, DAY, run, market.processed_at()), path)
+    return store.read_path(path)
+
+
+def _replay_output(m: Market) -> DataFrame:
+    store = tables.TableStore(m.spark, _place(m, "lakehouse"))
+    return store.read_path(store.replay_output(reports.replay_dry_run(m.bronze, DAY), DAY))
+
+
+def _register_table(m: Market) -> DataFrame:
+    place = _place(m, "lakehouse")
+    store = tables.TableStore(m.spark, place)
+    store.overwrite(m.bars, "gold_bars_1s")
+    name = store.register("gold_bars_1s", "research_" + place.rsplit("-", 1)[-1])
+    return m.spark.sql(f"SELECT symbol, exchange, count(*) AS bar_count, sum(volume) AS volume FROM {name} GROUP BY symbol, exchange")
+
+
+def _index(m: Market) -> DataFrame:
+    path = _place(m, "index")
+    tables.save_index(vectors.with_embedding(documents.turn_chunks(m.spark, m.sf_dir)), path)
+    return tables.load_index(m.spark, path).select("source_uri", "chunk_index", F.size("embedding").alias("slots"))
+
+
+def _audit(m: Market) -> DataFrame:
+    path = _place(m, "audit")
+    tables.append_audit(documents.audit_log(m.spark, m.sf_dir), path)
+    return m.spark.read.parquet(path).groupBy("tool_name", "result_status").agg(
+        F.count(F.lit(1)).alias("call_count"), F.sum("duration_ms").alias("duration_ms")
+    )
+
+
+def _derived(m: Market) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Derived events per topic with the fields of their message."""
+    quotes, trades = m.quote_rows, m.trade_rows
+    frames = {
+        QUOTES_TOPIC: quotes.withColumn("event_type", F.lit("quote")).select(*feed.QUOTE_COLUMNS, *live.SOURCE),
+        TOP_OF_BOOK_TOPIC: live.top_of_book(quotes, market.processed_at()),
+        BARS_TOPIC: live.bar_updates(trades, hot=m.hot),
+        METRICS_TOPIC: live.rolling_metrics(trades, hot=m.hot),
+    }
+    return {topic: (df, [c for c in df.columns if c not in live.SOURCE]) for topic, df in frames.items()}
+
+
+def _derived_topic_sink(m: Market) -> DataFrame:
+    place = _place(m, "topics")
+    for topic, (df, fields) in _derived(m).items():
+        topics.write_topic(topics.as_messages(df, topic, fields), topic, path=place)
+    names = (QUOTES_TOPIC, TOP_OF_BOOK_TOPIC, BARS_TOPIC, METRICS_TOPIC)
+    back = topics.read_topics(m.spark, names, "json", streaming=False, path=place)
+    return back.select("topic", "key", "partition", "offset", F.get_json_object("value", "$.sequence_number").cast("long").alias("sequence_number"))
+
+
+def _stream_hot_state(m: Market) -> DataFrame:
+    place = _place(m, "hot")
+    messages = reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
+    state = sinks.HotState(m.spark, f"{place}/state")
+    jobs.each_batch(_stored(m, messages, f"{place}/topics"), state.upsert, f"{place}/checkpoint").awaitTermination()
+    return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at")
+
+
+def _stream_feed_handler(m: Market) -> DataFrame:
+    """Everything the handler publishes, with the sequence alerts of a second query."""
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+    place = _place(m, "feed")
+    outputs = sinks.FeedOutputs(f"{place}/published")
+    jobs.each_batch(_stored(m, m.feed, f"{place}/topics"), outputs.write, f"{place}/checkpoint").awaitTermination()
+    published = topics.read_topics(
+        m.spark, (RAW_TOPIC, TRADES_TOPIC, QUOTES_TOPIC, ALERTS_TOPIC), "json", streaming=False, path=f"{place}/published"
+    )
+    typed = topics.read_topics(m.spark, (TRADES_TOPIC, QUOTES_TOPIC), "json", path=f"{place}/published")
+    gaps = stateful.sequence_track_stream(typed)
+    jobs.run_available(gaps, f"{place}/gaps", f"{place}/gap_checkpoint").awaitTermination()
+    sent = published.select("topic", "key", F.get_json_object("value", "$.sequence_number").cast("long").alias("sequence_number"))
+    raised = m.spark.read.schema(gaps.schema).parquet(f"{place}/gaps")
+    return sent.unionByName(raised.select(F.lit(ALERTS_TOPIC).alias("topic"), F.col("symbol").alias("key"), "sequence_number"))
+
+
+STORED = {
+    "bronze_ingest": _bronze_ingest,
+    "table_overwrite": _table_overwrite,
+    "table_read": _table_read,
+    "table_append": _table_append,
+    "replay_output": _replay_output,
+    "register_table": _register_table,
+    "index_save_load": _index,
+    "audit_append": _audit,
+    "derived_topic_sink": _derived_topic_sink,
+    "stream_top_of_book": lambda m: _streamed(m, "book", lambda s: jobs.top_of_book_stream(s, market.processed_at())),
+    "stream_spread_alerts": lambda m: _streamed(m, "spread", jobs.spread_alert_stream),
+    "stream_alert_union": lambda m: _streamed(m, "alerts", jobs.alert_stream),
+    "stream_bars": _bars,
+    "stream_sequence_track": lambda m: _streamed(m, "track", stateful.sequence_track_stream),
+    "stream_rolling_metrics": lambda m: _streamed(m, "rolling", stateful.rolling_metrics_stream),
+    "stream_hot_state": _stream_hot_state,
+    "stream_feed_handler": _stream_feed_handler,
+}
+
+REPORT = """
+    SELECT '{zone}' AS zone, '{name}' AS table_name, '2024-01-01' AS report_date, count(*) AS row_count, min(event_date) AS min_event_date,
+           max(event_date) AS max_event_date, r AS job_run_id, TIMESTAMP '2024-02-01 00:00:00' AS processed_at
+    FROM {part} CROSS JOIN (VALUES ('run-1'), ('run-2')) AS runs(r) WHERE event_date = DATE '2024-01-01' GROUP BY r"""
+
+STORED_SQL = {
+    "bronze_ingest": """
+    SELECT schema_version, event_type, symbol, exchange, event_time, ingest_time, sequence_number, event_date, source_topic,
+           source_partition, source_offset, job_run_id, processed_at FROM events_sent""",
+    "table_overwrite": "SELECT * FROM silver_t",
+    "table_read": "SELECT * REPLACE (round(avg_spread, 6) AS avg_spread, round(avg_mid_price, 6) AS avg_mid_price) FROM spreads",
+    "table_append": REPORT.format(zone="silver", name="silver_trades", part="silver_t")
+    + "\n    UNION ALL "
+    + REPORT.format(zone="silver", name="silver_quotes", part="silver_q"),
+    "replay_output": f"""
+    SELECT source_topic, event_type, count(*) AS event_count, min(source_offset) AS first_offset, max(source_offset) AS last_offset,
+           min(event_time) AS first_event_time, max(event_time) AS last_event_time, DATE '{DAY}' AS replay_date
+    FROM events_sent WHERE event_date = DATE '{DAY}' GROUP BY source_topic, event_type""",
+    "register_table": "SELECT symbol, exchange, count(*) AS bar_count, sum(volume)::BIGINT AS volume FROM bars GROUP BY symbol, exchange",
+    "index_save_load": "SELECT source_uri, chunk_index, count(*)::INTEGER AS slots FROM turn_vectors GROUP BY source_uri, chunk_index",
+    "audit_append": """
+    SELECT tool_name, result_status, count(*) AS call_count, sum(duration_ms)::BIGINT AS duration_ms FROM audit GROUP BY tool_name, result_status""",
+    "derived_topic_sink": """
+    SELECT topic, symbol AS key, source_partition AS partition, source_offset AS "offset", sequence_number FROM (
+      SELECT 'market.quotes.v1' AS topic, symbol, source_partition, source_offset, sequence_number FROM quote_rows
+      UNION ALL SELECT 'market.state.top_of_book.v1', symbol, source_partition, source_offset, sequence_number FROM quote_rows
+      UNION ALL SELECT 'market.bars.1s.v1', symbol, source_partition, source_offset, sequence_number FROM trade_rows
+      UNION ALL SELECT 'market.metrics.rolling.v1', symbol, source_partition, source_offset, sequence_number FROM trade_rows)""",
+    "stream_top_of_book": "SELECT * FROM books",
+    "stream_spread_alerts": """
+    SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
+           sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM spread_alert_rows""",
+    "stream_alert_union": """
+    SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
+           sequence_number, alert_type, severity, message, observed_sequence, expected_sequence
+    FROM (SELECT * FROM spread_alert_rows UNION ALL SELECT * FROM feed_alert_rows)""",
+    "stream_bars": """
+    SELECT '1.0' AS schema_version, 'bar_1s' AS event_type, symbol, exchange, window_start AS event_time, last_sequence AS sequence_number,
+           open, high, low, close, volume, round(vwap, 6) AS vwap FROM sent_bars""",
+    "stream_sequence_track": """
+    SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
+           observed_sequence AS sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM tracked""",
+    "stream_rolling_metrics": "SELECT * REPLACE (round(rolling_vwap, 6) AS rolling_vwap) FROM metric_rows",
+    "stream_hot_state": """
+    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at
+    FROM state WHERE state_kind <> 'freshness'""",
+    "stream_feed_handler": """
+    SELECT topic, key, sequence_number FROM feed_published""",
+}
