@@ -8,16 +8,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickforge.contracts import EVENT_CONTRACTS, LINEAGE_COLUMNS, TABLE_CONTRACTS, Field
 
-NUMBER_TYPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+def _seen(field: Field) -> Column:
+    """What one document holds under a name: its JSON type, its text or its number."""
+    at = f"'$.{field.name}'"
+    parts = [F.expr(f"schema_of_variant(try_variant_get(document, {at}, 'variant'))").alias("kind")]
+    if field.one_of or field.kind == "time":
+        parts.append(F.expr(f"try_variant_get(document, {at}, 'string')").alias("text"))
+    if field.kind in ("integer", "number"):
+        parts.append(F.expr(f"try_variant_get(document, {at}, 'double')").alias("number"))
+    return F.struct(*parts).alias(field.name)
 
 
 def _type_ok(field: Field) -> Column:
-    kind = F.col("kinds").getItem(field.name)
-    if field.kind == "integer":
-        whole = F.expr(f"try_variant_get(document, '$.{field.name}', 'double')")
-        ok = kind.rlike(NUMBER_TYPES) & (whole == F.floor(whole))
-    elif field.kind == "number":
-        ok = kind.rlike(NUMBER_TYPES)
+    kind, number = F.col(f"seen.{field.name}.kind"), F.col(f"seen.{field.name}.number")
+    if field.kind in ("integer", "number"):
+        ok = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        if field.kind == "integer":
+            ok = ok & ((kind == "BIGINT") | (number == F.floor(number)))
     elif field.kind == "object":
         ok = kind.startswith("OBJECT")
     elif field.kind == "strings":
@@ -29,9 +37,8 @@ def _type_ok(field: Field) -> Column:
 
 def _rules(field: Field) -> list[Column]:
     """One column per rule: the rule's name when broken, else NULL."""
-    present = F.array_contains("names", field.name)
-    text = F.expr(f"try_variant_get(document, '$.{field.name}', 'string')")
-    number = F.expr(f"try_variant_get(document, '$.{field.name}', 'double')")
+    seen = f"seen.{field.name}"
+    present = F.col(f"{seen}.kind").isNotNull()
     rules = []
 
     def broken(when: Column, rule: str) -> None:
@@ -41,34 +48,38 @@ def _rules(field: Field) -> list[Column]:
         broken(~present, "required")
     broken(present & ~_type_ok(field), "type")
     if field.kind == "time":
-        broken(present & text.isNotNull() & F.try_to_timestamp(text).isNull(), "format")
+        text = F.col(f"{seen}.text")
+        broken(text.isNotNull() & F.try_to_timestamp(text).isNull(), "format")
     if field.one_of:
-        broken(present & ~F.coalesce(text.isin(*field.one_of), F.lit(False)), "const" if len(field.one_of) == 1 else "enum")
+        allowed = F.coalesce(F.col(f"{seen}.text").isin(*field.one_of), F.lit(False))
+        broken(present & ~allowed, "const" if len(field.one_of) == 1 else "enum")
     if field.at_least is not None:
-        broken(present & (number < field.at_least), "minimum")
+        broken(F.col(f"{seen}.number") < field.at_least, "minimum")
     if field.above is not None:
-        broken(present & (number <= field.above), "exclusiveMinimum")
+        broken(F.col(f"{seen}.number") <= field.above, "exclusiveMinimum")
     return rules
 
 
 def contract_violations(events: DataFrame, contract: str, text: str = "value") -> DataFrame:
-    """Add ``violations``: the broken rules of each JSON event, in name order."""
+    """Add ``violations``: the broken rules of each JSON event, in name order.
+
+    The document is parsed once and each field looked up once; the generators keep the
+    optimizer from repeating that for every rule.
+    """
     fields = EVENT_CONTRACTS[contract]
     known = F.array(*[F.lit(field.name) for field in fields])
-    document = F.explode(F.array(F.try_parse_json(text)))
-    kinds = F.map_from_arrays(
-        F.array(*[F.lit(field.name) for field in fields]),
-        F.array(
-            *[F.expr(f"schema_of_variant(try_variant_get(document, '$.{field.name}', 'variant'))") for field in fields]
-        ),
+    looked_up = F.struct(
+        *[_seen(field) for field in fields],
+        F.array_except(F.json_object_keys(text), known).alias("unknown"),
+    )
+    parsed = events.withColumn("document", F.explode(F.array(F.try_parse_json(text)))).withColumn(
+        "seen", F.explode(F.array(looked_up))
     )
-    parsed = events.withColumn("document", document).withColumn("names", F.json_object_keys(text)).withColumn("kinds", kinds)
     rules = [rule for field in fields for rule in _rules(field)]
-    unknown = F.transform(F.array_except("names", known), lambda name: F.concat(F.lit("unknown:"), name))
+    unknown = F.transform("seen.unknown", lambda name: F.concat(F.lit("unknown:"), name))
     found = F.array_sort(F.concat(F.array_compact(F.array(*rules)), unknown))
-    return parsed.withColumn(
-        "violations", F.when(F.col("document").isNull() | F.col("names").isNull(), F.array(F.lit("malformed"))).otherwise(found)
-    ).drop("document", "names", "kinds")
+    readable = F.col("document").isNotNull() & F.col("seen.unknown").isNotNull()
+    return parsed.withColumn("violations", F.when(readable, found).otherwise(F.array(F.lit("malformed")))).drop("document", "seen")
 
 
 def table_conformance(tables: dict[str, DataFrame]) -> DataFrame:

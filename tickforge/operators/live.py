@@ -346,19 +346,20 @@ def _lag_at(tick: Column, tick_ms: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.floor(us / F.lit(1000)).cast("long"))
 
 
-CHAIN_SCHEMA = "symbol string, exchange string, from_tick long, to_tick long, offset_us long, alert_tick long"
+TICKS_PER_PIECE = 86_400
+WALKED_SCHEMA = "symbol string, exchange string, from_tick long, to_tick long, offset_us long, alert_tick long"
 
 
 def _first_alert_ticks(tick_ms: int, stale_ms: int):
-    """Walk one chain of intervals: each alert raises the mark the next must pass."""
+    """Walk one piece of intervals: each alert raises the mark the next must pass."""
 
     def lag(offset_us: int, tick: int) -> int:
         return max(0, (offset_us + tick * tick_ms * 1000) // 1000)
 
-    def walk(chain: pd.DataFrame) -> pd.DataFrame:
-        chain = chain.sort_values("from_tick")
+    def walk(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("from_tick")
         mark, firsts = 0, []
-        for row in chain.itertuples():
+        for row in piece.itertuples():
             first = None
             tick = row.from_tick
             if lag(row.offset_us, tick) <= stale_ms:
@@ -374,7 +375,7 @@ def _first_alert_ticks(tick_ms: int, stale_ms: int):
                 step = -(-stale_ms // tick_ms)
                 mark = lag(row.offset_us, tick + (row.to_tick - tick) // step * step)
             firsts.append(first)
-        out = chain[["symbol", "exchange", "from_tick", "to_tick", "offset_us"]].copy()
+        out = piece[["symbol", "exchange", "from_tick", "to_tick", "offset_us"]].copy()
         out["alert_tick"] = pd.array(firsts, dtype="Int64")
         return out
 
@@ -386,16 +387,16 @@ def stale_alerts(quotes: DataFrame, start: Column, end: Column, tick_ms: int = 1
 
     A symbol is reported when its lag passed ``stale_ms``, and again whenever the lag
     grew by ``stale_ms`` since the last report; a fresh tick resets it. An interval
-    that starts fresh does not depend on the past, so the timeline is cut there and
-    each piece, at most one row per tick, is walked on its own.
+    that starts fresh does not depend on the past, so the timeline is cut at such an
+    interval about once in 86,400 ticks and each piece is walked on its own. A piece
+    has at most one row per tick.
     """
     intervals = freshness_intervals(quotes, ["symbol"], start, end, tick_ms)
     ordered = Window.partitionBy("symbol").orderBy("from_tick").rowsBetween(Window.unboundedPreceding, 0)
-    starts_fresh = F.when(_lag_at(F.col("from_tick"), tick_ms) <= stale_ms, 1).otherwise(0)
-    chains = intervals.select("symbol", "exchange", "from_tick", "to_tick", "offset_us").withColumn(
-        "chain", F.sum(starts_fresh).over(ordered)
-    )
-    walked = chains.groupBy("symbol", "chain").applyInPandas(_first_alert_ticks(tick_ms, stale_ms), CHAIN_SCHEMA)
+    starts_fresh = F.when(_lag_at(F.col("from_tick"), tick_ms) <= stale_ms, F.col("from_tick"))
+    cut = F.floor(F.coalesce(F.max(starts_fresh).over(ordered), F.lit(0)) / F.lit(TICKS_PER_PIECE))
+    pieces = intervals.select("symbol", "exchange", "from_tick", "to_tick", "offset_us").withColumn("piece", cut)
+    walked = pieces.groupBy("symbol", "piece").applyInPandas(_first_alert_ticks(tick_ms, stale_ms), WALKED_SCHEMA)
     step = -(-stale_ms // tick_ms)
     lag = _lag_at(F.col("tick"), tick_ms)
     fields = (

@@ -29,7 +29,7 @@ def processed_at() -> Column:
     return F.lit(PROCESSED_AT).cast("timestamp")
 
 
-def market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_events(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     based = events.selectExpr(
         "event_id",
@@ -48,7 +48,7 @@ def market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_n": Running("sum", F.when(market, 1).otherwise(0).cast("long")),
         "_skipped": Running("sum", F.when(skip, 1).otherwise(0).cast("long")),
     }
-    numbered = running(based, ["symbol", "exchange"], ["event_id"], counts)
+    numbered = running(based, ["symbol", "exchange"], ["event_id"], counts, hot)
     return numbered.withColumn(
         "sequence_number", F.when(market, F.col("_n") + F.col("_skipped")).otherwise(F.lit(0).cast("long"))
     ).drop("_n", "_skipped")
@@ -119,14 +119,14 @@ def _messages(rows: DataFrame, fields: dict[str, Column], topic: Column) -> Data
     )
 
 
-def typed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     """Canonical messages on the trade, quote and alert topics."""
     topic = (
         F.when(F.col("event_type") == "trade", TRADES_TOPIC)
         .when(F.col("event_type") == "quote", QUOTES_TOPIC)
         .otherwise(ALERTS_TOPIC)
     )
-    return _messages(arrivals(market_events(spark, sf_dir)), canonical_json(), topic).select(*MESSAGE_COLUMNS)
+    return _messages(arrivals(market_events(spark, sf_dir, hot)), canonical_json(), topic).select(*MESSAGE_COLUMNS)
 
 
 def _broken(messages: DataFrame) -> DataFrame:
@@ -135,18 +135,18 @@ def _broken(messages: DataFrame) -> DataFrame:
     return messages.withColumn("value", short).select(*MESSAGE_COLUMNS)
 
 
-def unchecked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unchecked_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     """Typed messages of which some are cut short and some lack a version."""
     fields = canonical_json()
     fields["schema_version"] = F.when(F.col("event_id") % 47 != 0, version())
     topic = F.when(F.col("event_type") == "trade", TRADES_TOPIC).when(F.col("event_type") == "quote", QUOTES_TOPIC)
     topic = F.coalesce(topic, F.lit(ALERTS_TOPIC))
-    return _broken(_messages(arrivals(market_events(spark, sf_dir)), fields, topic))
+    return _broken(_messages(arrivals(market_events(spark, sf_dir, hot)), fields, topic))
 
 
-def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     """The raw feed: trades and quotes in lower case, some of them faulty."""
-    rows = arrivals(market_events(spark, sf_dir)).where("event_type <> 'quality_alert'")
+    rows = arrivals(market_events(spark, sf_dir, hot)).where("event_type <> 'quality_alert'")
     names = ["event_type", "symbol", "exchange", "event_time", "sequence_number"]
     names += ["price", "size", "trade_id", "conditions", "bid_price", "bid_size", "ask_price", "ask_size"]
     fields = {name: column for name, column in canonical_json(lower_symbol=True).items() if name in names}
@@ -157,8 +157,8 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _broken(_messages(rows, fields, F.lit(RAW_FEED_TOPIC)))
 
 
-def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bronze_rows(typed_messages(spark, sf_dir), RUN_ID, processed_at())
+def bronze(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
+    return bronze_rows(typed_messages(spark, sf_dir, hot), RUN_ID, processed_at())
 
 
 def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:

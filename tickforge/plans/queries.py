@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,69 +57,69 @@ class Market:
         self.spark, self.sf_dir = spark, sf_dir
         self.hot = _hot(spark, sf_dir)
 
-    @property
+    @cached_property
     def messages(self) -> DataFrame:
-        return market.typed_messages(self.spark, self.sf_dir)
+        return market.typed_messages(self.spark, self.sf_dir, self.hot)
 
-    @property
+    @cached_property
     def bronze(self) -> DataFrame:
-        return market.bronze(self.spark, self.sf_dir)
+        return market.bronze(self.spark, self.sf_dir, self.hot)
 
-    @property
+    @cached_property
     def feed(self) -> DataFrame:
-        return market.feed_messages(self.spark, self.sf_dir)
+        return market.feed_messages(self.spark, self.sf_dir, self.hot)
 
-    @property
+    @cached_property
     def trade_rows(self) -> DataFrame:
         return silver.trade_rows(self.bronze)
 
-    @property
+    @cached_property
     def quote_rows(self) -> DataFrame:
         return silver.quote_rows(self.bronze)
 
-    @property
+    @cached_property
     def trades(self) -> DataFrame:
         return silver.silver_trades(self.bronze)
 
-    @property
+    @cached_property
     def quotes(self) -> DataFrame:
         return silver.silver_quotes(self.bronze)
 
-    @property
+    @cached_property
     def gaps(self) -> DataFrame:
         return silver.sequence_gaps(self.bronze, hot=self.hot)
 
-    @property
+    @cached_property
     def bars(self) -> DataFrame:
         return gold.bars(self.trades)
 
-    @property
+    @cached_property
     def spreads(self) -> DataFrame:
         return gold.spread_features(self.quotes)
 
-    @property
+    @cached_property
     def annotations(self) -> DataFrame:
         return gold.quality_annotations(self.bronze, self.gaps)
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
         return gold.research_features(self.bars, self.spreads)
 
-    @property
+    @cached_property
     def tracked(self) -> DataFrame:
         return feed.quality_alert_rows(silver.sequence_track(self.bronze, hot=self.hot))
 
-    @property
+    @cached_property
     def feed_alerts(self) -> DataFrame:
         rows = bronze_ops.payload(self.bronze, "quality_alert", contracts.ALERT_SCHEMA)
         return feed.quality_alert_rows(rows.select("symbol", "exchange", "event_time", "payload.*"))
 
-    @property
+    @cached_property
     def alerts(self) -> DataFrame:
         """Alerts of the feed, the sequence check and the quotes."""
         return self.feed_alerts.unionByName(self.tracked).unionByName(live.spread_alerts(self.quote_rows))
 
-    @property
+    @cached_property
     def state(self) -> DataFrame:
         quotes, trades = self.quote_rows, self.trade_rows
         return live.latest_state(
@@ -131,13 +132,13 @@ class Market:
             }
         )
 
-    @property
+    @cached_property
     def differences(self) -> DataFrame:
         keys = ["symbol", "exchange", "window_start"]
         fields = ["open", "high", "low", "close", "volume", "vwap"]
         return reports.live_vs_replay(live.live_bars(self.trade_rows), self.bars, keys, fields)
 
-    @property
+    @cached_property
     def tables(self) -> dict[str, DataFrame]:
         bars = self.bars
         return {
@@ -151,7 +152,7 @@ class Market:
             "gold_quality_annotations": self.annotations,
         }
 
-    @property
+    @cached_property
     def records(self) -> DataFrame:
         return market.vendor_records(self.spark, self.sf_dir)
 
@@ -249,7 +250,7 @@ def _rebuild(m: Market) -> DataFrame:
 
 BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "bronze_rows": lambda m: m.bronze,
-    "bronze_rejects": lambda m: bronze_ops.bronze_rejects(market.unchecked_messages(m.spark, m.sf_dir)).drop("raw_event"),
+    "bronze_rejects": lambda m: bronze_ops.bronze_rejects(market.unchecked_messages(m.spark, m.sf_dir, m.hot)).drop("raw_event"),
     "raw_event_decode": lambda m: bronze_ops.raw_event_decode(m.bronze, contracts.TRADE_SCHEMA).select(
         "event_type", "symbol", "source_topic", "source_partition", "source_offset", "price", "size", "trade_id", "conditions"
     ),
