@@ -10,13 +10,13 @@ def document_source(spark: SparkSession, path: str) -> DataFrame:
 
     ``path`` is relative to the folder, for a single file to the folder it is in.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if path.endswith(".md"):
         root = path.rsplit("/", 1)[0]
     else:
         root = path.rstrip("/")
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-    files = reader.text(path).select(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("uri"), "value")
+    files = reader.text(path, wholetext=True).select(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("uri"), "value")
     relative = F.regexp_extract("uri", r"\Q" + root + r"\E/(.*)$", 1)
     return files.select(relative.alias("path"), F.col("value").alias("content")).where(
         ~F.element_at(F.split("path", "/"), -1).startswith(".")
