@@ -612,8 +612,26 @@ def _conformance_sql() -> str:
     return "\nUNION ALL ".join(rows)
 
 
+DATED = {
+    "event_date": """bronze_rows lineage_columns time_range_filter event_date_filter silver_trades silver_quotes sequence_gaps
+        bars_1s spread_features volatility_features quality_annotations gold_scan research_features signal_frame
+        bronze_ingest table_overwrite table_read""".split(),
+    "min_event_date max_event_date": ["quality_report", "table_append"],
+    "replay_date": ["replay_dry_run", "replay_output"],
+}
+
+
+def _dates_as_text(name: str, sql: str) -> str:
+    """Dates as text on both sides: clients differ in how they hand out a DATE."""
+    for columns, names in DATED.items():
+        if name in names:
+            casts = ", ".join(f"{column}::VARCHAR AS {column}" for column in columns.split())
+            return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
     from tickforge.plans.stored import STORED_SQL
 
     selects = {**SELECTS, "table_conformance": _conformance_sql(), "stale_alerts": _stale_sql(), **STORED_SQL}
-    return {name: _with(sql) for name, sql in selects.items()}
+    return {name: _dates_as_text(name, _with(sql)) for name, sql in selects.items()}

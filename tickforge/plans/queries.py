@@ -34,12 +34,14 @@ def end() -> Column:
 
 
 def presented(df: DataFrame) -> DataFrame:
-    """Times without zone, doubles to six places, lists of strings as text."""
+    """Times without zone, dates and lists as text, doubles to six places."""
     shown = []
     for field in df.schema:
         column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
         if kind == "timestamp":
             column = column.cast("timestamp_ntz")
+        elif kind == "date":
+            column = column.cast("string")
         elif kind == "double":
             column = F.round(column, 6)
         elif kind.startswith("decimal"):
@@ -57,6 +59,11 @@ class Market:
         self.spark, self.sf_dir = spark, sf_dir
         self.hot = _hot(spark, sf_dir)
 
+    @property
+    def hot_seconds(self) -> bool | None:
+        """A second of a symbol is small when the symbol is; else it is looked at."""
+        return None if self.hot else False
+
     @cached_property
     def messages(self) -> DataFrame:
         return market.typed_messages(self.spark, self.sf_dir, self.hot)
@@ -126,7 +133,7 @@ class Market:
             {
                 "latest_quote": quotes.select(*live.EVENT, "bid_price", "bid_size", "ask_price", "ask_size", *live.SOURCE),
                 "top_of_book": live.top_of_book(quotes, market.processed_at()),
-                "bar_1s": live.bar_updates(trades, hot=self.hot),
+                "bar_1s": live.bar_updates(trades, hot=self.hot_seconds),
                 "metrics": live.rolling_metrics(trades, hot=self.hot),
                 "freshness": live.freshness(quotes, end()),
             }
@@ -241,7 +248,7 @@ def _rebuild(m: Market) -> DataFrame:
     quotes, trades = m.quote_rows, m.trade_rows
     derived = {
         "top_of_book": live.top_of_book(quotes, market.processed_at()),
-        "bar_1s": live.bar_updates(trades, hot=m.hot),
+        "bar_1s": live.bar_updates(trades, hot=m.hot_seconds),
         "metrics": live.rolling_metrics(trades, hot=m.hot),
     }
     state = live.rebuilt_state(derived)
@@ -281,7 +288,7 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "gold_scan": lambda m: gold.gold_scan(m.bars, "sym05", DAY, DAY),
     "research_features": lambda m: m.features,
     "signal_frame": lambda m: gold.signal_frame(m.features, hot=m.hot),
-    "bar_updates": lambda m: live.bar_updates(m.trade_rows, hot=m.hot),
+    "bar_updates": lambda m: live.bar_updates(m.trade_rows, hot=m.hot_seconds),
     "rolling_metrics": lambda m: live.rolling_metrics(m.trade_rows, hot=m.hot),
     "latest_state": _latest_state,
     "hot_state_rebuild": _rebuild,

@@ -111,7 +111,7 @@ def _derived(m: Market) -> dict[str, tuple[DataFrame, list[str]]]:
     frames = {
         QUOTES_TOPIC: quotes.withColumn("event_type", F.lit("quote")).select(*feed.QUOTE_COLUMNS, *live.SOURCE),
         TOP_OF_BOOK_TOPIC: live.top_of_book(quotes, market.processed_at()),
-        BARS_TOPIC: live.bar_updates(trades, hot=m.hot),
+        BARS_TOPIC: live.bar_updates(trades, hot=m.hot_seconds),
         METRICS_TOPIC: live.rolling_metrics(trades, hot=m.hot),
     }
     return {topic: (df, [c for c in df.columns if c not in live.SOURCE]) for topic, df in frames.items()}
@@ -134,6 +134,47 @@ def _stream_hot_state(m: Market) -> DataFrame:
     return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at")
 
 
+def _hot_state_upsert(m: Market) -> DataFrame:
+    """The same entries in two batches by hand, the second one delivered twice."""
+    messages = reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
+    state = sinks.HotState(m.spark, _place(m, "upsert"))
+    even = F.col("offset") % 8 < 4
+    for batch, part in ((0, even), (1, ~even), (1, ~even)):
+        state.upsert(messages.where(part), batch)
+    return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at")
+
+
+def _feed_source(m: Market) -> DataFrame:
+    """The raw feed read as a stream, each message parsed and judged."""
+
+    def read(stream: DataFrame) -> DataFrame:
+        checked = feed.feed_checked(stream)
+        return checked.select("topic", "partition", "offset", "ingest_time", F.col("error").isNull().alias("usable"))
+
+    return _streamed(m, "raw", read, m.feed)
+
+
+def _stream_stale_monitor(m: Market) -> DataFrame:
+    """The monitor on the wall clock: every symbol of the past is stale at its first
+    tick. Runs until each of them was reported."""
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+    place = _place(m, "stale")
+    alerts = stateful.stale_monitor_stream(_stored(m, m.messages, f"{place}/topics"))
+    symbols = m.quote_rows.select("symbol").distinct().count()
+    seen = m.spark.read.schema(alerts.schema)
+    writer = alerts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/checkpoint")
+    query = writer.trigger(processingTime="1 second").start(f"{place}/out")
+    try:
+        for _ in range(120):
+            query.awaitTermination(1)
+            if query.lastProgress and query.lastProgress["batchId"] > 0:
+                if seen.parquet(f"{place}/out").select("symbol").distinct().count() == symbols:
+                    break
+    finally:
+        query.stop()
+    return seen.parquet(f"{place}/out").select("symbol", "alert_type", "severity").distinct()
+
+
 def _stream_feed_handler(m: Market) -> DataFrame:
     """Everything the handler publishes, with the sequence alerts of a second query."""
     m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
@@ -168,6 +209,9 @@ STORED = {
     "stream_sequence_track": lambda m: _streamed(m, "track", stateful.sequence_track_stream),
     "stream_rolling_metrics": lambda m: _streamed(m, "rolling", stateful.rolling_metrics_stream),
     "stream_hot_state": _stream_hot_state,
+    "hot_state_upsert": _hot_state_upsert,
+    "feed_source": _feed_source,
+    "stream_stale_monitor": _stream_stale_monitor,
     "stream_feed_handler": _stream_feed_handler,
 }
 
@@ -217,6 +261,13 @@ STORED_SQL = {
     "stream_hot_state": """
     SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at
     FROM state WHERE state_kind <> 'freshness'""",
+    "hot_state_upsert": """
+    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at
+    FROM state WHERE state_kind <> 'freshness'""",
+    "feed_source": """
+    SELECT 'feed.synthetic.raw.v1' AS topic, source_partition AS partition, source_offset AS "offset", ingest_time,
+           NOT cut AND NOT lacking AND sent_type = event_type AS usable FROM sent_feed""",
+    "stream_stale_monitor": "SELECT DISTINCT symbol, 'stale_symbol' AS alert_type, 'warning' AS severity FROM quote_rows",
     "stream_feed_handler": """
     SELECT topic, key, sequence_number FROM feed_published""",
 }
