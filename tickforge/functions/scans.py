@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tickforge.session import work_folder
 
@@ -39,8 +39,8 @@ class Running:
     before: bool = False
 
 
-def rows_per_task(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.tickforge.rowsPerTask", str(ROWS_PER_TASK)))
+def rows_per_task(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.tickforge.rowsPerTask", str(ROWS_PER_TASK)))
 
 
 def is_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
@@ -48,7 +48,7 @@ def is_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
 
     Reads the key columns only; counts are combined before the shuffle.
     """
-    limit = limit or rows_per_task(df)
+    limit = limit or rows_per_task(df.sparkSession)
     largest = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"]
     return (largest or 0) > limit
 
@@ -56,7 +56,7 @@ def is_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
 def range_tiles(df: DataFrame, keys: list[str], order: list[str], limit: int | None = None) -> DataFrame:
     """Add an even, ordered tile number. Cut points come from a sample of the rows,
     so the tiles are stored: every later reader must see the same ones."""
-    limit = limit or rows_per_task(df)
+    limit = limit or rows_per_task(df.sparkSession)
     work_folder(df.sparkSession)
     parts = max(2, -(-df.count() // limit))
     tiled = df.repartitionByRange(parts, *keys, *order).withColumn(TILE, F.spark_partition_id())
@@ -159,7 +159,7 @@ def trailing(
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0)
         return df.select("*", *[agg.over(frame).alias(name) for name, agg in aggregates.items()])
 
-    size = max(rows_per_task(df), rows)
+    size = max(rows_per_task(df.sparkSession), rows)
     ranked = running(df, keys, order, {RANK: Running("sum", F.lit(1).cast("long"), before=True)}, hot=True)
     ranked = ranked.withColumn(RANK, F.coalesce(RANK, F.lit(0).cast("long")))
     own = F.floor(F.col(RANK) / F.lit(size)).cast("long")

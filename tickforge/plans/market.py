@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickforge.contracts import ALERTS_TOPIC, MESSAGE_SCHEMA, QUOTES_TOPIC, RAW_FEED_TOPIC, TRADES_TOPIC
-from tickforge.functions.columns import iso_utc, version
+from tickforge.contracts import ALERTS_TOPIC, FEED_SCHEMA, MESSAGE_SCHEMA, QUOTES_TOPIC, RAW_FEED_TOPIC, TRADES_TOPIC
+from tickforge.functions.columns import ISO_FORMAT
 from tickforge.functions.scans import Running, running
 from tickforge.operators.bronze import bronze_rows
 from tickforge.session import use_utc
@@ -21,8 +21,18 @@ MESSAGE_COLUMNS = MESSAGE_SCHEMA.fieldNames()
 LATE_OFFSET = 1602
 
 
+# The columns of the given tables, so that no job infers them.
+TABLE_COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return use_utc(spark).read.schema(TABLE_COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def processed_at() -> Column:
@@ -30,12 +40,11 @@ def processed_at() -> Column:
 
 
 def market_events(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
-    based = events.selectExpr(
+    based = table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "concat('SYM', lpad(cast(user_id % 12 AS string), 2, '0')) AS symbol",
         "CASE WHEN (user_id div 12) % 2 = 0 THEN 'XNAS' ELSE 'XNYS' END AS exchange",
-        "timestamp_micros(1704067200000000 + (unix_micros(ts) - 1704067200000000) div 14400) AS event_time",
+        "timestamp_micros(1704067200000000 + (unix_micros(CAST(ts AS timestamp)) - 1704067200000000) div 14400) AS event_time",
         """CASE WHEN event_type IN ('purchase', 'click') THEN 'trade'
                 WHEN event_type IN ('view', 'signup') THEN 'quote' ELSE 'quality_alert' END AS event_type""",
         "value",
@@ -58,103 +67,83 @@ def arrivals(events: DataFrame) -> DataFrame:
     """Each event once or twice, with offset, arrival time and a price step on copies."""
     late = "event_id % 41 = 0"
     copies = f"""
-        filter(array(
+        explode(filter(array(
             named_struct('offset', event_id * 4 + IF({late}, {LATE_OFFSET}, 0),
                          'delay_us', IF({late}, 7005000L, 5000L), 'step', 0D),
             IF(event_id % 53 = 0,
                named_struct('offset', event_id * 4 + 1, 'delay_us', 9000L, 'step', 0.5D), NULL)
-        ), c -> c IS NOT NULL)"""
-    return (
-        events.withColumn("copy", F.explode(F.expr(copies)))
-        .withColumn("offset", F.col("copy.offset"))
-        .withColumn("ingest_time", F.expr("timestamp_micros(unix_micros(event_time) + copy.delay_us)"))
-        .withColumn("base_price", F.expr("100 + value + copy.step"))
-        .drop("copy")
+        ), c -> c IS NOT NULL)) AS copy"""
+    return events.selectExpr("*", copies).selectExpr(
+        *events.columns,
+        "copy.offset AS offset",
+        "timestamp_micros(unix_micros(event_time) + copy.delay_us) AS ingest_time",
+        "100 + value + copy.step AS base_price",
     )
 
 
-
-def canonical_json(lower_symbol: bool = False) -> dict[str, Column]:
-    """JSON fields of each event; absent ones are NULL and left out of the text."""
-    trade = F.col("event_type") == "trade"
-    quote = F.col("event_type") == "quote"
-    alert = F.col("event_type") == "quality_alert"
-    symbol = F.lower("symbol") if lower_symbol else F.col("symbol")
-    bid = F.col("base_price")
-    return {
-        "schema_version": version(),
-        "event_type": F.col("event_type"),
-        "symbol": symbol,
-        "exchange": F.col("exchange"),
-        "event_time": iso_utc("event_time"),
-        "ingest_time": iso_utc("ingest_time"),
-        "sequence_number": F.col("sequence_number"),
-        "price": F.when(trade, bid),
-        "size": F.when(trade, F.col("k") + 1),
-        "trade_id": F.when(trade & (F.col("k") % 5 != 0), F.concat(F.lit("T"), F.col("event_id").cast("string"))),
-        "conditions": F.when(trade & (F.col("k") % 3 == 0), F.array(F.lit("odd"), F.lit("lot"))),
-        "bid_price": F.when(quote, bid),
-        "bid_size": F.when(quote, F.col("k")),
-        "ask_price": F.when(quote, bid + (F.col("k") - 5) / 100),
-        "ask_size": F.when(quote, F.col("k") + 2),
-        "alert_type": F.when(
-            alert,
-            F.when(F.col("k") % 3 == 0, "stale_symbol").when(F.col("k") % 3 == 1, "wide_spread").otherwise("crossed_market"),
-        ),
-        "severity": F.when(alert, F.when(F.col("k") % 3 == 2, "critical").otherwise("warning")),
-        "message": F.when(alert, F.concat(F.lit("Alert with level "), F.col("k").cast("string"), F.lit("."))),
-    }
-
-
-def _messages(rows: DataFrame, fields: dict[str, Column], topic: Column) -> DataFrame:
-    value = F.to_json(F.struct(*[column.alias(name) for name, column in fields.items()]))
-    return rows.select(
-        F.col("symbol").alias("key"),
-        value.alias("value"),
-        topic.alias("topic"),
+# JSON fields of each event; a NULL is left out of the text.
+FIELDS = {
+    "schema_version": "'1.0'",
+    "event_type": "event_type",
+    "symbol": "symbol",
+    "exchange": "exchange",
+    "event_time": f"date_format(event_time, \"{ISO_FORMAT}\")",
+    "ingest_time": f"date_format(ingest_time, \"{ISO_FORMAT}\")",
+    "sequence_number": "sequence_number",
+    "price": "IF(event_type = 'trade', base_price, NULL)",
+    "size": "IF(event_type = 'trade', k + 1, NULL)",
+    "trade_id": "IF(event_type = 'trade' AND k % 5 <> 0, concat('T', event_id), NULL)",
+    "conditions": "IF(event_type = 'trade' AND k % 3 = 0, array('odd', 'lot'), NULL)",
+    "bid_price": "IF(event_type = 'quote', base_price, NULL)",
+    "bid_size": "IF(event_type = 'quote', k, NULL)",
+    "ask_price": "IF(event_type = 'quote', base_price + (k - 5) / 100, NULL)",
+    "ask_size": "IF(event_type = 'quote', k + 2, NULL)",
+    "alert_type": "IF(event_type = 'quality_alert', element_at(array('stale_symbol', 'wide_spread', 'crossed_market'), int(k % 3 + 1)), NULL)",
+    "severity": "IF(event_type = 'quality_alert', IF(k % 3 = 2, 'critical', 'warning'), NULL)",
+    "message": "IF(event_type = 'quality_alert', concat('Alert with level ', k, '.'), NULL)",
+}
+TYPED_TOPIC = f"CASE event_type WHEN 'trade' THEN '{TRADES_TOPIC}' WHEN 'quote' THEN '{QUOTES_TOPIC}' ELSE '{ALERTS_TOPIC}' END"
+
+
+def _messages(rows: DataFrame, fields: dict[str, str], topic: str) -> DataFrame:
+    pairs = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return rows.selectExpr(
+        "symbol AS key",
+        f"to_json(named_struct({pairs})) AS value",
+        f"{topic} AS topic",
         "partition",
         "offset",
-        F.col("ingest_time").alias("timestamp"),
+        "ingest_time AS timestamp",
         "event_id",
     )
 
 
 def typed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     """Canonical messages on the trade, quote and alert topics."""
-    topic = (
-        F.when(F.col("event_type") == "trade", TRADES_TOPIC)
-        .when(F.col("event_type") == "quote", QUOTES_TOPIC)
-        .otherwise(ALERTS_TOPIC)
-    )
-    return _messages(arrivals(market_events(spark, sf_dir, hot)), canonical_json(), topic).select(*MESSAGE_COLUMNS)
+    return _messages(arrivals(market_events(spark, sf_dir, hot)), FIELDS, TYPED_TOPIC).drop("event_id")
 
 
 def _broken(messages: DataFrame) -> DataFrame:
     """Cut every 43rd message short, so that it is no JSON."""
-    short = F.when(F.col("event_id") % 43 == 0, F.substring("value", 1, 25)).otherwise(F.col("value"))
-    return messages.withColumn("value", short).select(*MESSAGE_COLUMNS)
+    short = "IF(event_id % 43 = 0, substring(value, 1, 25), value) AS value"
+    return messages.selectExpr(*[short if name == "value" else name for name in MESSAGE_COLUMNS])
 
 
 def unchecked_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     """Typed messages of which some are cut short and some lack a version."""
-    fields = canonical_json()
-    fields["schema_version"] = F.when(F.col("event_id") % 47 != 0, version())
-    topic = F.when(F.col("event_type") == "trade", TRADES_TOPIC).when(F.col("event_type") == "quote", QUOTES_TOPIC)
-    topic = F.coalesce(topic, F.lit(ALERTS_TOPIC))
-    return _broken(_messages(arrivals(market_events(spark, sf_dir, hot)), fields, topic))
+    fields = {**FIELDS, "schema_version": "IF(event_id % 47 <> 0, '1.0', NULL)"}
+    return _broken(_messages(arrivals(market_events(spark, sf_dir, hot)), fields, TYPED_TOPIC))
 
 
 def feed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
     """The raw feed: trades and quotes in lower case, some of them faulty."""
     rows = arrivals(market_events(spark, sf_dir, hot)).where("event_type <> 'quality_alert'")
-    names = ["event_type", "symbol", "exchange", "event_time", "sequence_number"]
-    names += ["price", "size", "trade_id", "conditions", "bid_price", "bid_size", "ask_price", "ask_size"]
-    fields = {name: column for name, column in canonical_json(lower_symbol=True).items() if name in names}
-    lacking = F.col("event_id") % 31 == 0
+    fields = {name: FIELDS[name] for name in FEED_SCHEMA.fieldNames()}
     for name in ("price", "bid_price", "ask_size"):
-        fields[name] = F.when(~lacking, fields[name])
-    fields["event_type"] = F.when(F.col("event_id") % 29 == 0, "halt").otherwise(F.col("event_type"))
-    return _broken(_messages(rows, fields, F.lit(RAW_FEED_TOPIC)))
+        fields[name] = f"IF(event_id % 31 <> 0, {fields[name]}, NULL)"
+    fields["symbol"] = "lower(symbol)"
+    fields["event_type"] = "IF(event_id % 29 = 0, 'halt', event_type)"
+    return _broken(_messages(rows, fields, f"'{RAW_FEED_TOPIC}'"))
 
 
 def bronze(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
@@ -164,14 +153,14 @@ def bronze(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFra
 def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as vendor records of twelve instruments: errors are symbol mappings,
     purchases bare trades, the rest books, of which clicks also traded."""
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    events = table(spark, sf_dir, "events")
     mapping, bare = "event_type = 'error'", "event_type = 'purchase'"
     return events.withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS bigint)")).selectExpr(
         "event_id AS record_id",
         f"""CASE WHEN {mapping} THEN 'SymbolMappingMsg' WHEN {bare} THEN 'TradeMsg'
                  WHEN event_type = 'signup' THEN 'BBOMsg' ELSE 'MBP1Msg' END AS record_type""",
         "IF(user_id % 50 = 49, NULL, 100 + user_id % 12) AS instrument_id",
-        "unix_micros(ts) * 1000 + 789 AS ts_event",
+        "unix_micros(CAST(ts AS timestamp)) * 1000 + 789 AS ts_event",
         "IF(k % 11 = 0, NULL, event_id + 1) AS sequence",
         f"IF({mapping} OR k % 13 = 0, NULL, value) AS pretty_price",
         f"IF({mapping}, NULL, k + 1) AS size",

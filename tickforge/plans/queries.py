@@ -173,10 +173,11 @@ def _hot(spark: SparkSession, sf_dir: str) -> bool:
     Asked once per folder of the raw table; an event becomes at most two messages, so
     twice its count bounds every later frame.
     """
-    events = market.table(spark, sf_dir, "events").select(F.expr("user_id % 24").alias("k"))
-    key = (spark.sparkContext.applicationId, sf_dir, rows_per_task(events))
+    limit = rows_per_task(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, limit)
     if key not in _HOT:
-        _HOT[key] = is_hot(events, ["k"], key[2] // 2)
+        events = market.table(spark, sf_dir, "events").selectExpr("user_id % 24 AS k")
+        _HOT[key] = is_hot(events, ["k"], limit // 2)
     return _HOT[key]
 
 
