@@ -14,10 +14,10 @@ from tickforge.plans.queries import Market
 
 @pytest.fixture(scope="module")
 def numbers(spark):
-    """One key with two thirds of the rows, many equal order values, some NULLs."""
+    """One key with half of the rows, a NULL key, many equal order values, NULL values."""
     rng = random.Random(7)
     rows = [
-        ("hot" if rng.random() < 0.66 else f"k{rng.randint(0, 4)}", rng.randint(0, 30), i, None if rng.random() < 0.2 else rng.randint(-9, 9))
+        (rng.choice(["hot", "hot", "hot", None, "k1", "k2"]), rng.randint(0, 30), i, None if rng.random() < 0.2 else rng.randint(-9, 9))
         for i in range(900)
     ]
     return spark.createDataFrame(rows, "k string, t int, id int, v long").persist()

@@ -23,6 +23,7 @@ from tickforge.session import work_folder
 
 ROWS_PER_TASK = 5_000_000
 TILE = "_tile"
+KEY = "_key"
 RANK = "_rank"
 BLOCK = "_block"
 
@@ -117,21 +118,23 @@ def running(
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_over(run, window).alias(name) for name, run in runs.items()])
 
-    tiled = range_tiles(df, keys, order)
-    tile_keys = [*keys, TILE]
-    within = Window.partitionBy(*tile_keys).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
+    # A struct of keys joins NULL with NULL, as the window would group them.
+    key = F.struct(*keys) if keys else F.lit(0)
+    tiled = range_tiles(df, keys, order).withColumn(KEY, key)
+    within = Window.partitionBy(KEY, TILE).orderBy(*order)
+    across = Window.partitionBy(KEY).orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        tiled.groupBy(*tile_keys)
+        tiled.groupBy(KEY, TILE)
         .agg(*[_tile_total(run, order).alias(name) for name, run in runs.items()])
         .select(
-            *tile_keys,
+            KEY,
+            TILE,
             *[_window_function(run.kind, F.col(name)).over(across).alias(f"_carry_{name}") for name, run in runs.items()],
         )
     )
     local = tiled.select("*", *[_over(run, within).alias(f"_local_{name}") for name, run in runs.items()])
     types = {name: local.schema[f"_local_{name}"].dataType for name in runs}
-    return local.join(carried, tile_keys, "left").select(
+    return local.join(carried, [KEY, TILE], "left").select(
         *df.columns,
         *[
             _combine(run.kind, F.col(f"_carry_{name}").cast(types[name]), F.col(f"_local_{name}")).alias(name)

@@ -212,17 +212,19 @@ def freshness_check(fresh: DataFrame, evidence: DataFrame) -> DataFrame:
     return fresh.select("symbol", "exchange", "event_time", "freshness_lag_ms", "status").join(found, "symbol", "left")
 
 
-def lineage_trace(bar_rows: DataFrame, trades: DataFrame, bronze: DataFrame, symbol: str | None = None, at: Column | None = None) -> DataFrame:
-    """From bars to the trades and the bronze rows behind them.
+def lineage_trace(
+    gold_rows: DataFrame, silver_rows: DataFrame, bronze: DataFrame, symbol: str | None = None, at: Column | None = None
+) -> DataFrame:
+    """From windows of a gold table to the silver and the bronze rows behind them.
 
     Restrictions on symbol and time are applied to all three tables before the joins.
     """
-    rows, behind = trades.withColumn("window_start", window_start("event_time")), bronze.where("event_type = 'trade'")
+    rows, behind = silver_rows.withColumn("window_start", window_start("event_time")), bronze
     if symbol is not None:
-        bar_rows, rows, behind = [df.where(F.col("symbol") == symbol.upper()) for df in (bar_rows, rows, behind)]
+        gold_rows, rows, behind = [df.where(F.col("symbol") == symbol.upper()) for df in (gold_rows, rows, behind)]
     if at is not None:
-        bar_rows = bar_rows.where(F.col("window_start") == window_start(at))
-        rows = rows.where(F.col("window_start") == window_start(at))
+        gold_rows = gold_rows.where((F.col("window_start") == window_start(at)) & (F.col("event_date") == F.to_date(at)))
+        rows = rows.where((F.col("window_start") == window_start(at)) & (F.col("event_date") == F.to_date(at)))
         behind = behind.where((window_start("event_time") == window_start(at)) & (F.col("event_date") == F.to_date(at)))
     source = ["source_topic", "source_partition", "source_offset"]
     keys = ["symbol", "exchange", "window_start"]
@@ -239,7 +241,7 @@ def lineage_trace(bar_rows: DataFrame, trades: DataFrame, bronze: DataFrame, sym
             F.array_sort(F.collect_set("schema_version")).alias("schema_versions"),
             F.array_sort(F.collect_set("job_run_id")).alias("job_runs"),
         )
-        .join(bar_rows.select(*keys, "trade_count"), keys)
+        .join(gold_rows.select(*keys, "first_sequence", "last_sequence"), keys)
     )
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES
+from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES, SYMBOLS
 from tickforge.operators.vectors import freshness_query, incident_query
 
 START = f"TIMESTAMP '{DAY} 00:00:00'"
@@ -315,7 +315,7 @@ PARTS = {
     "turn_vectors": _vectors("turn_chunks"),
     "page_chunks": _chunks("(SELECT url AS source_uri, page_id, html FROM pages)", "source_uri", "html"),
     "searched": _searched(SEARCHES, 5),
-    "fresh_found": _searched({"SYM03": freshness_query("SYM03")}, 5),
+    "fresh_found": _searched({symbol: freshness_query(symbol) for symbol in SYMBOLS}, 5),
     "incident_found": _searched({name: incident_query(name) for name in INCIDENTS}, 6),
     "audit": """
     SELECT event_type AS tool_name, CASE WHEN value > 100 THEN 'error' ELSE 'ok' END AS result_status, value AS latency_ms,
@@ -454,8 +454,8 @@ SELECTS = {
     WHERE lowest > 2000 AND n = 3""",
     "freshness_check": f"""
     SELECT f.symbol, f.exchange, f.event_time, f.freshness_lag_ms, f.status, s.result_rank, s.source_uri, s.chunk_index, n.title, s.score
-    FROM (SELECT * FROM fresh WHERE symbol = 'SYM03'
-          ORDER BY event_time DESC, sequence_number DESC, source_topic DESC, source_partition DESC, source_offset DESC LIMIT 1) f
+    FROM (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY symbol
+          ORDER BY event_time DESC, sequence_number DESC, source_topic DESC, source_partition DESC, source_offset DESC) = 1) f
     LEFT JOIN fresh_found s ON s.query_id = f.symbol LEFT JOIN notes n ON n.source_uri = s.source_uri""",
     "quality_report": "\n    UNION ALL ".join(
         f"""SELECT '{zone}' AS zone, '{name}' AS table_name, 'all' AS report_date, count(*) AS row_count, min(event_date) AS min_event_date,
@@ -500,10 +500,18 @@ SELECTS = {
     WHERE g.event_time BETWEEN {START} AND {END}""",
     "lineage_trace": """
     SELECT symbol, exchange, window_start, trade_count AS bronze_rows, 'market.trades.v1' AS source_topics, source_partitions,
-           first_source_offset AS first_offset, last_source_offset AS last_offset, '1.0' AS schema_versions, 'run-1' AS job_runs, trade_count
+           first_source_offset AS first_offset, last_source_offset AS last_offset, '1.0' AS schema_versions, 'run-1' AS job_runs,
+           first_sequence, last_sequence
     FROM bars JOIN (SELECT symbol, exchange, date_trunc('second', event_time) AS window_start,
                            array_to_string(list_sort(list(DISTINCT source_partition)), ',') AS source_partitions
                     FROM silver_t GROUP BY ALL) USING (symbol, exchange, window_start)""",
+    "lineage_trace_spreads": """
+    SELECT symbol, exchange, window_start, quote_count AS bronze_rows, 'market.quotes.v1' AS source_topics, source_partitions,
+           first_source_offset AS first_offset, last_source_offset AS last_offset, '1.0' AS schema_versions, 'run-1' AS job_runs,
+           first_sequence, last_sequence
+    FROM spreads JOIN (SELECT symbol, exchange, date_trunc('second', event_time) AS window_start,
+                              array_to_string(list_sort(list(DISTINCT source_partition)), ',') AS source_partitions
+                       FROM silver_q GROUP BY ALL) USING (symbol, exchange, window_start)""",
     "tool_call_errors": """
     SELECT tool_name, result_status, time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start, count(*) AS call_count,
            result_status = 'error' AND count(*) > 3 AS elevated

@@ -14,6 +14,7 @@ from tickforge.plans import documents, market
 
 DAY = "2024-01-01"
 SEARCHES = {"runbook": "the stale symbol runbook", "lineage": "la lineage de bronze and silver", "replay": "REPLAY dry run of the day"}
+SYMBOLS = [f"SYM{n:02d}" for n in range(12)]
 INCIDENTS = ["INC-001", "the-and-of"]
 
 
@@ -128,7 +129,8 @@ class Market:
 
     @cached_property
     def state(self) -> DataFrame:
-        quotes, trades = self.quote_rows, self.trade_rows
+        """Newest state per kind; the kinds made from quotes share one newest quote."""
+        quotes, trades = live.newest(self.quote_rows, ["symbol"]), self.trade_rows
         return live.latest_state(
             {
                 "latest_quote": quotes.select(*live.EVENT, "bid_price", "bid_size", "ask_price", "ask_size", *live.SOURCE),
@@ -190,10 +192,9 @@ def _evidence(m: Market) -> DataFrame:
 
 
 def _freshness_check(m: Market) -> DataFrame:
-    symbol = "SYM03"
-    quotes = m.quote_rows.where(F.col("symbol") == symbol)
-    fresh = live.newest(live.freshness(quotes, end()), ["symbol"])
-    found = vectors.vector_topk(_evidence(m), {symbol: vectors.freshness_query(symbol)})
+    """For every symbol: how fresh it is, and what the notes have on that."""
+    fresh = live.newest(live.freshness(m.quote_rows, end()), ["symbol"])
+    found = vectors.vector_topk(_evidence(m), {symbol: vectors.freshness_query(symbol) for symbol in SYMBOLS})
     return reports.freshness_check(fresh, found)
 
 
@@ -310,6 +311,7 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "divergence_counts": lambda m: reports.divergence_counts(m.differences),
     "gap_evidence": lambda m: reports.gap_evidence(m.gaps, m.tracked, start(), end()),
     "lineage_trace": lambda m: reports.lineage_trace(m.bars, m.trades, m.bronze),
+    "lineage_trace_spreads": lambda m: reports.lineage_trace(m.spreads, m.quotes, m.bronze),
     "tool_call_errors": lambda m: reports.tool_call_errors(documents.audit_log(m.spark, m.sf_dir)),
     "latency_summary": lambda m: reports.latency_summary(documents.audit_log(m.spark, m.sf_dir), ["tool_name"], "latency_ms", "timestamp"),
     "frontmatter": lambda m: text.frontmatter(documents.notes(m.spark, m.sf_dir), "docs").select(
