@@ -12,7 +12,7 @@ from tickforge.sources import documents, tables, topics
 
 def test_markdown_files(spark, tmp_path):
     notes = {
-        "Flink Window Tuning.md": '---\ntitle: "Flink Window Tuning"\ntags: [flink, "latency"]\n---\nUse event time windows.',
+        "Window Tuning.md": '---\ntitle: "Window Tuning"\ntags: [windows, "latency"]\n---\nUse event time windows.',
         "deep/er/plain.md": "no front matter here",
         ".hidden.md": "not this",
         "other.txt": "nor this",
@@ -21,13 +21,13 @@ def test_markdown_files(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(content)
-    found = {row["source_uri"]: row for row in text.frontmatter(documents.document_source(spark, str(tmp_path)), "obsidian").collect()}
-    assert set(found) == {"obsidian:Flink Window Tuning.md", "obsidian:deep/er/plain.md"}
-    first = found["obsidian:Flink Window Tuning.md"]
-    assert (first["title"], first["tags"], first["body"]) == ("Flink Window Tuning", ["flink", "latency"], "Use event time windows.")
-    assert (found["obsidian:deep/er/plain.md"]["title"], found["obsidian:deep/er/plain.md"]["tags"]) == ("plain", [])
-    one = documents.document_source(spark, str(tmp_path / "Flink Window Tuning.md")).collect()
-    assert [row["path"] for row in one] == ["Flink Window Tuning.md"]
+    found = {row["source_uri"]: row for row in text.frontmatter(documents.document_source(spark, str(tmp_path)), "vault").collect()}
+    assert set(found) == {"vault:Window Tuning.md", "vault:deep/er/plain.md"}
+    first = found["vault:Window Tuning.md"]
+    assert (first["title"], first["tags"], first["body"]) == ("Window Tuning", ["windows", "latency"], "Use event time windows.")
+    assert (found["vault:deep/er/plain.md"]["title"], found["vault:deep/er/plain.md"]["tags"]) == ("plain", [])
+    one = documents.document_source(spark, str(tmp_path / "Window Tuning.md")).collect()
+    assert [row["path"] for row in one] == ["Window Tuning.md"]
 
 
 def trades_on(spark, *days):

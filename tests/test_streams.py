@@ -108,3 +108,13 @@ def test_stale_monitor_reports_old_quotes(spark):
     found = spark.table("stale_alerts_seen").collect()
     assert len(found) >= 2 and {row["alert_type"] for row in found} == {"stale_symbol"}
     assert found[0]["message"].startswith("AAPL freshness lag is ")
+
+
+def test_topic_sink_replaces_a_repeated_batch(spark):
+    place = scratch_path(spark, "sink")
+    sink = sinks.TopicSink("derived", path=place)
+    sent = messages(spark, [quote(n, "2026-05-07T00:00:00Z", 1.0, 1.1) for n in (1, 2)])
+    for batch in (0, 1, 1):
+        sink.write(sent, batch)
+    back = topics.read_topics(spark, ("derived",), "json", streaming=False, path=place)
+    assert back.count() == 4 and back.where("timestamp IS NULL").count() == 0

@@ -60,6 +60,19 @@ SUMMARY_CHARS = 280
 TIMELINE_CHARS = 240
 TIMELINE_ENTRIES = 3
 
+SEQUENCE_GAP_MESSAGE = "Expected sequence %d but received %d."
+SEQUENCE_LATE_MESSAGE = "Received sequence %d after %d."
+ANNOTATION_MESSAGE = "Expected sequence %d but observed %d."
+UNSUPPORTED_MESSAGE = "Unsupported event_type %s"
+MISSING_MESSAGE = "Missing required fields: [%s]"
+CROSSED_MESSAGE = "Ask price is below bid price."
+WIDE_MESSAGE = "Spread %s exceeded configured threshold."
+STALE_MESSAGE = "%s freshness lag is %d ms."
+FRESHNESS_QUERY = "%s stale freshness redis alert runbook"
+INCIDENT_QUERY = "%s incident timeline symptoms runbook alerts"
+EVIDENCE_MESSAGE = "Most relevant evidence is from %s: %s"
+NO_EVIDENCE_MESSAGE = "No indexed evidence found for this incident."
+
 REQUIRED_FEED_FIELDS = {
     "trade": ("event_type", "symbol", "exchange", "event_time", "sequence_number", "price", "size"),
     "quote": (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickforge.contracts import FEED_SCHEMA, REQUIRED_FEED_FIELDS
+from tickforge.contracts import FEED_SCHEMA, MISSING_MESSAGE, REQUIRED_FEED_FIELDS, UNSUPPORTED_MESSAGE
 from tickforge.functions.columns import parse_utc, sorted_json, version
 
 ALERT_COLUMNS = [
@@ -63,12 +63,12 @@ def feed_checked(messages: DataFrame) -> DataFrame:
     supported = kind.isin(*REQUIRED_FEED_FIELDS)
     missing = F.when(kind == "trade", _missing("trade")).otherwise(_missing("quote"))
     unreadable = F.when(kind == "trade", _unreadable("trade")).otherwise(_unreadable("quote"))
-    listed = F.concat(F.lit("["), F.array_join(F.transform(missing, _quoted), ", "), F.lit("]"))
+    listed = F.array_join(F.transform(missing, _quoted), ", ")
     error = (
         F.when(F.col("present").isNull(), "Malformed JSON")
-        .when(kind.isNull(), "Unsupported event_type None")
-        .when(~supported, F.concat(F.lit("Unsupported event_type "), _quoted(kind)))
-        .when(F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), listed))
+        .when(kind.isNull(), UNSUPPORTED_MESSAGE % None)
+        .when(~supported, F.format_string(UNSUPPORTED_MESSAGE, _quoted(kind)))
+        .when(F.size(missing) > 0, F.format_string(MISSING_MESSAGE, listed))
         .otherwise(unreadable)
     )
     return parsed.withColumn("error", error)

@@ -11,10 +11,13 @@ from tickforge.contracts import (
     ALERT_TTL_SECONDS,
     ALERTS_IN_SNAPSHOT,
     ALERTS_STORED,
+    CROSSED_MESSAGE,
     MIN_WIDE_SPREAD,
     ROLLING_PRICES,
+    STALE_MESSAGE,
     STALE_MS,
     STATE_TTL_SECONDS,
+    WIDE_MESSAGE,
     WIDE_SPREAD_SHARE,
 )
 from tickforge.functions.columns import (
@@ -67,8 +70,8 @@ def spread_alerts(quotes: DataFrame) -> DataFrame:
             "event_time",
             F.when(crossed, "crossed_market").otherwise("wide_spread").alias("alert_type"),
             F.when(crossed, "critical").otherwise("warning").alias("severity"),
-            F.when(crossed, "Ask price is below bid price.")
-            .otherwise(F.concat(F.lit("Spread "), F.col("spread").cast("string"), F.lit(" exceeded configured threshold.")))
+            F.when(crossed, CROSSED_MESSAGE)
+            .otherwise(F.format_string(WIDE_MESSAGE, F.col("spread").cast("string")))
             .alias("message"),
             F.col("sequence_number").alias("observed_sequence"),
             F.lit(None).cast("long").alias("expected_sequence"),
@@ -408,7 +411,7 @@ def stale_alerts(quotes: DataFrame, start: Column, end: Column, tick_ms: int = 1
             F.timestamp_micros(F.unix_micros(start) + F.col("tick") * F.lit(tick_ms * 1000)).alias("event_time"),
             F.lit("stale_symbol").alias("alert_type"),
             F.lit("warning").alias("severity"),
-            F.concat("symbol", F.lit(" freshness lag is "), lag.cast("string"), F.lit(" ms.")).alias("message"),
+            F.format_string(STALE_MESSAGE, "symbol", lag).alias("message"),
             F.lit(None).cast("long").alias("observed_sequence"),
             F.lit(None).cast("long").alias("expected_sequence"),
         )

@@ -17,7 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickforge.contracts import (
     EMBEDDING_SIZE,
+    EVIDENCE_MESSAGE,
+    FRESHNESS_QUERY,
     INCIDENT_LIMIT,
+    INCIDENT_QUERY,
+    NO_EVIDENCE_MESSAGE,
     SEARCH_LIMIT,
     SUMMARY_CHARS,
     TIMELINE_CHARS,
@@ -143,11 +147,11 @@ def vector_topk(
 
 
 def incident_query(incident_id: str) -> str:
-    return f"{incident_id} incident timeline symptoms runbook alerts"
+    return INCIDENT_QUERY % incident_id
 
 
 def freshness_query(symbol: str) -> str:
-    return f"{symbol.upper()} stale freshness redis alert runbook"
+    return FRESHNESS_QUERY % symbol.upper()
 
 
 def incident_summary(chunks: DataFrame, incident_ids: list[str]) -> DataFrame:
@@ -164,10 +168,11 @@ def incident_summary(chunks: DataFrame, incident_ids: list[str]) -> DataFrame:
     timeline = F.transform(F.slice("results", 1, TIMELINE_ENTRIES), lambda r: F.substring(r["content"], 1, TIMELINE_CHARS))
     return asked.join(F.broadcast(ranked), "query_id", "left").select(
         F.col("query_id").alias("incident_id"),
-        F.coalesce(
-            F.concat(F.lit("Most relevant evidence is from "), first["title"], F.lit(": "), F.substring(first["content"], 1, SUMMARY_CHARS)),
-            F.lit("No indexed evidence found for this incident."),
-        ).alias("summary"),
+        F.when(
+            first.isNotNull(), F.format_string(EVIDENCE_MESSAGE, first["title"], F.substring(first["content"], 1, SUMMARY_CHARS))
+        )
+        .otherwise(NO_EVIDENCE_MESSAGE)
+        .alias("summary"),
         F.coalesce(timeline, F.array().cast("array<string>")).alias("timeline"),
         F.coalesce(F.transform("results", lambda r: r["source_uri"]), F.array().cast("array<string>")).alias("sources"),
     )

@@ -179,7 +179,7 @@ def _stream_feed_handler(m: Market) -> DataFrame:
     """Everything the handler publishes, with the sequence alerts of a second query."""
     m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
     place = _place(m, "feed")
-    outputs = sinks.FeedOutputs(f"{place}/published")
+    outputs = sinks.FeedOutputs(path=f"{place}/published")
     jobs.each_batch(_stored(m, m.feed, f"{place}/topics"), outputs.write, f"{place}/checkpoint").awaitTermination()
     published = topics.read_topics(
         m.spark, (RAW_TOPIC, TRADES_TOPIC, QUOTES_TOPIC, ALERTS_TOPIC), "json", streaming=False, path=f"{place}/published"

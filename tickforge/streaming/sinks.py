@@ -17,7 +17,7 @@ from tickforge.contracts import (
 )
 from tickforge.functions.columns import iso_utc, parse_utc
 from tickforge.operators import feed
-from tickforge.sources.topics import as_messages
+from tickforge.sources.topics import as_messages, write_topic
 
 # Which topic feeds which kind of state.
 STATE_TOPICS = {
@@ -95,11 +95,29 @@ class HotState:
         done.write.mode("append").json(f"{self.path}/done")
 
 
+class TopicSink:
+    """Micro-batches of messages to one topic, on Kafka or as JSON files.
+
+    On files each batch has its own folder, so repeating it replaces it; on Kafka a
+    repeated batch is sent again.
+    """
+
+    def __init__(self, topic: str, sink: str = "json", **options: str):
+        self.topic, self.sink, self.options = topic, sink, options
+
+    def write(self, messages: DataFrame, batch: int) -> None:
+        if self.sink == "kafka":
+            write_topic(messages, self.topic, "kafka", **self.options)
+            return
+        stamped = messages.withColumn("timestamp", iso_utc("timestamp"))
+        stamped.write.mode("overwrite").json(f"{self.options['path'].rstrip('/')}/{self.topic}/batch-{batch}")
+
+
 class FeedOutputs:
     """Valid events to the raw and the typed topics, rejected ones to the alerts."""
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, sink: str = "json", **options: str):
+        self.sink, self.options = sink, options
 
     def write(self, messages: DataFrame, batch: int) -> None:
         checked = feed.feed_checked(messages).persist()
@@ -120,6 +138,4 @@ class FeedOutputs:
         return rows.withColumnsRenamed({"topic": "source_topic", "partition": "source_partition", "offset": "source_offset"})
 
     def _put(self, messages: DataFrame, topic: str, batch: int) -> None:
-        """Each batch has its own folder, so repeating it replaces it."""
-        stamped = messages.withColumn("timestamp", iso_utc("timestamp"))
-        stamped.write.mode("overwrite").json(f"{self.path}/{topic}/batch-{batch}")
+        TopicSink(topic, self.sink, **self.options).write(messages, batch)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tickforge.contracts import GAP_TOPICS, ROLLING_PRICES, STALE_MS
+from tickforge.contracts import GAP_TOPICS, ROLLING_PRICES, STALE_MESSAGE, STALE_MS
 from tickforge.operators import bronze, silver
 from tickforge.operators.feed import quality_alert_rows
 from tickforge.operators.silver import ARRIVAL
@@ -206,7 +206,7 @@ def stale_monitor_stream(messages: DataFrame, tick_ms: int = 1000, stale_ms: int
             F.col("at").alias("event_time"),
             F.lit("stale_symbol").alias("alert_type"),
             F.lit("warning").alias("severity"),
-            F.format_string("%s freshness lag is %d ms.", "symbol", "lag_ms").alias("message"),
+            F.format_string(STALE_MESSAGE, "symbol", "lag_ms").alias("message"),
             F.lit(None).cast("long").alias("observed_sequence"),
             F.lit(None).cast("long").alias("expected_sequence"),
         )
