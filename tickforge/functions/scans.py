@@ -150,11 +150,13 @@ def trailing(
     rows: int,
     aggregates: dict[str, Column],
     hot: bool | None = None,
+    rank: Column | None = None,
 ) -> DataFrame:
     """Add aggregates over the current row and the ``rows - 1`` before it.
 
     For a hot key, rows are numbered and cut into equal blocks; the last rows of a
     block are also sent to the next one, so each frame is complete in its block.
+    ``rank`` is the row's number within its key from 0, when that is known already.
     """
     if hot is None:
         hot = is_hot(df, keys)
@@ -163,8 +165,12 @@ def trailing(
         return df.select("*", *[agg.over(frame).alias(name) for name, agg in aggregates.items()])
 
     size = max(rows_per_task(df.sparkSession), rows)
-    ranked = running(df, keys, order, {RANK: Running("sum", F.lit(1).cast("long"), before=True)}, hot=True)
-    ranked = ranked.withColumn(RANK, F.coalesce(RANK, F.lit(0).cast("long")))
+    if rank is None:
+        ranked = running(df, keys, order, {RANK: Running("sum", F.lit(1).cast("long"))}, hot=True)
+        rank = F.col(RANK) - 1
+    else:
+        ranked = df
+    ranked = ranked.withColumn(RANK, rank)
     own = F.floor(F.col(RANK) / F.lit(size)).cast("long")
     near_end = F.col(RANK) % F.lit(size) >= F.lit(size - (rows - 1))
     blocks = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))

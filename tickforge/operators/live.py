@@ -173,7 +173,7 @@ def rolling_metrics(trades: DataFrame, prices: int = ROLLING_PRICES, hot: bool |
     scanned = running(rows, keys, list(ARRIVAL), runs, hot)
     scanned = scanned.withColumn("log_return", log_return(F.col("previous_price"), F.col("price")))
     deviation = {"deviation": F.stddev_samp("log_return")}
-    framed = trailing(scanned, keys, list(ARRIVAL), prices - 1, deviation, hot)
+    framed = trailing(scanned, keys, list(ARRIVAL), prices - 1, deviation, hot, rank=F.col("seen") - 1)
     return framed.select(
         version().alias("schema_version"),
         F.lit("rolling_metrics").alias("event_type"),
