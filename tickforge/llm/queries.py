@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickforge.llm import simhash
-from tickforge.llm.common import table
+from tickforge.llm import packing, rans, simhash
+from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "rans")
+    rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    ids = rans.read_ids(spark, path)
+    return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.windows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return cut.select("sequence_id", F.inline("pieces"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op8_rans": op8_rans,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
