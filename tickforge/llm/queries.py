@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickforge.llm import packing, rans, simhash
+from tickforge.llm import chunks, packing, rans, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = chunks.drop_repeated_chunks(docs)
+    return found.select("doc_id", "lines", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.windows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return cut.select("sequence_id", F.inline("pieces"))
@@ -36,9 +42,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op8_rans": op8_rans,
+        "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_chunks": sql.OP9}
