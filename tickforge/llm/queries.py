@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickforge.llm import chunks, packing, rans, simhash, sql
+from tickforge.llm import chunks, packing, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From twelve shards by source, of which one holds a third, to sixteen of equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old, new, schema = fresh_path(spark, "shards"), fresh_path(spark, "resharded"), docs.schema
+    resharding.write_shards(docs, F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS)), old)
+    manifest = resharding.reshard(spark, old, new, schema, NEW_SHARDS)
+    text = F.col("row.text")
+    columns = [
+        F.col("row.doc_id").alias("doc_id"),
+        resharding.row_bytes(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    ]
+    return resharding.read_resharded(spark, old, new, schema, manifest, columns)
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_reshard": op2_reshard,
         "op8_rans": op8_rans,
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
