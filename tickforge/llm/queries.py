@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickforge.llm import chunks, packing, rans, resharding, simhash, sql
+from tickforge.llm import chunks, decontaminate, packing, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.read_resharded(spark, old, new, schema, manifest, columns)
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("items").alias("item_ids"), "words")
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_reshard": op2_reshard,
+        "op4_spaced_seeds": op4_spaced_seeds,
         "op8_rans": op8_rans,
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
