@@ -24,9 +24,9 @@ from tickforge.llm.common import drop_path, fresh_path, offsets_before, small_si
 from tickforge.llm.tokens import text_tokens
 
 PRECISION = 20
-LANES = 512
+LANES = 1024
 CHECKPOINT_ROWS = 256
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 20
 END_ID = 0
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)

@@ -1,14 +1,13 @@
-"""Token ids of whole texts by the tokenizers library, with a memo of pieces.
+"""Token ids of whole texts by the tokenizers library, with a memo of words.
 
-Words repeat, so a text is cut where every tokenizer of the given kind cuts it anyway, and
-each piece is looked up; only pieces not met before go through the tokenizer. The ids are
-those of encoding the whole text:
+Words repeat, so a text is cut as the tokenizer's own pre-tokenizer cuts it, each word is
+looked up, and only words not met before go through the tokenizer's model. The ids are those
+of encoding the whole text, since tokenizers of this kind never join characters over a cut:
 
-* A cut before a single space between two other characters is one, since tokenizers of this
-  kind join a space only to what follows it. Texts with two spaces in a row are encoded whole.
-* Inside such a piece the pre-tokenizer's own pattern cuts. If the tokenizer normalizes, this
-  holds for texts that are in NFC and without U+0130, whose lower case holds a mark; others are
-  encoded whole.
+* Texts of plain Latin-1 characters are cut by Python's `re`, with the pattern's classes of
+  letters and numbers written out for them. There normalization changes case alone.
+* Other texts are cut by the pattern itself if the tokenizer does not normalize, and are
+  encoded whole if it does.
 
 Strings of special tokens inside a text are ordinary text.
 """
@@ -16,17 +15,26 @@ Strings of special tokens inside a text are ordinary text.
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 """Fixed value: how a byte-level pre-tokenizer cuts."""
 
-PIECES, WORDS = 150_000, 300_000
+LATIN_LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
+"""What is beyond Latin-1, a control character, a space of another kind or a raised or broken number."""
+
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+"""How byte-level vocabularies write a byte: itself if it shows, else the next sign from 256 on."""
+
+WORDS = 400_000
 """Entries that each of the two generations of a memo may hold."""
 
 
@@ -37,14 +45,12 @@ class Memo:
         self.size, self.new, self.old = size, {}, {}
 
     def missing(self, keys: Iterable[str]) -> list[str]:
-        """Those keys that are not in the new generation, nor could be taken from the old."""
+        """Those keys that are in neither generation; the others are in the new one afterwards."""
         unseen = [k for k in keys if k not in self.new]
         if len(self.new) + len(unseen) > self.size:
             self.new, self.old = {}, self.new
             unseen = list(keys)
-        for k in unseen:
-            if (ids := self.old.get(k)) is not None:
-                self.new[k] = ids
+        self.new.update((k, ids) for k in unseen if (ids := self.old.get(k)) is not None)
         return [k for k in unseen if k not in self.new]
 
 
@@ -52,51 +58,50 @@ class TextTokens:
     """Ids of texts as bytes of little-endian unsigned numbers of `dtype`."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         rules = json.loads(self.tokenizer.to_str())
-        self.normalizes = rules["normalizer"] is not None
-        self.pattern = regex.compile(_pattern(rules["pre_tokenizer"]))
-        self.pieces, self.words = Memo(PIECES), Memo(WORDS)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-
-    def _cuttable(self, text: str) -> bool:
-        plain = not self.normalizes or text.isascii() or ("İ" not in text and unicodedata.is_normalized("NFC", text))
-        return plain and "  " not in text
+        pattern = _pattern(rules["pre_tokenizer"])
+        plain = pattern.replace(r"\p{L}", LATIN_LETTERS).replace(r"\p{N}", "0-9")
+        self.cut_plain = re.compile(plain).findall
+        self.cut_other = None if rules["normalizer"] else regex.compile(pattern).findall
+        self.lower = '"Lowercase"' in json.dumps(rules["normalizer"])
+        self.words = Memo(WORDS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the texts are worked through about a megabyte at a time."""
+        """The ids of each text; the texts are worked through about two megabytes at a time."""
         out, part, size = [], [], 0
         for text in texts:
             part.append(text)
             size += len(text)
-            if size > 1 << 20:
+            if size > 1 << 21:
                 out += self._encode_part(part)
                 part, size = [], 0
         return out + self._encode_part(part)
 
     def _encode_part(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") if self._cuttable(text) else None for text in texts]
-        whole = self._encode([text for text, pieces in zip(texts, cut) if pieces is None] + [pieces[0] for pieces in cut if pieces])
-        alone, first = iter(whole), iter(whole[cut.count(None) :])
-        self._learn({piece for pieces in cut if pieces for piece in pieces[1:]})
-        known = self.pieces.new
-        return [next(alone) if pieces is None else next(first) + b"".join([known[p] for p in pieces[1:]]) for pieces in cut]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Take in pieces that a space precedes."""
-        unseen = self.pieces.missing(pieces)
-        find = self.pattern.findall
-        cut = [find(" " + p) for p in unseen]
-        parts = {part for found in cut for part in found}
-        if unseen_words := self.words.missing(parts):
-            self.words.new.update(zip(unseen_words, self._encode(unseen_words)))
-        known = self.words.new
-        self.pieces.new.update((p, b"".join([known[x] for x in found])) for p, found in zip(unseen, cut))
+        cut = [self._cut(text) for text in texts]
+        known = iter(self._ids([words for words in cut if words is not None]))
+        return [self._encode_whole(text) if words is None else next(known) for text, words in zip(texts, cut)]
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not NOT_PLAIN.search(text):
+            return self.cut_plain(text.lower() if self.lower else text)
+        return self.cut_other(text) if self.cut_other else None
+
+    def _encode_whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of texts that are cut into words."""
+        tokenize, table, dtype = self.tokenizer.model.tokenize, BYTE_CHARACTERS, self.dtype
+        for word in self.words.missing({word for words in cut for word in words}):
+            signs = word.encode().decode("latin-1").translate(table)
+            self.words.new[word] = np.array([t.id for t in tokenize(signs)], dtype).tobytes()
+        known = self.words.new.__getitem__
+        return [b"".join(map(known, words)) for words in cut]
 
 
 def _pattern(rule: dict) -> str:
