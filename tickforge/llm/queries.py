@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickforge.llm import chunks, decontaminate, packing, rans, resharding, simhash, sql
+from tickforge.llm import chunks, decontaminate, langid, packing, quality, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,34 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("items").alias("item_ids"), "words")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host of a document, its language there the path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality.judged(docs, classifier, F.col("source"), F.col("lang"), keep_text=False)
+    return found.select(
+        "doc_id",
+        F.col("_evidence").alias("evidence"),
+        F.col("_host_mean").alias("host_mean"),
+        F.col("_path_mean").alias("path_mean"),
+        F.col("_wanted").alias("wanted"),
+        (F.col("_wanted") >= quality.THRESHOLD).alias("kept"),
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    found = langid.identify(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -55,7 +83,7 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = chunks.drop_repeated_chunks(docs)
-    return found.select("doc_id", "lines", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+    return found.select("doc_id", F.col("_lines").alias("lines"), F.col("_removed_lines").alias("removed_lines"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +96,8 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op2_reshard": op2_reshard,
         "op4_spaced_seeds": op4_spaced_seeds,
+        "op5_quality": op5_quality,
+        "op6_language": op6_language,
         "op8_rans": op8_rans,
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
