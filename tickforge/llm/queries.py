@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tickforge.llm import chunks, decontaminate, langid, packing, quality, rans, resharding, simhash, sql
+from tickforge.llm import chat_trees, chunks, decontaminate, langid, packing, quality, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,29 @@ def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.read_resharded(spark, old, new, schema, manifest, columns)
 
 
+def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a tree in which every turn answers the one before."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') v(t, r)")
+    node = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    numbered = rows.unionByName(extra).withColumn("node", node)
+    messages = numbered.select(
+        F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score")
+    )
+    found = chat_trees.formatted(chat_trees.branches(messages))
+    read = found.select(F.col("tree").alias("conv_id"), "formatted", chat_trees.turns_of(F.col("formatted")).alias("turns"), chat_trees.learned_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("items").alias("item_ids"), "words")
@@ -95,6 +118,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_reshard": op2_reshard,
+        "op3_chat_trees": op3_chat_trees,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_quality": op5_quality,
         "op6_language": op6_language,
