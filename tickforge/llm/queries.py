@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tickforge.llm import chat_trees, chunks, decontaminate, langid, packing, quality, rans, resharding, simhash, sql
+from tickforge.llm import chat_trees, chunks, decontaminate, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -122,6 +129,7 @@ def queries() -> dict[str, Query]:
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_quality": op5_quality,
         "op6_language": op6_language,
+        "op7_nn_descent": op7_nn_descent,
         "op8_rans": op8_rans,
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
