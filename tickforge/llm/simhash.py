@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickforge.llm.common import connected_components, stored
+from tickforge.llm.common import connected_components, small_side, stored
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -132,15 +132,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", pai
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the one that stands for it.
 
-    Rows repeated with the same id count as one.
+    Rows that share an id, or have none, are taken as one document: they stay if one of them
+    stands for its component, and of those with equal texts one stays.
     """
-    kept = (
-        near_duplicates(docs, id, text)
-        .filter(F.col("id").eqNullSafe(F.col("component")) & (F.col("fp") == F.col("kept_fp")))
-        .select("id")
-        .distinct()
-    )
-    return docs.join(kept, docs[id].eqNullSafe(kept["id"]), "left_semi").dropDuplicates([id])
+    stands = F.col("id").eqNullSafe(F.col("component")) & (F.col("fp") == F.col("kept_fp"))
+    found = near_duplicates(docs, id, text).groupBy("id").agg(F.bool_or(stands).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = stored(found.filter("not stays or n > 1").withColumnRenamed("id", "_key"), "near-duplicates")
+    gone, again = small_side(marks.filter("not stays").select("_key")), small_side(marks.filter("stays").select("_key"))
+    left = docs.join(gone, docs[id].eqNullSafe(gone["_key"]), "left_anti")
+    single = left.join(again, left[id].eqNullSafe(again["_key"]), "left_anti")
+    return single.unionByName(left.join(again, left[id].eqNullSafe(again["_key"]), "left_semi").dropDuplicates([id, text]))
 
 
 def _signed(value: int) -> int:
