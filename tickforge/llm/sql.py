@@ -9,11 +9,12 @@ WITH lines AS (
     SELECT doc_id, text, unnest(range(1, len(parts) + 1)) AS list_position, unnest(parts) AS line
     FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
   )
-), marked AS (
-  SELECT *,
-    (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296 % 3 = 0 OR words >= 50 AS ends_here,
-    words >= 50 AS is_long
+), divided AS (
+  SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296 % 2 = 0 AS divides, words >= 50 AS is_long
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY list_position)
+), marked AS (
+  SELECT *, is_long OR (divides AND NOT coalesce(lag(divides) OVER w, false)) AS ends_here
+  FROM divided WINDOW w AS (PARTITION BY doc_id ORDER BY list_position)
 ), numbered AS (
   SELECT *, sum(CASE WHEN is_long OR coalesce(before, false) THEN 1 ELSE 0 END)
       OVER (PARTITION BY doc_id ORDER BY list_position) AS chunk
