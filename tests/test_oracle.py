@@ -1,11 +1,12 @@
-"""Every registered query against its SQL, on the whole small tables."""
+"""Every registered query of the library's own against its SQL, on the whole small tables."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.compare import connect, differences
+from tickforge.plans import oracle, queries as registered
 
-NAMES = sorted(queries())
+NAMES = sorted(registered.queries())
 
 
 @pytest.fixture(scope="module")
@@ -15,11 +16,11 @@ def duck(request):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, sf_dir, duck, name):
-    assert differences(queries()[name](spark, sf_dir), duck, oracle_sql()[name]) == []
+    assert differences(registered.queries()[name](spark, sf_dir), duck, oracle.oracle_sql()[name]) == []
 
 
 def test_every_query_has_sql():
-    assert sorted(oracle_sql()) == NAMES
+    assert sorted(oracle.oracle_sql()) == NAMES
 
 
 def test_entry_gives_rows(spark):
