@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import messages, quote, rows_of
+from tests.helpers import messages, quote, rows_of, trade
 from tickforge.operators import gold, live, silver
 from tickforge.operators.bronze import bronze_rows
 from tickforge.operators.feed import quality_alert_rows
@@ -63,6 +63,24 @@ def test_bars_over_batches(spark, sent):
     assert rows_of(latest.read().select(*fields)) == rows_of(batch.select(*fields))
 
 
+def test_late_trades_change_their_bar_or_are_counted(spark):
+    place = scratch_path(spark, "late")
+    on_time = [trade(1, "2026-05-07T00:00:00.1Z", 10.0, 1), trade(2, "2026-05-07T00:10:00Z", 11.0, 2)]
+    late = [trade(3, "2026-05-07T00:00:00.9Z", 12.0, 5)]
+    for values in (on_time, [trade(4, "2026-05-07T00:20:00Z", 13.0, 1)], late):
+        topics.write_topic(messages(spark, values).coalesce(1), "mixed", path=place)
+        time.sleep(1.1)
+    volumes, dropped = {}, {}
+    for watermark in (None, "10 seconds"):
+        latest = jobs.LatestRows(spark, f"{place}/bars-{watermark}", ["symbol", "exchange", "event_time"])
+        query = jobs.each_batch(jobs.bar_stream(stream(spark, place), watermark), latest.write, f"{place}/c-{watermark}", output="update")
+        query.awaitTermination()
+        volumes[watermark] = {r.event_time.minute: r.volume for r in latest.read().collect()}
+        dropped[watermark] = jobs.rows_too_late(query)
+    assert volumes[None] == {0: 6, 10: 2, 20: 1} and dropped[None] == 0
+    assert volumes["10 seconds"] == {0: 1, 10: 2, 20: 1} and dropped["10 seconds"] == 1
+
+
 def test_restart_continues_where_it_stopped(spark, sent):
     place, all_messages = sent
     grown = scratch_path(spark, "grown")

@@ -1,6 +1,7 @@
 """The given ``events`` table read as market data.
 
-24 keys (12 symbols on two exchanges), about 180 seconds. Purchases and clicks are
+24 keys (12 symbols on two exchanges), about 180 seconds, or three days with the wide time
+scale. Purchases and clicks are
 trades, views and signups quotes, errors quality alerts. Some events come twice, some
 come late, some sequence numbers are skipped, and the raw feed has faulty messages.
 """
@@ -19,6 +20,8 @@ RUN_ID = "run-1"
 PROCESSED_AT = "2024-02-01 00:00:00"
 MESSAGE_COLUMNS = MESSAGE_SCHEMA.fieldNames()
 LATE_OFFSET = 1602
+DENSE, WIDE = 14400, 10
+"""By how much event times are squeezed: 30 days into 180 seconds or into 3 days."""
 
 
 # The columns of the given tables, so that no job infers them.
@@ -39,12 +42,12 @@ def processed_at() -> Column:
     return F.lit(PROCESSED_AT).cast("timestamp")
 
 
-def market_events(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
+def market_events(spark: SparkSession, sf_dir: str, hot: bool | None = None, squeeze: int = DENSE) -> DataFrame:
     based = table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "concat('SYM', lpad(cast(user_id % 12 AS string), 2, '0')) AS symbol",
         "CASE WHEN (user_id div 12) % 2 = 0 THEN 'XNAS' ELSE 'XNYS' END AS exchange",
-        "timestamp_micros(1704067200000000 + (unix_micros(CAST(ts AS timestamp)) - 1704067200000000) div 14400) AS event_time",
+        f"timestamp_micros(1704067200000000 + (unix_micros(CAST(ts AS timestamp)) - 1704067200000000) div {squeeze}) AS event_time",
         """CASE WHEN event_type IN ('purchase', 'click') THEN 'trade'
                 WHEN event_type IN ('view', 'signup') THEN 'quote' ELSE 'quality_alert' END AS event_type""",
         "value",
@@ -118,9 +121,9 @@ def _messages(rows: DataFrame, fields: dict[str, str], topic: str) -> DataFrame:
     )
 
 
-def typed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
+def typed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None, squeeze: int = DENSE) -> DataFrame:
     """Canonical messages on the trade, quote and alert topics."""
-    return _messages(arrivals(market_events(spark, sf_dir, hot)), FIELDS, TYPED_TOPIC).drop("event_id")
+    return _messages(arrivals(market_events(spark, sf_dir, hot, squeeze)), FIELDS, TYPED_TOPIC).drop("event_id")
 
 
 def _broken(messages: DataFrame) -> DataFrame:
@@ -146,8 +149,8 @@ def feed_messages(spark: SparkSession, sf_dir: str, hot: bool | None = None) ->
     return _broken(_messages(rows, fields, f"'{RAW_FEED_TOPIC}'"))
 
 
-def bronze(spark: SparkSession, sf_dir: str, hot: bool | None = None) -> DataFrame:
-    return bronze_rows(typed_messages(spark, sf_dir, hot), RUN_ID, processed_at())
+def bronze(spark: SparkSession, sf_dir: str, hot: bool | None = None, squeeze: int = DENSE) -> DataFrame:
+    return bronze_rows(typed_messages(spark, sf_dir, hot, squeeze), RUN_ID, processed_at())
 
 
 def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES, SYMBOLS
+from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES, SEVERAL_DAYS, SYMBOLS
 from tickforge.operators.vectors import freshness_query, incident_query
 
 START = f"TIMESTAMP '{DAY} 00:00:00'"
@@ -370,15 +370,14 @@ SELECTS = {
     SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
            sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM feed_alert_rows""",
     "contract_violations": """
-    SELECT source_partition AS partition, source_offset AS "offset",
-           CASE WHEN cut THEN 'malformed' ELSE array_to_string(list_sort(list_filter([
-               CASE WHEN sent_type <> 'trade' THEN 'const:event_type' END, 'required:ingest_time', 'required:schema_version',
-               CASE WHEN event_type = 'quote' OR lacking THEN 'required:price' END,
-               CASE WHEN event_type = 'quote' THEN 'required:size' END,
-               CASE WHEN event_type = 'quote' THEN 'unknown:ask_price' END, CASE WHEN event_type = 'quote' THEN 'unknown:bid_size' END,
-               CASE WHEN event_type = 'quote' AND NOT lacking THEN 'unknown:ask_size' END,
-               CASE WHEN event_type = 'quote' AND NOT lacking THEN 'unknown:bid_price' END], lambda x: x IS NOT NULL)), ',') END AS violations
-    FROM sent_feed""",
+    SELECT event_type AS contract, source_partition AS partition, source_offset AS "offset",
+           CASE WHEN event_id % 43 = 0 THEN 'malformed' WHEN event_id % 47 = 0 THEN 'required:schema_version' ELSE '' END AS violations
+    FROM events_sent
+    UNION ALL SELECT 'top_of_book', source_partition, source_offset, CASE WHEN source_offset % 59 = 0 THEN 'minimum:sequence_number' ELSE '' END
+    FROM quote_rows
+    UNION ALL SELECT contract, source_partition, source_offset, CASE WHEN source_offset % 59 <> 0 THEN '' WHEN contract = 'market' THEN 'enum:event_type'
+                                                                     ELSE 'minimum:sequence_number' END
+    FROM trade_rows CROSS JOIN (VALUES ('bar_1s'), ('rolling_metrics'), ('market')) AS kinds(contract)""",
     "top_of_book": "SELECT * FROM books",
     "spread_alerts": """
     SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
@@ -421,7 +420,7 @@ SELECTS = {
     "hot_state_rebuild": """
     SELECT state_kind, symbol, event_time, sequence_number, CASE WHEN state_kind = 'freshness' THEN 'rebuilt' END AS status
     FROM state WHERE state_kind <> 'latest_quote'""",
-    "active_symbols": "SELECT DISTINCT symbol FROM events_sent WHERE event_type <> 'quality_alert'",
+    "active_symbols": "SELECT symbol FROM quote_rows UNION SELECT symbol FROM trade_rows UNION SELECT symbol FROM alerts",
     "alert_stream_union": "SELECT * FROM alerts",
     "recent_alerts": f"""
     SELECT symbol, exchange, alert_type, observed_sequence, event_time, severity, message, sequence_number, alert_rank
@@ -641,5 +640,6 @@ def _dates_as_text(name: str, sql: str) -> str:
 def oracle_sql() -> dict[str, str]:
     from tickforge.plans.stored import STORED_SQL
 
-    selects = {**SELECTS, "table_conformance": _conformance_sql(), "stale_alerts": _stale_sql(), **STORED_SQL}
-    return {name: _dates_as_text(name, _with(sql)) for name, sql in selects.items()}
+    selects = {**SELECTS, "table_conformance": _conformance_sql(), "stale_alerts": _stale_sql(), **STORED_SQL, "stream_stale_monitor": _stale_sql()}
+    found = {name: _dates_as_text(name, _with(sql)) for name, sql in selects.items()}
+    return {name: sql.replace("// 14400", "// 10") if name in SEVERAL_DAYS else sql for name, sql in found.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +11,7 @@ from tickforge import contracts
 from tickforge.functions.scans import is_hot, rows_per_task
 from tickforge.operators import bronze as bronze_ops, checks, feed, gold, live, reports, silver, text, vectors, vendor
 from tickforge.plans import documents, market
+from tickforge.sources import topics
 
 DAY = "2024-01-01"
 SEARCHES = {"runbook": "the stale symbol runbook", "lineage": "la lineage de bronze and silver", "replay": "REPLAY dry run of the day"}
@@ -56,9 +57,12 @@ def presented(df: DataFrame) -> DataFrame:
 class Market:
     """The frames that queries share, built on demand from one folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.hot = _hot(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, squeeze: int = market.DENSE):
+        self.spark, self.sf_dir, self.squeeze = spark, sf_dir, squeeze
+
+    @cached_property
+    def hot(self) -> bool:
+        return _hot(self.spark, self.sf_dir)
 
     @property
     def hot_seconds(self) -> bool | None:
@@ -67,11 +71,11 @@ class Market:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return market.typed_messages(self.spark, self.sf_dir, self.hot)
+        return market.typed_messages(self.spark, self.sf_dir, self.hot, self.squeeze)
 
     @cached_property
     def bronze(self) -> DataFrame:
-        return market.bronze(self.spark, self.sf_dir, self.hot)
+        return market.bronze(self.spark, self.sf_dir, self.hot, self.squeeze)
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -166,21 +170,14 @@ class Market:
         return market.vendor_records(self.spark, self.sf_dir)
 
 
-_HOT: dict[tuple[str, str, int], bool] = {}
-
-
 def _hot(spark: SparkSession, sf_dir: str) -> bool:
     """Whether a symbol on an exchange can be too large for one task.
 
-    Asked once per folder of the raw table; an event becomes at most two messages, so
-    twice its count bounds every later frame.
+    Asked of the raw table as it is now; an event becomes at most two messages, so twice
+    its count bounds every later frame.
     """
-    limit = rows_per_task(spark)
-    key = (spark.sparkContext.applicationId, sf_dir, limit)
-    if key not in _HOT:
-        events = market.table(spark, sf_dir, "events").selectExpr("user_id % 24 AS k")
-        _HOT[key] = is_hot(events, ["k"], limit // 2)
-    return _HOT[key]
+    events = market.table(spark, sf_dir, "events").selectExpr("user_id % 24 AS k")
+    return is_hot(events, ["k"], rows_per_task(spark) // 2)
 
 
 def _chunk_view(chunks: DataFrame) -> DataFrame:
@@ -269,7 +266,7 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "canonical_quotes": lambda m: _canonical(m, "quote"),
     "feed_validation": lambda m: feed.feed_validation(m.feed),
     "quality_alert_rows": lambda m: m.feed_alerts,
-    "contract_violations": lambda m: checks.contract_violations(m.feed, "trade").select("partition", "offset", "violations"),
+    "contract_violations": lambda m: _violations(m),
     "top_of_book": lambda m: live.top_of_book(m.quote_rows, market.processed_at()),
     "spread_alerts": lambda m: live.spread_alerts(m.quote_rows),
     "freshness": lambda m: live.freshness(m.quote_rows, end()),
@@ -294,7 +291,7 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "rolling_metrics": lambda m: live.rolling_metrics(m.trade_rows, hot=m.hot),
     "latest_state": _latest_state,
     "hot_state_rebuild": _rebuild,
-    "active_symbols": lambda m: live.active_symbols(m.quote_rows, m.trade_rows),
+    "active_symbols": lambda m: live.active_symbols(m.quote_rows, m.trade_rows, m.alerts),
     "alert_stream_union": lambda m: m.alerts,
     "recent_alerts": lambda m: live.recent_alerts(m.alerts, as_of=end()),
     "symbol_snapshot": _snapshot,
@@ -334,9 +331,51 @@ def _routed(m: Market) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def query(build: Callable[[Market], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _violations(m: Market) -> DataFrame:
+    """Every message against the contract of its own type; some of each type break it."""
+    typed = market.unchecked_messages(m.spark, m.sf_dir, m.hot)
+    sent = {
+        "trade": typed.where(F.col("topic") == contracts.TRADES_TOPIC),
+        "quote": typed.where(F.col("topic") == contracts.QUOTES_TOPIC),
+        "quality_alert": typed.where(F.col("topic") == contracts.ALERTS_TOPIC),
+    }
+    faulty = F.col("source_offset") % 59 == 0
+    derived = {
+        "top_of_book": live.top_of_book(m.quote_rows, market.processed_at()),
+        "bar_1s": live.bar_updates(m.trade_rows, hot=m.hot_seconds),
+        "rolling_metrics": live.rolling_metrics(m.trade_rows, hot=m.hot),
+        "market": m.trade_rows.withColumn("event_type", F.when(faulty, "rumour").otherwise("trade")).select(
+            "schema_version", "event_type", *live.EVENT, F.struct("price", "size").alias("payload"), *live.SOURCE
+        ),
+    }
+    for name, rows in derived.items():
+        fields = [c for c in rows.columns if c not in live.SOURCE]
+        if name != "market":
+            rows = rows.withColumn("sequence_number", F.when(faulty, -1).otherwise(F.col("sequence_number")))
+        sent[name] = topics.as_messages(rows, name, fields)
+    parts = [
+        checks.contract_violations(messages, name).select(F.lit(name).alias("contract"), "partition", "offset", "violations")
+        for name, messages in sent.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+SEVERAL_DAYS = (
+    "event_date_filter",
+    "gold_scan",
+    "volatility_features",
+    "replay_dry_run",
+    "gap_counts",
+    "divergence_counts",
+    "table_overwrite",
+    "replay_output",
+)
+"""Queries over three days instead of three dense minutes."""
+
+
+def query(build: Callable[[Market], DataFrame], squeeze: int = market.DENSE) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return presented(build(Market(spark, sf_dir)))
+        return presented(build(Market(spark, sf_dir, squeeze)))
 
     return run
 
@@ -344,4 +383,5 @@ def query(build: Callable[[Market], DataFrame]) -> Callable[[SparkSession, str],
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tickforge.plans.stored import STORED
 
-    return {name: query(build) for name, build in {**BATCH, **STORED}.items()}
+    scale = dict.fromkeys(SEVERAL_DAYS, market.WIDE)
+    return {name: query(build, scale.get(name, market.DENSE)) for name, build in {**BATCH, **STORED}.items()}

@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickforge.contracts import ALERTS_TOPIC, BARS_TOPIC, METRICS_TOPIC, QUOTES_TOPIC, RAW_TOPIC, TOP_OF_BOOK_TOPIC, TRADES_TOPIC
+from tickforge.contracts import ALERTS_TOPIC, BARS_TOPIC, METRICS_TOPIC, QUOTES_TOPIC, RAW_FEED_TOPIC, RAW_TOPIC, TOP_OF_BOOK_TOPIC, TRADES_TOPIC
 from tickforge.operators import feed, gold, live, reports, silver, vectors
 from tickforge.plans import documents, market
-from tickforge.plans.queries import DAY, Market
+from tickforge.plans.queries import DAY, Market, end, start
 from tickforge.session import ROCKSDB_STATE, scratch_path
 from tickforge.sources import tables, topics
 from tickforge.streaming import jobs, sinks, stateful
@@ -55,10 +55,11 @@ def _bars(m: Market) -> DataFrame:
 
 
 def _table_overwrite(m: Market) -> DataFrame:
-    """Write trades by date, then replace one date by itself, and read all back."""
+    """Write trades by date, then replace one date by one symbol's trades, and read all back."""
     store = tables.TableStore(m.spark, _place(m, "lakehouse"))
     store.overwrite(m.trades, "silver_trades")
-    store.overwrite(reports.event_date_filter(m.trades, DAY), "silver_trades", only_present_partitions=True)
+    one = reports.event_date_filter(m.trades, DAY).where(F.col("symbol") == "SYM05")
+    store.overwrite(one, "silver_trades", only_present_partitions=True)
     return store.read("silver_trades")
 
 
@@ -154,25 +155,30 @@ def _feed_source(m: Market) -> DataFrame:
     return _streamed(m, "raw", read, m.feed)
 
 
+def _bronze_ingest_rejects(m: Market) -> DataFrame:
+    """What the ingest job cannot take in, with messages of a topic that is not its own."""
+    place = _place(m, "rejects")
+    sent = market.unchecked_messages(m.spark, m.sf_dir, m.hot).unionByName(m.feed)
+    stream = _stored(m, sent, f"{place}/topics")
+    for query in jobs.ingest_bronze(stream, f"{place}/table", f"{place}/rejects", f"{place}/checkpoint", market.RUN_ID):
+        query.awaitTermination()
+    rejects = m.spark.read.parquet(f"{place}/rejects")
+    taken = m.spark.read.parquet(f"{place}/table").groupBy().count()
+    assert taken.first()["count"] + rejects.count() == sent.count()
+    return rejects.drop("raw_event")
+
+
 def _stream_stale_monitor(m: Market) -> DataFrame:
-    """The monitor on the wall clock: every symbol of the past is stale at its first
-    tick. Runs until each of them was reported."""
+    """The monitor driven by a clock of one tick a second that is sent along with the quotes."""
     m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
     place = _place(m, "stale")
-    alerts = stateful.stale_monitor_stream(_stored(m, m.messages, f"{place}/topics"))
-    symbols = m.quote_rows.select("symbol").distinct().count()
-    seen = m.spark.read.schema(alerts.schema)
-    writer = alerts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/checkpoint")
-    query = writer.trigger(processingTime="1 second").start(f"{place}/out")
-    try:
-        for _ in range(120):
-            query.awaitTermination(1)
-            if query.lastProgress and query.lastProgress["batchId"] > 0:
-                if seen.parquet(f"{place}/out").select("symbol").distinct().count() == symbols:
-                    break
-    finally:
-        query.stop()
-    return seen.parquet(f"{place}/out").select("symbol", "alert_type", "severity").distinct()
+    seconds = F.sequence(start(), end(), F.expr("INTERVAL 1 SECOND"))
+    ticks = m.quote_rows.select("symbol").distinct().select("symbol", F.explode(seconds).alias("tick_time"))
+    ticks.write.parquet(f"{place}/clock")
+    clock = m.spark.readStream.schema(ticks.schema).parquet(f"{place}/clock")
+    alerts = stateful.stale_tick_stream(_stored(m, m.messages, f"{place}/topics"), clock)
+    jobs.run_available(alerts, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return m.spark.read.schema(alerts.schema).parquet(f"{place}/out")
 
 
 def _stream_feed_handler(m: Market) -> DataFrame:
@@ -194,6 +200,7 @@ def _stream_feed_handler(m: Market) -> DataFrame:
 
 STORED = {
     "bronze_ingest": _bronze_ingest,
+    "bronze_ingest_rejects": _bronze_ingest_rejects,
     "table_overwrite": _table_overwrite,
     "table_read": _table_read,
     "table_append": _table_append,
@@ -224,7 +231,7 @@ STORED_SQL = {
     "bronze_ingest": """
     SELECT schema_version, event_type, symbol, exchange, event_time, ingest_time, sequence_number, event_date, source_topic,
            source_partition, source_offset, job_run_id, processed_at FROM events_sent""",
-    "table_overwrite": "SELECT * FROM silver_t",
+    "table_overwrite": f"SELECT * FROM silver_t WHERE event_date <> DATE '{DAY}' OR symbol = 'SYM05'",
     "table_read": "SELECT * REPLACE (round(avg_spread, 6) AS avg_spread, round(avg_mid_price, 6) AS avg_mid_price) FROM spreads",
     "table_append": REPORT.format(zone="silver", name="silver_trades", part="silver_t")
     + "\n    UNION ALL "
@@ -267,7 +274,11 @@ STORED_SQL = {
     "feed_source": """
     SELECT 'feed.synthetic.raw.v1' AS topic, source_partition AS partition, source_offset AS "offset", ingest_time,
            NOT cut AND NOT lacking AND sent_type = event_type AS usable FROM sent_feed""",
-    "stream_stale_monitor": "SELECT DISTINCT symbol, 'stale_symbol' AS alert_type, 'warning' AS severity FROM quote_rows",
+    "stream_stale_monitor": "",
+    "bronze_ingest_rejects": f"""
+    SELECT source_topic, source_partition, source_offset, CASE WHEN event_id % 43 = 0 THEN 'malformed_json' ELSE 'missing_schema_version' END AS reason
+    FROM events_sent WHERE event_id % 43 = 0 OR event_id % 47 = 0
+    UNION ALL SELECT '{RAW_FEED_TOPIC}', source_partition, source_offset, 'unknown_topic' FROM sent_feed""",
     "stream_feed_handler": """
     SELECT topic, key, sequence_number FROM feed_published""",
 }

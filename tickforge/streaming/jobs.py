@@ -12,7 +12,8 @@ from tickforge.functions.columns import notional, version, weighted_price
 from tickforge.operators import bronze, live, silver
 from tickforge.operators.feed import quality_alert_rows
 
-WATERMARK = "10 seconds"
+# Bars are held open, and changed by however late a trade, unless a watermark is asked for.
+WATERMARK = None
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, output: str = "append", partition_by: tuple[str, ...] = ()) -> StreamingQuery:
@@ -32,6 +33,34 @@ def bronze_ingest(
     return run_available(rows, path, checkpoint, partition_by=columns)
 
 
+def bronze_rejects(messages: DataFrame) -> DataFrame:
+    """What bronze_ingest leaves out: unreadable messages, and those of other topics."""
+    own = F.col("topic").isin(*BRONZE_TOPICS)
+    others = messages.where(~own | F.col("topic").isNull()).select(
+        F.col("topic").alias("source_topic"),
+        F.col("partition").cast("long").alias("source_partition"),
+        F.col("offset").cast("long").alias("source_offset"),
+        F.col("value").cast("string").alias("raw_event"),
+        F.lit("unknown_topic").alias("reason"),
+    )
+    return bronze.bronze_rejects(messages.where(own)).unionByName(others)
+
+
+def ingest_bronze(
+    messages: DataFrame, path: str, rejects_path: str, checkpoint: str, job_run_id: str = "manual", processed_at: Column | None = None
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Every new message goes to the bronze table or to the rejects."""
+    return (
+        bronze_ingest(messages, path, f"{checkpoint}/rows", job_run_id, processed_at),
+        run_available(bronze_rejects(messages), rejects_path, f"{checkpoint}/rejects"),
+    )
+
+
+def rows_too_late(query: StreamingQuery) -> int:
+    """How many rows a query with a watermark has dropped so far as too late."""
+    return sum(int(state["numRowsDroppedByWatermark"]) for p in query.recentProgress for state in p["stateOperators"])
+
+
 def top_of_book_stream(messages: DataFrame, processed_time: Column | None = None) -> DataFrame:
     return live.top_of_book(silver.quote_rows(bronze.bronze_rows(messages)), processed_time)
 
@@ -47,13 +76,18 @@ def alert_stream(messages: DataFrame) -> DataFrame:
     return quality_alert_rows(sent).unionByName(live.spread_alerts(silver.quote_rows(rows)))
 
 
-def bar_stream(messages: DataFrame, watermark: str = WATERMARK, interval: str = "1 second") -> DataFrame:
-    """Bars per symbol and exchange. A trade within the watermark updates its own bar.
+def bar_stream(messages: DataFrame, watermark: str | None = WATERMARK, interval: str = "1 second") -> DataFrame:
+    """Bars per symbol and exchange. A late trade updates its own bar, however late it is.
+
+    The state holds one row per bar. A watermark bounds it, and drops trades that are later;
+    ``rows_too_late`` counts them.
 
-    Append mode gives each bar once it is closed, update mode after every change.
+    Append mode, which needs a watermark, gives each bar once it is closed, update mode after
+    every change.
     """
     position = F.struct("event_time", "sequence_number", "source_offset", "source_topic", "source_partition")
-    trades = silver.trade_rows(bronze.bronze_rows(messages)).withWatermark("event_time", watermark)
+    trades = silver.trade_rows(bronze.bronze_rows(messages))
+    trades = trades.withWatermark("event_time", watermark) if watermark else trades
     return (
         trades.groupBy(F.window("event_time", interval).alias("w"), "symbol", "exchange")
         .agg(

@@ -194,10 +194,64 @@ class StaleMonitor(StatefulProcessor):
         pass
 
 
+class StaleTicks(StatefulProcessor):
+    """The same monitor with ticks that come as rows, as of the time they name."""
+
+    def __init__(self, stale_ms: int):
+        self.stale_ms = stale_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "exchange string, event_us long, mark long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch.sort_values(["ingest_time", "is_tick", *ARRIVAL[1:]], ignore_index=True)
+        exchange, event_us, mark = self.last.get() if self.last.exists() else (None, None, 0)
+        found = []
+        at = batch["ingest_time"].to_numpy("datetime64[us]").astype("int64")
+        events = batch["event_time"].to_numpy("datetime64[us]").astype("int64")
+        for now, is_tick, own_event, own_exchange in zip(at, batch["is_tick"], events, batch["exchange"]):
+            if not is_tick:
+                exchange, event_us = own_exchange, int(own_event)
+            elif event_us is not None:
+                lag = max(0, (int(now) - event_us) // 1000)
+                if lag <= self.stale_ms:
+                    mark = 0
+                elif lag - mark >= self.stale_ms:
+                    mark = lag
+                    found.append((key[0], exchange, pd.Timestamp(int(now), unit="us"), lag))
+        if event_us is not None:
+            self.last.update((exchange, event_us, mark))
+        yield pd.DataFrame(found, columns=["symbol", "exchange", "at", "lag_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def stale_tick_stream(messages: DataFrame, clock: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
+    """Alerts at the ticks of ``clock`` (symbol, tick_time), a stream like any other."""
+    quotes = silver.quote_rows(bronze.bronze_rows(messages)).select(*KEYS, "event_time", *ARRIVAL, F.lit(False).alias("is_tick"))
+    ticks = clock.select(
+        "symbol",
+        F.lit(None).cast("string").alias("exchange"),
+        F.col("tick_time").alias("event_time"),
+        F.col("tick_time").alias("ingest_time"),
+        F.lit(None).cast("string").alias("source_topic"),
+        F.lit(None).cast("long").alias("source_partition"),
+        F.lit(None).cast("long").alias("source_offset"),
+        F.lit(True).alias("is_tick"),
+    )
+    return _stale_alerts(quotes.unionByName(ticks), StaleTicks(stale_ms), "None")
+
+
 def stale_monitor_stream(messages: DataFrame, tick_ms: int = 1000, stale_ms: int = STALE_MS) -> DataFrame:
     quotes = silver.quote_rows(bronze.bronze_rows(messages)).select(*KEYS, "event_time", *ARRIVAL)
-    lagging = quotes.groupBy("symbol").transformWithStateInPandas(
-        StaleMonitor(tick_ms, stale_ms), "symbol string, exchange string, at timestamp, lag_ms long", "Append", "ProcessingTime"
+    return _stale_alerts(quotes, StaleMonitor(tick_ms, stale_ms), "ProcessingTime")
+
+
+def _stale_alerts(rows: DataFrame, monitor: StatefulProcessor, time_mode: str) -> DataFrame:
+    lagging = rows.groupBy("symbol").transformWithStateInPandas(
+        monitor, "symbol string, exchange string, at timestamp, lag_ms long", "Append", time_mode
     )
     return quality_alert_rows(
         lagging.select(
