@@ -33,7 +33,7 @@ def test_changed_and_partial_passages(spark):
     rows = [(1, around(ITEM, 1)), (2, around(changed, 2)), (3, around(rewritten, 3)), (4, around(ITEM[:14], 4)), (5, around(ITEM[:9], 5)), (6, " ".join(ITEM).upper().replace(" ", " - "))]
     for limit in (0, decontaminate.SEED_ROWS):
         found = decontaminate.leaks(documents(spark, rows), benchmark(spark, [(9, " ".join(ITEM))]), seed_rows=limit).collect()
-        assert {r.id: (r.item, r.words, r.same) for r in found} == {1: (9, 30, 30), 2: (9, 30, 26), 4: (9, 14, 14), 6: (9, 30, 30)}
+        assert {r.id: (r.item, r.words, r.same) for r in found} == {1: (9, 30, 30), 2: (9, 26, 23), 4: (9, 14, 14), 6: (9, 30, 30)}
         assert {r.id: r["first"] for r in found}[1] == 50
 
 
