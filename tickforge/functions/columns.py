@@ -68,11 +68,6 @@ def mid_of(bid: str | Column, ask: str | Column) -> Column:
     return round6((col(ask) + col(bid)) / F.lit(2.0))
 
 
-def sorted_json(columns: list[str]) -> Column:
-    """Compact JSON with keys in name order; absent values are left out."""
-    return F.to_json(F.struct(*[F.col(name) for name in sorted(columns)]))
-
-
 def version() -> Column:
     return F.lit(SCHEMA_VERSION)
 

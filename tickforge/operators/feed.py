@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickforge.contracts import FEED_SCHEMA, MISSING_MESSAGE, REQUIRED_FEED_FIELDS, UNSUPPORTED_MESSAGE
-from tickforge.functions.columns import parse_utc, sorted_json, version
+from tickforge.functions.columns import parse_utc, version
 
 ALERT_COLUMNS = [
     "schema_version",
@@ -147,8 +147,3 @@ def canonical_trades(checked: DataFrame) -> DataFrame:
 def canonical_quotes(checked: DataFrame) -> DataFrame:
     fields = [F.col(f"raw.{name}") for name in ("bid_price", "bid_size", "ask_price", "ask_size")]
     return _canonical(checked, "quote").select(*COMMON_COLUMNS, *fields, *FEED_SOURCE)
-
-
-def published(events: DataFrame, columns: list[str], topic: str) -> DataFrame:
-    """Events as messages keyed by symbol."""
-    return events.select(F.col("symbol").alias("key"), sorted_json(columns).alias("value"), F.lit(topic).alias("topic"))

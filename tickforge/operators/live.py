@@ -32,6 +32,7 @@ from tickforge.functions.columns import (
     weighted_price,
     window_start,
 )
+from tickforge.functions.ranking import first_rows
 from tickforge.functions.scans import Running, is_hot, running, trailing
 from tickforge.operators.feed import quality_alert_rows
 from tickforge.operators.silver import ARRIVAL
@@ -275,16 +276,9 @@ def distinct_alerts(alerts: DataFrame) -> DataFrame:
 
 def recent_alerts(alerts: DataFrame, keep: int = ALERTS_STORED, as_of: Column | None = None) -> DataFrame:
     """Newest alerts per symbol; a symbol's list expires an hour after its last alert."""
-    newest_first = Window.partitionBy("symbol").orderBy(
-        F.col("event_time").desc(),
-        F.col("sequence_number").desc(),
-        F.col("alert_type"),
-        F.col("exchange"),
-        F.col("observed_sequence"),
-        F.col("message"),
-    )
+    newest_first = [F.desc("event_time"), F.desc("sequence_number"), *map(F.col, ("alert_type", "exchange", "observed_sequence", "message"))]
     now = F.current_timestamp() if as_of is None else as_of
-    ranked = distinct_alerts(alerts).withColumn("alert_rank", F.row_number().over(newest_first)).where(F.col("alert_rank") <= keep)
+    ranked = first_rows(distinct_alerts(alerts), ["symbol"], newest_first, keep, "alert_rank")
     last = F.max("event_time").over(Window.partitionBy("symbol"))
     alive = F.unix_seconds(now) - F.unix_seconds("_last") < ALERT_TTL_SECONDS
     return ranked.withColumn("_last", last).where(alive).drop("_last")

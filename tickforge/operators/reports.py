@@ -243,7 +243,3 @@ def lineage_trace(
         )
         .join(gold_rows.select(*keys, "first_sequence", "last_sequence"), keys)
     )
-
-
-def upstream_tables() -> list[tuple[str, str]]:
-    return [(name, source) for name, contract in TABLE_CONTRACTS.items() for source in contract.upstream]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickforge.contracts import CHUNK_OVERLAP, CHUNK_WORDS
-from tickforge.operators.silver import keep_latest
+from tickforge.functions.ranking import first_rows
 
 # The front matter form, and what separates words.
 FRONT_MATTER = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
@@ -86,4 +86,4 @@ def chunk_documents(
 def chunk_upsert(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """The index with new chunks in place of those with the same URI and number."""
     rows = index.withColumn("_new", F.lit(0)).unionByName(chunks.withColumn("_new", F.lit(1)))
-    return keep_latest(rows, INDEX_KEYS, [F.col("_new"), F.col("indexed_at"), F.col("content")]).drop("_new")
+    return first_rows(rows, INDEX_KEYS, [F.desc("_new"), F.desc("indexed_at"), F.desc("content")]).drop("_new")

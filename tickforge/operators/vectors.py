@@ -6,14 +6,12 @@ It is built inside the row, so a table of chunks is embedded without a shuffle.
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickforge.contracts import (
     EMBEDDING_SIZE,
@@ -29,42 +27,34 @@ from tickforge.contracts import (
     TOKEN_PATTERN,
 )
 from tickforge.functions.columns import col
+from tickforge.functions.ranking import first_rows
 
 
 EMBEDDING_TYPE = "array<struct<idx:int,weight:double>>"
-REMEMBERED_TOKENS = 1_000_000
+CHUNK_KEY = ["source_uri", "chunk_index"]
+BROADCAST_SLOTS = 200_000
+"""Most slots of all queries together that may be broadcast (about 40 bytes each)."""
 
 
 def tokens(text: str | Column) -> Column:
     return F.transform(F.regexp_extract_all(col(text), F.lit(TOKEN_PATTERN), F.lit(0)), F.lower)
 
 
-def _token_slot(token: str, size: int) -> tuple[int, int]:
-    """Slot and sign of a lower-case token, from its SHA-256 digest."""
-    digest = hashlib.sha256(token.encode()).digest()
-    return int.from_bytes(digest[:4], "big") % size, -1 if digest[4] % 2 else 1
-
-
 def _embedder(size: int):
     """Arrow function over a batch of texts: one sparse unit vector per text."""
 
     @F.arrow_udf(EMBEDDING_TYPE)
     def embed(texts: pa.Array) -> pa.Array:
-        known: dict[str, tuple[int, int]] = _slots_of(size)
-        pattern = re.compile(TOKEN_PATTERN)
-        rows, slots, signs = [], [], []
-        for row, text in enumerate(texts.to_pylist()):
-            for token in pattern.findall(text) if text else ():
-                found = known.get(token)
-                if found is None:
-                    if len(known) >= REMEMBERED_TOKENS:
-                        known.clear()
-                    found = known[token] = _token_slot(token.lower(), size)
-                rows.append(row)
-                slots.append(found[0])
-                signs.append(found[1])
-        cell, at = np.unique(np.array(rows, "int64") * size + np.array(slots, "int64"), return_inverse=True)
-        net = np.bincount(at, np.array(signs, "float64"), len(cell)) if len(cell) else np.zeros(0)
+        find = re.compile(TOKEN_PATTERN).findall
+        found = [find(text) if text else [] for text in texts.to_pylist()]
+        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        met = pa.array([token for f in found for token in f], pa.string()).dictionary_encode()
+        digests = [hashlib.sha256(token.lower().encode()).digest() for token in met.dictionary.to_pylist()]
+        slots = np.array([int.from_bytes(d[:4], "big") % size for d in digests], "int64")
+        signs = np.array([-1.0 if d[4] % 2 else 1.0 for d in digests])
+        which = met.indices.to_numpy()
+        cell, at = np.unique(rows * size + slots[which], return_inverse=True)
+        net = np.bincount(at, signs[which], len(cell)) if len(cell) else np.zeros(0)
         cell, net = cell[net != 0], net[net != 0]
         row, idx = cell // size, cell % size
         norm = np.sqrt(np.bincount(row, net * net, len(texts)))
@@ -77,12 +67,6 @@ def _embedder(size: int):
     return embed
 
 
-@functools.lru_cache(maxsize=4)
-def _slots_of(size: int) -> dict[str, tuple[int, int]]:
-    """Tokens already hashed by this Python worker."""
-    return {}
-
-
 def with_embedding(chunks: DataFrame, text: str = "content", size: int = EMBEDDING_SIZE) -> DataFrame:
     """Add the sparse vector of a text column.
 
@@ -106,52 +90,29 @@ def dot(left: str | Column, right: str | Column) -> Column:
     return F.when((F.size(left) == F.size(right)) & (F.size(left) > 0), total).otherwise(F.lit(0.0))
 
 
-def query_vector(text: str, size: int = EMBEDDING_SIZE) -> list[float]:
-    """The dense vector of one short query text, as a literal for the search."""
-    vector = [0.0] * size
-    for token in re.findall(TOKEN_PATTERN, text):
-        slot, sign = _token_slot(token.lower(), size)
-        vector[slot] += sign
-    norm = math.sqrt(math.fsum(value * value for value in vector))
-    return [value / norm for value in vector] if norm else vector
-
-
 def vector_topk(
-    chunks: DataFrame, queries: dict[str, str], limit: int = SEARCH_LIMIT, min_score: float | None = 0.0
+    chunks: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT, min_score: float | None = 0.0
 ) -> DataFrame:
-    """Best chunks for each of a few query texts.
+    """Best chunks for each query (query_id, query).
 
-    The query vectors are literals, so every chunk is scored where it is read and each
-    task passes on at most ``limit`` rows per query. ``min_score=None`` keeps scores
-    of zero and below.
+    Chunks and queries meet on the slots they share: sums per query and chunk are made in
+    the task that reads the chunk, only keys and scores are ranked, and the content is
+    fetched for the winners. ``min_score=None`` keeps sums of zero and below too; chunks
+    that share no slot with a query are never found.
     """
-    asked = F.array(
-        *[
-            F.struct(F.lit(name).alias("query_id"), F.array(*[F.lit(v) for v in query_vector(text)]).alias("vector"))
-            for name, text in queries.items()
-        ]
-    )
-    product = F.aggregate(
-        "embedding", F.lit(0.0), lambda acc, e: acc + F.element_at(F.col("query.vector"), e["idx"] + 1) * e["weight"]
-    )
-    scored = (
-        chunks.withColumn("query", F.explode(asked))
-        .withColumn("query_id", F.col("query.query_id"))
-        .withColumn("score", F.round(product, 6))
-        .drop("query", "embedding")
-    )
+    asked = with_embedding(queries, "query").select("query_id", F.inline("embedding").alias("idx", "asked"))
+    asked = F.broadcast(asked) if len(asked.limit(BROADCAST_SLOTS + 1).groupBy().count().where(F.col("count") <= BROADCAST_SLOTS).take(1)) else asked
+    slots = chunks.select(*CHUNK_KEY, F.inline("embedding").alias("idx", "weight"))
+    scored = slots.join(asked, "idx").groupBy("query_id", *CHUNK_KEY).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
     if min_score is not None:
         scored = scored.where(F.col("score") > min_score)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source_uri", "chunk_index")
-    return scored.withColumn("result_rank", F.row_number().over(best)).where(F.col("result_rank") <= limit)
-
-
-def incident_query(incident_id: str) -> str:
-    return INCIDENT_QUERY % incident_id
+    best = first_rows(scored, ["query_id"], [F.col("score").desc(), *map(F.col, CHUNK_KEY)], limit, "result_rank")
+    return best.join(chunks.drop("embedding"), CHUNK_KEY)
 
 
-def freshness_query(symbol: str) -> str:
-    return FRESHNESS_QUERY % symbol.upper()
+def freshness_queries(symbols: DataFrame) -> DataFrame:
+    """(query_id, query) for each symbol."""
+    return symbols.select(F.col("symbol").alias("query_id"), F.format_string(FRESHNESS_QUERY, F.upper("symbol")).alias("query"))
 
 
 def incident_summary(chunks: DataFrame, incident_ids: list[str]) -> DataFrame:
@@ -159,14 +120,14 @@ def incident_summary(chunks: DataFrame, incident_ids: list[str]) -> DataFrame:
 
     Works on at most six result rows per incident.
     """
-    found = vector_topk(chunks, {name: incident_query(name) for name in incident_ids}, INCIDENT_LIMIT)
     asked = chunks.sparkSession.createDataFrame([(name,) for name in incident_ids], "query_id string")
+    found = vector_topk(chunks, asked.withColumn("query", F.format_string(INCIDENT_QUERY, "query_id")), INCIDENT_LIMIT)
     ranked = found.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("result_rank", "title", "content", "source_uri", "chunk_index"))).alias("results")
     )
     first = F.col("results")[0]
     timeline = F.transform(F.slice("results", 1, TIMELINE_ENTRIES), lambda r: F.substring(r["content"], 1, TIMELINE_CHARS))
-    return asked.join(F.broadcast(ranked), "query_id", "left").select(
+    return asked.join(ranked, "query_id", "left").select(
         F.col("query_id").alias("incident_id"),
         F.when(
             first.isNotNull(), F.format_string(EVIDENCE_MESSAGE, first["title"], F.substring(first["content"], 1, SUMMARY_CHARS))

@@ -8,15 +8,6 @@ from tickforge.operators import text
 from tickforge.plans.market import table
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Give a small one-file input to all cores before costly work on its text.
-
-    A large table has more input splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of every document; those with an even id have front matter."""
     documents = table(spark, sf_dir, "documents")
@@ -36,12 +27,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.chunk_documents(spread_out(text.frontmatter(notes(spark, sf_dir), "docs")))
+    return text.chunk_documents(text.frontmatter(notes(spark, sf_dir), "docs"))
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("source_uri"), "page_id", "html")
-    return text.chunk_documents(spread_out(pages), text="html")
+    return text.chunk_documents(pages, text="html")
 
 
 def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +41,7 @@ def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("title"),
         "text",
     )
-    return text.chunk_documents(spread_out(turns), text="text")
+    return text.chunk_documents(turns, text="text")
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import re
 
-from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES, SEVERAL_DAYS, SYMBOLS
-from tickforge.operators.vectors import freshness_query, incident_query
+from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES, SEVERAL_DAYS
 
 START = f"TIMESTAMP '{DAY} 00:00:00'"
 MIDDLE = f"TIMESTAMP '{DAY} 00:01:30'"
@@ -315,8 +314,8 @@ PARTS = {
     "turn_vectors": _vectors("turn_chunks"),
     "page_chunks": _chunks("(SELECT url AS source_uri, page_id, html FROM pages)", "source_uri", "html"),
     "searched": _searched(SEARCHES, 5),
-    "fresh_found": _searched({symbol: freshness_query(symbol) for symbol in SYMBOLS}, 5),
-    "incident_found": _searched({name: incident_query(name) for name in INCIDENTS}, 6),
+    "fresh_found": _searched({f"SYM{n:02d}": f"SYM{n:02d} stale freshness redis alert runbook" for n in range(12)}, 5),
+    "incident_found": _searched({name: f"{name} incident timeline symptoms runbook alerts" for name in INCIDENTS}, 6),
     "audit": """
     SELECT event_type AS tool_name, CASE WHEN value > 100 THEN 'error' ELSE 'ok' END AS result_status, value AS latency_ms,
            ts AS timestamp, 'user-' || user_id AS caller, props AS parameters, round(value)::BIGINT AS duration_ms FROM events""",

@@ -15,7 +15,6 @@ from tickforge.sources import topics
 
 DAY = "2024-01-01"
 SEARCHES = {"runbook": "the stale symbol runbook", "lineage": "la lineage de bronze and silver", "replay": "REPLAY dry run of the day"}
-SYMBOLS = [f"SYM{n:02d}" for n in range(12)]
 INCIDENTS = ["INC-001", "the-and-of"]
 
 
@@ -191,7 +190,7 @@ def _evidence(m: Market) -> DataFrame:
 def _freshness_check(m: Market) -> DataFrame:
     """For every symbol: how fresh it is, and what the notes have on that."""
     fresh = live.newest(live.freshness(m.quote_rows, end()), ["symbol"])
-    found = vectors.vector_topk(_evidence(m), {symbol: vectors.freshness_query(symbol) for symbol in SYMBOLS})
+    found = vectors.vector_topk(_evidence(m), vectors.freshness_queries(fresh.select("symbol")))
     return reports.freshness_check(fresh, found)
 
 
@@ -319,7 +318,7 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "chunk_upsert": _upsert,
     "hashed_embedding": _hashed,
     "cosine_pairs": _pairs,
-    "vector_topk": lambda m: vectors.vector_topk(_evidence(m), SEARCHES).select(
+    "vector_topk": lambda m: vectors.vector_topk(_evidence(m), m.spark.createDataFrame(list(SEARCHES.items()), "query_id string, query string")).select(
         "query_id", "result_rank", "source_uri", "chunk_index", "title", "source_type", "score", F.md5("content").alias("content_md5")
     ),
     "incident_summary": lambda m: vectors.incident_summary(_evidence(m), INCIDENTS),
