@@ -98,12 +98,14 @@ def test_restart_continues_where_it_stopped(spark, sent):
 def test_hot_state_is_the_same_when_a_batch_comes_twice(spark, sent):
     place, all_messages = sent
     half = F.unix_micros("timestamp") % 2 == 0
-    once, twice = (sinks.HotState(spark, scratch_path(spark, "state")) for _ in range(2))
+    as_of = F.lit("2024-01-01 00:03:05").cast("timestamp")
+    once, twice = (sinks.HotState(spark, scratch_path(spark, "state"), as_of) for _ in range(2))
     once.upsert(all_messages, 0)
     twice.upsert(all_messages.where(half), 0)
     twice.upsert(all_messages.where(~half), 1)
     twice.upsert(all_messages.where(~half), 1)
-    assert once.read().count() > 0
+    assert {row.state_kind for row in once.read().collect()} == {"latest_quote", "freshness"}
+    assert twice._versions() == [0, 1]
     assert rows_of(once.read()) == rows_of(twice.read())
     assert once.read(F.lit("2030-01-01").cast("timestamp")).count() == 0
 

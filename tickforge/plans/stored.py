@@ -127,22 +127,27 @@ def _derived_topic_sink(m: Market) -> DataFrame:
     return back.select("topic", "key", "partition", "offset", F.get_json_object("value", "$.sequence_number").cast("long").alias("sequence_number"))
 
 
+def _entries(state: sinks.HotState) -> DataFrame:
+    status = F.get_json_object("payload", "$.status")
+    return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at", status.alias("status"))
+
+
 def _stream_hot_state(m: Market) -> DataFrame:
     place = _place(m, "hot")
     messages = reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
-    state = sinks.HotState(m.spark, f"{place}/state")
+    state = sinks.HotState(m.spark, f"{place}/state", end())
     jobs.each_batch(_stored(m, messages, f"{place}/topics"), state.upsert, f"{place}/checkpoint").awaitTermination()
-    return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at")
+    return _entries(state)
 
 
 def _hot_state_upsert(m: Market) -> DataFrame:
     """The same entries in two batches by hand, the second one delivered twice."""
     messages = reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
-    state = sinks.HotState(m.spark, _place(m, "upsert"))
+    state = sinks.HotState(m.spark, _place(m, "upsert"), end())
     even = F.col("offset") % 8 < 4
     for batch, part in ((0, even), (1, ~even), (1, ~even)):
         state.upsert(messages.where(part), batch)
-    return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at")
+    return _entries(state)
 
 
 def _feed_source(m: Market) -> DataFrame:
@@ -266,11 +271,13 @@ STORED_SQL = {
            observed_sequence AS sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM tracked""",
     "stream_rolling_metrics": "SELECT * REPLACE (round(rolling_vwap, 6) AS rolling_vwap) FROM metric_rows",
     "stream_hot_state": """
-    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at
-    FROM state WHERE state_kind <> 'freshness'""",
+    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at,
+           CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END AS status
+    FROM state""",
     "hot_state_upsert": """
-    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at
-    FROM state WHERE state_kind <> 'freshness'""",
+    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at,
+           CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END AS status
+    FROM state""",
     "feed_source": """
     SELECT 'feed.synthetic.raw.v1' AS topic, source_partition AS partition, source_offset AS "offset", ingest_time,
            NOT cut AND NOT lacking AND sent_type = event_type AS usable FROM sent_feed""",
