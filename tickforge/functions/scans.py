@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tickforge.session import work_folder
+from tickforge.session import scratch_path
 
 ROWS_PER_TASK = 5_000_000
 TILE = "_tile"
@@ -55,13 +55,22 @@ def is_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
 
 
 def range_tiles(df: DataFrame, keys: list[str], order: list[str], limit: int | None = None) -> DataFrame:
-    """Add an even, ordered tile number. Cut points come from a sample of the rows,
-    so the tiles are stored: every later reader must see the same ones."""
+    """Add an even, ordered tile number.
+
+    The rows are stored first, so that counting them and sampling cut points does not
+    evaluate what is above again, and once more with their tiles: every later reader must
+    see the same ones.
+    """
     limit = limit or rows_per_task(df.sparkSession)
-    work_folder(df.sparkSession)
-    parts = max(2, -(-df.count() // limit))
-    tiled = df.repartitionByRange(parts, *keys, *order).withColumn(TILE, F.spark_partition_id())
-    return tiled.checkpoint()
+    rows = _stored(df)
+    parts = max(2, -(-rows.count() // limit))
+    return _stored(rows.repartitionByRange(parts, *keys, *order).withColumn(TILE, F.spark_partition_id()))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "scan")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _over(run: Running, window) -> Column:

@@ -627,6 +627,9 @@ DATED = {
 }
 
 
+TILED = "sequence_gaps sequence_track rolling_metrics bar_updates signal_frame symbol_resolution".split()
+
+
 def _dates_as_text(name: str, sql: str) -> str:
     """Dates as text on both sides: clients differ in how they hand out a DATE."""
     for columns, names in DATED.items():
@@ -641,4 +644,5 @@ def oracle_sql() -> dict[str, str]:
 
     selects = {**SELECTS, "table_conformance": _conformance_sql(), "stale_alerts": _stale_sql(), **STORED_SQL, "stream_stale_monitor": _stale_sql()}
     found = {name: _dates_as_text(name, _with(sql)) for name, sql in selects.items()}
+    found |= {f"{name}_tiled": found[name] for name in TILED}
     return {name: sql.replace("// 14400", "// 10") if name in SEVERAL_DAYS else sql for name, sql in found.items()}

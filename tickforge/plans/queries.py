@@ -325,6 +325,17 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
 }
 
 
+# The forms for keys too large for a task, whatever the size of the tables.
+BATCH |= {
+    "sequence_gaps_tiled": lambda m: silver.sequence_gaps(m.bronze, hot=True),
+    "sequence_track_tiled": lambda m: silver.sequence_track(m.bronze, hot=True),
+    "rolling_metrics_tiled": lambda m: live.rolling_metrics(m.trade_rows, hot=True),
+    "bar_updates_tiled": lambda m: live.bar_updates(m.trade_rows, hot=True),
+    "signal_frame_tiled": lambda m: gold.signal_frame(m.features, hot=True),
+    "symbol_resolution_tiled": lambda m: vendor.symbol_resolution(m.records, hot=True).select("record_id", "instrument_id", "resolved_symbol"),
+}
+
+
 def _routed(m: Market) -> DataFrame:
     parts = [rows.groupBy("symbol").count().select(F.lit(name).alias("route"), "symbol", F.col("count").alias("event_count")) for name, rows in bronze_ops.event_router(m.bronze).items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
