@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """
     known = labels.filter(F.col(id).isNotNull()).dropDuplicates([id])
     sample = F.broadcast(known.orderBy(F.xxhash64(id), id).limit(sample_rows).select(F.col(id).alias("_key"), "quality", "toxic"))
-    rows = docs.join(sample, F.col(id) == F.col("_key")).select(F.col(text).alias("text"), "quality", "toxic")
+    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text"))
+    rows = texts.join(sample, F.col("_id") == F.col("_key")).select("text", "quality", "toxic")
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
