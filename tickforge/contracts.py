@@ -254,6 +254,7 @@ class TableContract:
     upstream: tuple[str, ...]
 
 
+# Zone, grain, partition columns, columns and upstream tables of each table.
 TABLE_CONTRACTS: dict[str, TableContract] = {
     "bronze_market_events": TableContract(
         "bronze",

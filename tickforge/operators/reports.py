@@ -120,14 +120,19 @@ def latency_summary(requests: DataFrame, keys: list[str], value: str, time: str,
     """Requests, throughput, mean and the 95th and 99th percentile per key.
 
     A percentile is the element at round(p/100 * (n-1)), half to even. Equal values
-    are counted first, so what is ordered is one row per distinct value.
+    are added up first; that histogram is all that is ordered and summed further on.
     """
-    counted = requests.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = requests.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(time).alias("_first"),
+        F.max(time).alias("_last"),
+        F.sum(F.col(value).cast("decimal(27,9)")).alias("_part"),
+    )
     upto = running(counted, keys, [value], {"_upto": Running("sum", F.col("_n"))}, hot)
-    totals = requests.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("request_count"),
-        (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))).alias("_span"),
-        F.sum(F.col(value).cast("decimal(27,9)")).alias("_sum"),
+    totals = counted.groupBy(*keys).agg(
+        F.sum("_n").alias("request_count"),
+        (F.unix_micros(F.max("_last")) - F.unix_micros(F.min("_first"))).alias("_span"),
+        F.sum("_part").alias("_sum"),
     )
     rank = {p: F.bround(F.lit(p / 100.0) * (F.col("request_count") - 1), 0).cast("long") for p in (95, 99)}
     picked = (
@@ -226,7 +231,8 @@ def lineage_trace(
         gold_rows = gold_rows.where((F.col("window_start") == window_start(at)) & (F.col("event_date") == F.to_date(at)))
         rows = rows.where((F.col("window_start") == window_start(at)) & (F.col("event_date") == F.to_date(at)))
         behind = behind.where((window_start("event_time") == window_start(at)) & (F.col("event_date") == F.to_date(at)))
-    source = ["source_topic", "source_partition", "source_offset"]
+    # The date is part of the key: both tables are partitioned by it.
+    source = ["event_date", "source_topic", "source_partition", "source_offset"]
     keys = ["symbol", "exchange", "window_start"]
     return (
         rows.select(*keys, *source)
