@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickforge.llm.common import stored
 
@@ -108,13 +108,20 @@ def _grams_of(word: str, n: int):
 
 
 def _logs(counts: DataFrame, languages: list[str], limit: int) -> tuple[dict[str, int], np.ndarray]:
-    """The `limit` most frequent words with their smoothed log frequency in each language."""
+    """The most frequent words, at most `limit`, with their smoothed log frequency in each language.
+
+    A histogram of the counts gives the count that a word must exceed, so no task and not the
+    driver gets more than the words of the model; words that tie there are left to the n-grams.
+    """
     per_language = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]
     if not languages:
         return {}, np.zeros((0, 0))
-    wide = counts.groupBy("word").agg(F.sum("n").alias("n"), *per_language)
-    totals = np.array(counts.groupBy().agg(*per_language).first(), np.float64)
-    top = wide.orderBy(F.desc("n"), "word").limit(limit).drop("n").toPandas()
+    wide = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), *per_language), "word-totals")
+    totals = np.array(wide.agg(*(F.sum(f"n{i}") for i in range(len(languages)))).first(), np.float64)
+    more = F.sum("words").over(W.orderBy(F.desc("n")))
+    histogram = wide.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("more", more)
+    exceeded = histogram.filter(F.col("more") > limit).agg(F.max("n").alias("n")).first().n or 0
+    top = wide.filter(F.col("n") > exceeded).drop("n").toPandas()
     found = top[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
     logs = np.log((found + SMOOTHING) / (totals + SMOOTHING * (len(found) + 1)))
     return {w: i for i, w in enumerate(top["word"])}, logs.astype(np.float32)
