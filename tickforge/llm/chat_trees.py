@@ -61,10 +61,10 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         jumps.append(state.filter("up is not null").select("key", "up"))
         over = state.select(F.col("key").alias("up"), F.col("up").alias("far"), F.col("root").alias("far_root"), F.col("score").alias("more"), F.col("depth").alias("deeper"))
         state = stored(
-            state.join(over, "up", "left").select(
+            state.filter("up is not null").join(over, "up", "left").select(
                 "key", F.col("far").alias("up"), F.coalesce("far_root", "root").alias("root"),
                 (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"),
-            ),
+            ).unionByName(state.filter("up is null").select("key", "up", "root", "score", "depth")),
             "jumps",
         )
         level += 1
