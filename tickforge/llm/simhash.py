@@ -15,7 +15,7 @@ smallest there: 65 rows per member, no pairs, the same components.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,14 +129,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", pai
     return rows.join(chosen, "fp").select("id", "fp", "component", "kept_fp")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the one that stands for it.
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component that `find` gives, the one that stands for it.
 
     Rows that share an id, or have none, are taken as one document: they stay if one of them
     stands for its component, and of those with equal texts one stays.
     """
     stands = F.col("id").eqNullSafe(F.col("component")) & (F.col("fp") == F.col("kept_fp"))
-    found = near_duplicates(docs, id, text).groupBy("id").agg(F.bool_or(stands).alias("stays"), F.count(F.lit(1)).alias("n"))
+    found = find(docs, id, text).groupBy("id").agg(F.bool_or(stands).alias("stays"), F.count(F.lit(1)).alias("n"))
     marks = stored(found.filter("not stays or n > 1").withColumnRenamed("id", "_key"), "near-duplicates")
     gone, again = small_side(marks.filter("not stays").select("_key")), small_side(marks.filter("stays").select("_key"))
     left = docs.join(gone, docs[id].eqNullSafe(gone["_key"]), "left_anti")
