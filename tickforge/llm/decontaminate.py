@@ -77,11 +77,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     return _runs(compared)
 
 
+def _enough(words: Column) -> Column:
+    return (words >= SPAN) & ((words >= MIN_WORDS) | (words >= F.ceil(F.col("item_words") * MIN_SHARE)))
+
+
 def _runs(compared: DataFrame) -> DataFrame:
-    """The best run of each line: that with the highest sum of 1 per equal and -4 per changed token.
+    """The leak on each line, if there is one.
 
-    With these weights a run stops paying as MAX_CHANGED of it is changed. One fold over the
-    line keeps the open run and the best so far.
+    That is the best run, with the highest sum of 1 per equal and -4 per changed token, if it is
+    long enough; with these weights a run stops paying as MAX_CHANGED of it is changed. Else it is
+    the longest stretch from one equal token to another with at most MAX_CHANGED of it changed:
+    changes side by side split the best run, and each half of it may be too short.
     """
     loss = round((1 - MAX_CHANGED) / MAX_CHANGED)
     fold = f"""
@@ -97,14 +103,45 @@ def _runs(compared: DataFrame) -> DataFrame:
             IF(a.score + IF(s = 1, 1, -{loss}) > a.best, a.at, a.last) AS last,
             IF(a.score + IF(s = 1, 1, -{loss}) > a.best, a.same + s, a.hits) AS hits))
     """
-    run = compared.select("id", "item", "begin", "item_words", F.expr(fold).alias("r"))
-    found = run.select(
+    columns = ["id", "item", "begin", "item_words"]
+    run = compared.select(*columns, "same", F.expr(fold).alias("r"))
+    best = run.filter(_enough(F.col("r.last") - F.col("r.first") + 1)).select(*columns, "r.first", "r.last", F.col("r.hits").alias("same"))
+    # no stretch is long enough without this many equal tokens, so most chance hits end here
+    least = F.ceil(F.least(F.lit(MIN_WORDS), F.greatest(F.lit(SPAN), F.ceil(F.col("item_words") * MIN_SHARE))) * (1 - MAX_CHANGED))
+    short = run.filter(~_enough(F.col("r.last") - F.col("r.first") + 1)).filter(F.expr("aggregate(same, 0, (n, s) -> n + s)") >= least)
+    both = best.unionByName(_longest(short.select(*columns, "same"), loss))
+    found = both.select(
         "id", "item",
-        (F.col("begin") + F.col("r.first")).alias("first"), (F.col("begin") + F.col("r.last")).alias("last"),
-        (F.col("r.last") - F.col("r.first") + 1).alias("words"), F.col("r.hits").alias("same"), "item_words",
+        (F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("last")).alias("last"),
+        (F.col("last") - F.col("first") + 1).alias("words"), "same", "item_words",
     )
-    enough = (F.col("words") >= MIN_WORDS) | (F.col("words") >= F.ceil(F.col("item_words") * MIN_SHARE))
-    return found.filter((F.col("words") >= SPAN) & enough).distinct()
+    return found.filter(_enough(F.col("words"))).distinct()
+
+
+def _longest(compared: DataFrame, loss: int) -> DataFrame:
+    """The longest stretch of each line with no more than MAX_CHANGED changed.
+
+    With `loss` per changed and -1 per equal token that is the pair of places furthest apart
+    between which the sum does not rise. The sums are sorted from the highest down; one fold keeps
+    the earliest place so far, from which a stretch to the current one is allowed.
+    """
+    sums = f"""
+        aggregate(same, array(0), (a, s) -> concat(a, array(element_at(a, -1) + IF(s = 1, -1, {loss}))))
+    """
+    sorted_places = "array_sort(transform(sums, (x, i) -> struct(-x AS down, i AS place)))"
+    # same[place] opens a stretch, same[place - 1] ends one; both have to be equal tokens
+    fold = f"""
+        aggregate({sorted_places}, struct(size(same) AS low, 0 AS first, -1 AS last),
+          (a, p) -> struct(
+            IF(p.place < size(same) AND get(same, p.place) = 1, least(a.low, p.place), a.low) AS low,
+            IF(get(same, p.place - 1) = 1 AND p.place - a.low > a.last - a.first + 1, a.low, a.first) AS first,
+            IF(get(same, p.place - 1) = 1 AND p.place - a.low > a.last - a.first + 1, p.place - 1, a.last) AS last))
+    """
+    columns = ["id", "item", "begin", "item_words"]
+    placed = compared.select(*columns, "same", F.expr(sums).alias("sums"))
+    found = placed.select(*columns, "same", F.expr(fold).alias("r"))
+    hits = "aggregate(slice(same, r.first + 1, r.last - r.first + 1), 0, (n, s) -> n + s)"
+    return found.select(*columns, "r.first", "r.last", F.expr(hits).alias("same"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
