@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickforge.llm import chunks, decontaminate, near_copies, packing, quality, simhash
+from tickforge.llm import chunks, decontaminate, packing, quality, simhash
 from tickforge.llm.common import stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest id."""
-    return simhash.keep_one(docs, find=near_copies.near_copies)
+    """One document of each group that SimHash links: that with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
