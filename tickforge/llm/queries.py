@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tickforge.llm import chat_trees, chunks, decontaminate, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
+from tickforge.llm import chat_trees, chunks, decontaminate, exact, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("sequence_id", F.inline("pieces"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -133,8 +140,9 @@ def queries() -> dict[str, Query]:
         "op8_rans": op8_rans,
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
+        "op11_exact": op11_exact,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_chunks": sql.OP9}
+    return {"op9_line_chunks": sql.OP9, "op11_exact": sql.OP11}

@@ -35,3 +35,13 @@ SELECT d.doc_id, coalesce(k.lines, 0) AS lines, coalesce(k.removed_lines, 0) AS
   length(k.body) AS kept_chars, md5(k.body) AS kept_md5
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+OP11 = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, text_sha256,
+  first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept
+FROM texts WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+"""
