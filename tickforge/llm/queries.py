@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tickforge.llm import chat_trees, chunks, decontaminate, exact, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
+from tickforge.llm import chat_trees, chunks, decontaminate, exact, filter_audit, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,11 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.labelled(failed, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -141,8 +146,9 @@ def queries() -> dict[str, Query]:
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
         "op11_exact": op11_exact,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_chunks": sql.OP9, "op11_exact": sql.OP11}
+    return {"op9_line_chunks": sql.OP9, "op11_exact": sql.OP11, "op13_filter_audit": sql.OP13}

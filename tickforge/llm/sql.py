@@ -45,3 +45,42 @@ SELECT doc_id, text_sha256,
   first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept
 FROM texts WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
+
+OP13 = r"""
+WITH marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), counted AS (
+  SELECT doc_id, part, text, len(words) AS words, len(list_distinct(words)) AS distinct_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, regexp_matches(text, '[#$%&*|]') AS symbols,
+    min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts)
+), masked AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN words < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * distinct_words < 50 * words THEN 2 ELSE 0 END
+    + CASE WHEN 100 * capitals > 2 * length(text) THEN 4 ELSE 0 END + CASE WHEN symbols THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask
+  FROM counted LEFT JOIN marks USING (doc_id)
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, mask
+), letters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM (SELECT *, unnest(range(1, 6))::INT AS step FROM orders)
+)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit > 0), 0)::BIGINT AS shapley
+FROM counts, steps GROUP BY part, filter_order, step, bit, before
+"""
