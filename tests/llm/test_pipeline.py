@@ -34,7 +34,6 @@ def test_stages(spark, sf_dir):
     assert kept["benchmark_decontamination"].keys() == kept["simhash_near_dedup"].keys() - leaky
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     packed = corpus_pipeline.pack(spark, docs, sf_dir).collect()
     parts = sorted((p.doc_id, p.start, np.frombuffer(r.ids, "<u4")[p.offset : p.offset + p.length]) for r in packed for p in r.pieces)
     for doc_id, row in kept["benchmark_decontamination"].items():

@@ -16,23 +16,24 @@ from tickforge.llm.queries import queries
 from tickforge.llm.tokens import Memo, TextTokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ROWS = [(4, "b"), (2, "Hello, world."), (2, "Hello, world."), (None, "no id"), (7, None), (9, ""), (11, long_text(1, 30_000)), (3, "İ 日本 <|endoftext|>")]
+ROWS = [(4, "b"), (2, "Hello, world."), (2, "Hello, world."), (None, "no id"), (7, None), (9, ""), (11, long_text(1, 30_000)), (3, "İ 日本 <|endoftext|>"), (12, "a<|endoftext|>b <|startoftext|>")]
 
 
 def own_ids(path, texts, end):
+    """By an untouched tokenizer."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [end] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_ids_are_those_of_the_whole_text(path, spark, sf_dir):
     draw = random.Random(3)
-    signs = " \n\t.,'sa tESTdLl²\x1c\xa0éİ́J̌ 12!?ñß  日本<|endoftext|>"
+    signs = [*" \n\t.,'sa tESTdLl²\x1c\xa0éİ́J̌ 12!?ñß  日本<|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
     texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(30))) for _ in range(5000)]
+    texts += ["".join(draw.choice("a b,") for _ in range(draw.randrange(12))) for _ in range(500)]
     texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     tokens = TextTokens(path)
-    tokens.words = Memo(500)
+    tokens.words, tokens.pieces = Memo(tokens.words.make, 500), Memo(tokens.pieces.make, 500)
     found = [np.frombuffer(x, tokens.dtype).tolist() + [0] for x in tokens.encode(texts)]
     assert found == own_ids(path, texts, 0)
 

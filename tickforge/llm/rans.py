@@ -1,7 +1,7 @@
 """Token ids in a compact file format: static range asymmetric numeral system (rANS).
 
 Layout of a folder: `table` (one row: the shared frequency table), `blocks` (independent
-blocks of whole documents in id order). A block's ids are dealt over LANES coder states in
+blocks of whole documents in id order, in parts), `places` (how many ids come before each part). A block's ids are dealt over LANES coder states in
 turn, which NumPy advances together. Every CHECKPOINT_ROWS steps the block keeps the states,
 the place in its words and a checksum of the ids up to the next checkpoint, so that a reader
 can start at any of them and decode the segments of one block in parallel.
@@ -117,20 +117,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", te
     """Write the ids of all texts, each followed by `end_id`, in ascending order of `id`.
 
     Null texts are empty and have the end id alone; null ids come first; rows with equal ids
-    follow one another in the order of their texts; an empty table gives no block. Two passes
-    over the ids: they are stored in order, counted, and encoded with the counts as table.
+    follow one another in the order of a hash of their texts; an empty table gives no block. Two
+    passes over the ids: they are stored where the texts are read and counted, then put in order
+    and encoded with the counts as table.
     """
     spark = docs.sparkSession
     kept = fresh_path(spark, "ids")
-    ids = stored_at(_ordered_ids(docs, tokenizer, id, text, end_id), kept)
+    ids = stored_at(_ids(docs, tokenizer, id, text, end_id), kept)
     table = Table.of(_counts(ids))
     spark.createDataFrame([(PRECISION, table.frequencies.astype(np.int64).tolist())], "precision int, frequencies array<long>").coalesce(
         1
     ).write.parquet(f"{path}/table")
-    totals = ids.groupBy("part").agg(F.sum("n").alias("n"))
-    blocks = ids.select("part", "local_start", "doc_id", "n", "ids").mapInArrow(_encoder(table), BLOCK_SCHEMA)
-    placed = blocks.join(small_side(offsets_before(totals, "part", "n")), "part")
-    placed.withColumn("start", F.col("before") + F.col("local_start")).drop("part", "local_start", "before").write.parquet(f"{path}/blocks")
+    ordered = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    ordered.select("doc_id", "n", "ids").mapInArrow(_encoder(table), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    totals = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    offsets_before(totals, "part", "n").write.parquet(f"{path}/places")
     drop_path(spark, kept)
 
 
@@ -161,7 +162,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         ["doc_id", "start", "ids"],
                     )
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, start long, ids binary")
+    blocks = spark.read.parquet(f"{path}/blocks").join(small_side(spark.read.parquet(f"{path}/places")), "part")
+    placed = blocks.withColumn("start", F.col("before") + F.col("local_start"))
+    return placed.mapInArrow(decode, "doc_id long, start long, ids binary")
 
 
 def decode_block(block: dict, table: Table) -> np.ndarray:
@@ -177,25 +180,22 @@ def decode_block(block: dict, table: Table) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _ordered_ids(docs: DataFrame, tokenizer: str, id: str, text: str, end_id: int) -> DataFrame:
+def _ids(docs: DataFrame, tokenizer: str, id: str, text: str, end_id: int) -> DataFrame:
+    """(doc_id, tie, n, ids) of each row; `tie` puts rows with equal ids in order."""
+
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, at = text_tokens(tokenizer), TaskContext.get().partitionId(), 0
+        tokens = text_tokens(tokenizer)
         end = np.array([end_id], tokens.dtype).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = batch.slice(lo, 500)
-                ids = [x + end for x in tokens.encode(rows.column(1).to_pylist())]
+                ids = [x + end for x in tokens.encode(rows.column(2).to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64) // tokens.dtype.itemsize
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.record_batch(
-                    [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), rows.column(0), pa.array(n), pa.array(ids, pa.binary())],
-                    ["part", "local_start", "doc_id", "n", "ids"],
-                )
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "tie", "n", "ids"])
 
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return ordered.mapInArrow(encode_texts, "part int, local_start long, doc_id long, n long, ids binary")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tie"), body.alias("text"))
+    return rows.mapInArrow(encode_texts, "doc_id long, tie long, n long, ids binary")
 
 
 def _numbers(ids: bytes, n: int) -> np.ndarray:
@@ -237,16 +237,14 @@ def _encoder(table: Table):
         return pa.RecordBatch.from_pylist([row], _BLOCK_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(frequencies)
-        docs, pieces, part, start, size = [], [], None, 0, 0
+        table, part = Table(frequencies), TaskContext.get().partitionId()
+        docs, pieces, start, size = [], [], 0, 0
         for batch in batches:
-            for own, at, doc, n, raw in zip(*(batch.column(i) for i in range(5))):
-                own, at, n = own.as_py(), at.as_py(), n.as_py()
-                if docs and (size >= BLOCK_IDS or own != part or at != start + size):
+            for doc, n, raw in zip(*(batch.column(i) for i in range(3))):
+                if size >= BLOCK_IDS:
                     yield block(part, start, docs, pieces, table)
-                    docs, pieces, size = [], [], 0
-                if not docs:
-                    part, start = own, at
+                    docs, pieces, start, size = [], [], start + size, 0
+                n = n.as_py()
                 docs.append((doc.as_py(), n))
                 pieces.append(_numbers(raw.as_py(), n))
                 size += n

@@ -5,11 +5,13 @@ looked up, and only words not met before go through the tokenizer's model. The i
 of encoding the whole text, since tokenizers of this kind never join characters over a cut:
 
 * Texts of plain Latin-1 characters are cut by Python's `re`, with the pattern's classes of
-  letters and numbers written out for them. There normalization changes case alone.
+  letters and numbers written out for them. There normalization changes case alone. Where every
+  space stands between two characters that are not white space, a cut comes before each of them,
+  and what lies between two spaces is looked up as one piece.
 * Other texts are cut by the pattern itself if the tokenizer does not normalize, and are
   encoded whole if it does.
-
-Strings of special tokens inside a text are ordinary text.
+* A text that holds the string of an added token is encoded whole. With `special=False` such
+  strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -34,33 +36,36 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 """How byte-level vocabularies write a byte: itself if it shows, else the next sign from 256 on."""
 
+SPACE_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+
 WORDS = 400_000
 """Entries that each of the two generations of a memo may hold."""
 
 
-class Memo:
-    """Two generations of a dictionary: what has not been used for long goes."""
+class Memo(dict):
+    """What `make` gives for a key, remembered in two generations: what has not been used for long goes."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, make: Callable[[str], bytes], size: int = WORDS):
+        self.make, self.size, self.old = make, size, {}
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """Those keys that are in neither generation; the others are in the new one afterwards."""
-        unseen = [k for k in keys if k not in self.new]
-        if len(self.new) + len(unseen) > self.size:
-            self.new, self.old = {}, self.new
-            unseen = list(keys)
-        self.new.update((k, ids) for k in unseen if (ids := self.old.get(k)) is not None)
-        return [k for k in unseen if k not in self.new]
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class TextTokens:
     """Ids of texts as bytes of little-endian unsigned numbers of `dtype`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         rules = json.loads(self.tokenizer.to_str())
         pattern = _pattern(rules["pre_tokenizer"])
@@ -68,7 +73,11 @@ class TextTokens:
         self.cut_plain = re.compile(plain).findall
         self.cut_other = None if rules["normalizer"] else regex.compile(pattern).findall
         self.lower = '"Lowercase"' in json.dumps(rules["normalizer"])
-        self.words = Memo(WORDS)
+        added = [re.escape(x["content"]) for x in rules["added_tokens"]] if special else []
+        self.holds_added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
+        self.words = Memo(self._word)
+        before = " " if " ?" in pattern else ""
+        self.pieces = Memo(lambda piece: self._cut_ids(before + piece))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts are worked through about two megabytes at a time."""
@@ -82,26 +91,32 @@ class TextTokens:
         return out + self._encode_part(part)
 
     def _encode_part(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
-        known = iter(self._ids([words for words in cut if words is not None]))
-        return [self._encode_whole(text) if words is None else next(known) for text, words in zip(texts, cut)]
-
-    def _cut(self, text: str) -> list[str] | None:
-        if not NOT_PLAIN.search(text):
-            return self.cut_plain(text.lower() if self.lower else text)
-        return self.cut_other(text) if self.cut_other else None
+        return [self._text(text) for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        if self.holds_added(text):
+            return self._encode_whole(text)
+        if NOT_PLAIN.search(text):
+            return self._looked_up(self.cut_other(text)) if self.cut_other else self._encode_whole(text)
+        if self.lower:
+            text = text.lower()
+        if text.endswith(" ") or any(pair in text for pair in SPACE_PAIRS):
+            return self._cut_ids(text)
+        first, *rest = text.split(" ")
+        return self._cut_ids(first) + b"".join(map(self.pieces.__getitem__, rest))
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _ids(self, cut: list[list[str]]) -> list[bytes]:
-        """The ids of texts that are cut into words."""
-        tokenize, table, dtype = self.tokenizer.model.tokenize, BYTE_CHARACTERS, self.dtype
-        for word in self.words.missing({word for words in cut for word in words}):
-            signs = word.encode().decode("latin-1").translate(table)
-            self.words.new[word] = np.array([t.id for t in tokenize(signs)], dtype).tobytes()
-        known = self.words.new.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
+    def _cut_ids(self, text: str) -> bytes:
+        return self._looked_up(self.cut_plain(text))
+
+    def _looked_up(self, words: list[str]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        signs = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(signs)], self.dtype).tobytes()
 
 
 def _pattern(rule: dict) -> str:
@@ -114,11 +129,11 @@ def _pattern(rule: dict) -> str:
     raise ValueError("a pre-tokenizer with a pattern is needed")
 
 
-_loaded: dict[str, TextTokens] = {}
+_loaded: dict[tuple[str, bool], TextTokens] = {}
 
 
-def text_tokens(path: str) -> TextTokens:
+def text_tokens(path: str, special: bool = True) -> TextTokens:
     """The tokenizer of a file, loaded once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = TextTokens(path)
-    return _loaded[path]
+    if (path, special) not in _loaded:
+        _loaded[path, special] = TextTokens(path, special)
+    return _loaded[path, special]
