@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tickforge.llm import chat_trees, chunks, decontaminate, exact, filter_audit, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
+from tickforge.llm import alignment, chat_trees, chunks, decontaminate, exact, filter_audit, langid, nn_descent, packing, quality, rans, resharding, simhash, sql
 from tickforge.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,8 @@ def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bytes").alias("law"),
         F.lit(None).cast("int").alias("grown_shard"),
     ]
-    return resharding.read_resharded(spark, old, new, schema, manifest, columns)
+    found = resharding.read_resharded(spark, old, new, schema, manifest, columns)
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.windows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
-    return cut.select("sequence_id", F.inline("pieces"))
+    return cut.select("sequence_id", F.inline("pieces")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +129,12 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    counts = alignment.PairCounts(alignment.bundles(table(spark, sf_dir, "documents"), a, b), a, b)
+    return alignment.aligned(counts, digest=True).withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = filter_audit.failures(table(spark, sf_dir, "documents"))
     return filter_audit.audit(filter_audit.labelled(failed, table(spark, sf_dir, "labels")))
@@ -146,6 +153,7 @@ def queries() -> dict[str, Query]:
         "op9_line_chunks": op9_line_chunks,
         "op10_packing": op10_packing,
         "op11_exact": op11_exact,
+        "op12_alignment": op12_alignment,
         "op13_filter_audit": op13_filter_audit,
     }
 
