@@ -5,7 +5,7 @@ import random
 from pyspark.sql import types as T
 
 # Names that the operators use inside; a table may have columns of the same names.
-CLASHING = ["id", "fp", "hash", "n", "s", "chunk", "lines", "shard", "size", "root", "part", "row", "file", "item", "place", "unit", "quality", "toxic"]
+CLASHING = ["id", "fp", "hash", "n", "s", "chunk", "lines", "shard", "size", "root", "part", "row", "file", "item", "place", "unit", "quality", "toxic", "_key", "_host", "_path", "_evidence", "_wanted", "_h", "_n", "_lines", "_removed_lines", "_repeats", "evidence", "host", "path", "wanted"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
     + [T.StructField(name, T.IntegerType()) for name in CLASHING]

@@ -47,6 +47,45 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert result == brute(rows, 0.95)
 
 
+def mixed_lengths():
+    """Clusters of vectors of two lengths, which meet in the same tasks."""
+    draw, rows = np.random.default_rng(4), []
+    for first, dim in ((0, 16), (10_000, 24)):
+        for k in range(30):
+            center = draw.normal(size=dim)
+            rows += [(first + 10 * k + i, (center + draw.normal(size=dim) * 0.15).tolist()) for i in range(5)]
+    return rows
+
+
+def expected_mixed(rows):
+    return brute([r for r in rows if r[0] < 10_000], 0.95) | brute([r for r in rows if r[0] >= 10_000], 0.95)
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = mixed_lengths()
+    result, recall = found(spark, rows)
+    assert {r.id: (r.n_links, r.component_id) for r in result} == expected_mixed(rows) and recall >= 0.99
+
+
+def test_a_failed_audit_leads_to_more_trees(spark, monkeypatch):
+    audits = []
+    real = nn_descent._audit
+    monkeypatch.setattr(nn_descent, "_audit", lambda *a: audits.append(real(*a)) or (0.5 if len(audits) == 1 else audits[-1]))
+    rows = mixed_lengths()
+    result, recall = found(spark, rows)
+    assert len(audits) == 2 and recall >= 0.99
+    assert {r.id: (r.n_links, r.component_id) for r in result} == expected_mixed(rows)
+
+
+def test_all_is_compared_if_no_attempt_is_good_enough(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    rows = mixed_lengths()
+    result, recall = found(spark, rows)
+    assert {r.id: (r.n_links, r.component_id) for r in result} == expected_mixed(rows) and recall == 1.0
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0]), (11, [1e-200, 0.0])]

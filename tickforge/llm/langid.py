@@ -1,33 +1,34 @@
 """Language identification that looks words up first and backs off to shorter character n-grams.
 
-Learning counts the words of all training texts per language with grouped aggregations. The
-KNOWN_WORDS most frequent words keep their log frequency in each language; the n-grams of all
-words (LONGEST down to 1 characters, word ends marked) do the same for words that are not among
-them: an unseen word is scored by its n-grams of the greatest length of which any is known.
-The size of the model is a parameter, the counts behind it cover every training row.
+Learning counts the words of all training texts per language with grouped aggregations. A word is
+known if it makes up MIN_SHARE of the words of some language, and an n-gram (LONGEST down to 1
+characters of a word, its ends marked) likewise; both keep their log frequency in each language. A
+word that is not known is scored by its n-grams of the greatest length of which any is known. So
+each language chooses for itself, whatever its size, the rule is the same at every size, and the
+model has at most languages / MIN_SHARE words.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+import regex
+from pyspark.sql import DataFrame, functions as F
 
 from tickforge.llm.common import stored
 
-KNOWN_WORDS = 200_000
-KNOWN_GRAMS = 100_000
+MIN_SHARE = 2e-6
 LONGEST = 4
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 UNSEEN_KEPT = 200_000
 """Unseen words whose scores a task remembers at a time."""
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,14 +46,13 @@ class Model:
 
     def __init__(self, languages: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[str, int], gram_logs: np.ndarray):
         self.languages, self.words, self.word_logs, self.grams, self.gram_logs = languages, words, word_logs, grams, gram_logs
-        self.floor = gram_logs.min(axis=0) if len(gram_logs) else np.zeros(len(languages))
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             known = [i for g in grams(word, n) if (i := self.grams.get(g)) is not None]
             if known:
                 return self.gram_logs[known].mean(axis=0)
-        return self.floor
+        return np.zeros(len(self.languages))  # nothing known of it: no language is preferred
 
     def predict(self, text: str | None, seen: dict[str, np.ndarray]) -> tuple[str, float]:
         """(language, its share of the likelihood); a text without letters is undetermined.
@@ -75,7 +75,7 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", known_words: int = KNOWN_WORDS, known_grams: int = KNOWN_GRAMS) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE) -> Model:
     """A model from the rows of `docs` whose language is not null. No such row: no language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", known_words:
     cut = F.flatten(F.array(*(_grams_of("word", n) for n in range(1, LONGEST + 1))))
     gram_counts = words.select(F.explode(cut).alias("word"), "lang", "n").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
-    return Model(languages, *_logs(words, languages, known_words), *_logs(gram_counts, languages, known_grams))
+    return Model(languages, *_logs(words, languages, min_share), *_logs(gram_counts, languages, min_share))
 
 
 def _grams_of(word: str, n: int):
@@ -107,22 +107,20 @@ def _grams_of(word: str, n: int):
     )
 
 
-def _logs(counts: DataFrame, languages: list[str], limit: int) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent words, at most `limit`, with their smoothed log frequency in each language.
+def _logs(counts: DataFrame, languages: list[str], min_share: float) -> tuple[dict[str, int], np.ndarray]:
+    """The words that make up `min_share` of a language, with their smoothed log frequency in each language.
 
-    A histogram of the counts gives the count that a word must exceed, so no task and not the
-    driver gets more than the words of the model; words that tie there are left to the n-grams.
+    The driver gets these words alone.
     """
-    per_language = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]
     if not languages:
         return {}, np.zeros((0, 0))
-    wide = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), *per_language), "word-totals")
-    totals = np.array(wide.agg(*(F.sum(f"n{i}") for i in range(len(languages)))).first(), np.float64)
-    more = F.sum("words").over(W.orderBy(F.desc("n")))
-    histogram = wide.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("more", more)
-    exceeded = histogram.filter(F.col("more") > limit).agg(F.max("n").alias("n")).first().n or 0
-    top = wide.filter(F.col("n") > exceeded).drop("n").toPandas()
-    found = top[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
+    per_language = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]
+    wide = stored(counts.groupBy("word").agg(*per_language), "word-totals")
+    names = [f"n{i}" for i in range(len(languages))]
+    totals = np.array(wide.agg(*map(F.sum, names)).first(), np.float64)
+    known = [F.col(n) >= max(1.0, min_share * t) for n, t in zip(names, totals)]
+    top = wide.filter(reduce(lambda a, b: a | b, known)).toPandas()
+    found = top[names].to_numpy(np.float64)
     logs = np.log((found + SMOOTHING) / (totals + SMOOTHING * (len(found) + 1)))
     return {w: i for i, w in enumerate(top["word"])}, logs.astype(np.float32)
 

@@ -5,10 +5,11 @@ hyperplanes make; each round joins the members of every neighbourhood with one a
 keeps the nearest. A list whose members are all within the threshold is saturated: it may grow,
 twice its length at a time, up to LONGEST_LIST. Lists still saturated are not trusted: every
 component that holds one is compared in blocks, which gives exact link counts without writing
-out pairs. A sample of AUDIT vectors is compared with all others; while fewer than RECALL of a
-sampled vector's links are known on average, new hyperplanes and more rounds follow.
+out pairs. AUDIT vectors with a known link and AUDIT of all vectors are compared with all others;
+while fewer than RECALL of their links are known on average, new hyperplanes and more rounds
+follow. If that has not helped after ATTEMPTS, all vectors are compared in blocks.
 
-Candidates are ranked in single precision, links decided in double.
+Candidates are ranked in single precision, links decided in double, by the same sum everywhere.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickforge.llm.common import connected_components, small_side, stored
@@ -34,6 +36,7 @@ RECALL = 0.99
 ATTEMPTS = 4
 BLOCK = 512
 MARGIN = 1e-5
+ROUNDING = 1e-9
 
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
@@ -51,11 +54,16 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     for attempt in range(ATTEMPTS):
         lists = _descend(nodes, lists, total, attempt, threshold)
         links = stored(_verified(lists, nodes, threshold), "links")
-        components = stored(_components(links), "components")
+        components = stored(connected_components(links), "components")
         counts = stored(_link_counts(nodes, lists, links, components, threshold), "link-counts")
-        recall = _audit(nodes, counts, threshold, total)
+        recall = _audit(nodes, counts, threshold)
         if recall >= RECALL:
             break
+    else:
+        found = stored(_by_blocks(nodes.select(F.col("dim").cast("long").alias("root"), "node", "size", "unit"), threshold), "all-blocks")
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+        components = stored(connected_components(found.select(F.col("node").alias("a"), F.col("lowest").alias("b"))), "components")
+        recall = 1.0
     placed = nodes.select("node", "unit", "size").join(counts, "node", "left").join(components, "node", "left")
     linked = placed.select(
         "unit",
@@ -87,6 +95,20 @@ def _matrix(units) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1) if units else np.zeros((0, 0))
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row; the one sum that decides about links."""
+    return np.einsum("id,id->i", x, y)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y are linked; a fast product decides where it is not near the threshold."""
+    sims = x @ y.T
+    near = sims >= threshold
+    i, j = np.nonzero(np.abs(sims - threshold) < ROUNDING)
+    near[i, j] = _cosines(x[i], y[j]) >= threshold
+    return near
+
+
 def _grown(nodes: DataFrame, total: int, attempt: int) -> DataFrame:
     """(u, v, sim): the nearest in groups of nodes on one side of the same hyperplanes; crowded groups are dealt out."""
     bits = max(1, int(np.ceil(np.log2(max(2, total / LEAF)))))
@@ -128,7 +150,7 @@ def _descend(nodes: DataFrame, lists: DataFrame | None, total: int, attempt: int
     """(u, v, sim, fresh, room): each node's nearest known nodes, `room` at most."""
     found = _grown(nodes, total, attempt)
     lists = stored(_merged(lists, found, threshold), "lists")
-    single = stored(nodes.select("node", F.col("unit")), "vectors")
+    single = stored(nodes.select("node", "unit", "dim"), "vectors")
     for _ in range(ROUNDS):
         changed = lists.agg(F.count_if("fresh").alias("n")).first().n or 0
         if changed <= STILL * LIST * total:
@@ -160,15 +182,19 @@ def _joined(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     shuffled = W.partitionBy("hub").orderBy(F.desc("fresh"), F.xxhash64("hub", "node"))
     back = turned.withColumn("n", F.row_number().over(shuffled)).filter(F.col("n") <= LIST).drop("n")
     members = ahead.unionByName(back).groupBy("hub", "node").agg(F.max("fresh").alias("fresh"))
-    known = vectors.join(worst.withColumnRenamed("u", "node"), "node", "left").select("node", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    hubs = members.join(known, "node").groupBy("hub").agg(F.collect_list(F.struct("node", "fresh", "worst", "unit")).alias("m"), F.max("fresh").alias("any"))
+    known = vectors.join(worst.withColumnRenamed("u", "node"), "node", "left").select("node", "unit", "dim", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+    listed = F.collect_list(F.struct("node", "fresh", "worst", "unit")).alias("m")
+    hubs = members.join(known, "node").groupBy("hub").agg(listed, F.max("fresh").alias("any"), F.max("dim").alias("dim"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                yield _nearer(batch.column(0).slice(lo, 500))
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims):
+                lists = batch.column(0).filter(pa.array(dims == dim))
+                for lo in range(0, len(lists), 500):
+                    yield _nearer(lists.slice(lo, 500))
 
-    return hubs.filter("any").select("m").mapInArrow(pairs, "u long, v long, sim double")
+    return hubs.filter("any").select("m", "dim").mapInArrow(pairs, "u long, v long, sim double")
 
 
 def _nearer(lists: pa.ListArray) -> pa.RecordBatch:
@@ -200,51 +226,71 @@ def _verified(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(np.frombuffer(x.as_py()) * np.frombuffer(y.as_py())).sum() >= threshold for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = np.zeros(batch.num_rows, bool)
+            lengths = pc.binary_length(batch.column(2)).to_numpy()
+            for length in np.unique(lengths):
+                own = pa.array(lengths == length)
+                keep[lengths == length] = _cosines(*(_matrix(batch.column(i).filter(own).to_pylist()) for i in (2, 3))) >= threshold
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    return connected_components(links)
-
-
 def _link_counts(nodes: DataFrame, lists: DataFrame, links: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """(node, links): linked rows of other nodes; in components with a saturated list by blocks, else from the links."""
     sizes = nodes.select("node", "size")
     full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("room"), F.min("sim").alias("sim"))
     saturated = full.filter((F.col("n") >= F.col("room")) & (F.col("sim") >= threshold - MARGIN)).select(F.col("u").alias("node"))
-    dense = stored(saturated.join(components, "node").select("root").distinct(), "dense")
+    dense = small_side(stored(saturated.join(components, "node").select("root").distinct(), "dense"))
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     sparse = both.join(components.join(dense, "root", "left_anti"), "node").join(sizes.withColumnRenamed("node", "other"), "other")
     counted = sparse.groupBy("node").agg(F.sum("size").alias("links"))
+    members = components.join(dense, "root").join(nodes.select("node", "size", "unit"), "node")
+    blocks = _by_blocks(members, threshold)
+    return counted.unionByName(blocks.groupBy("node").agg(F.sum("links").alias("links")))
 
-    members = components.join(dense, "root")
-    parts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    placed = members.join(parts, "root").join(nodes.select("node", "size", "unit"), "node")
-    dealt = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+
+def _by_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, lowest): from rows (root, node, size, unit) the linked rows of each node with the same root.
+
+    Members are dealt into blocks of about BLOCK, each pair of blocks is compared in a task, and a
+    node comes out once per pair; `lowest` is the smallest node that its links reach in there.
+    """
+    parts = small_side(stored(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts"))
+    dealt = members.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     keyed = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "size", "unit")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        one, two = group[group["own"] == lo], group[group["own"] == hi]
-        near = np.einsum("id,jd->ij", _matrix(one["unit"]), _matrix(two["unit"])) >= threshold if len(one) and len(two) else np.zeros((len(one), len(two)), bool)
-        if lo == hi:
-            np.fill_diagonal(near, False)
-            return pd.DataFrame({"node": one["node"], "links": near @ two["size"].to_numpy()})
-        return pd.DataFrame({
-            "node": np.concatenate([one["node"], two["node"]]),
-            "links": np.concatenate([near @ two["size"].to_numpy(), near.T @ one["size"].to_numpy()]),
-        })
-
-    blocks = keyed.groupBy("root", "lo", "hi").applyInPandas(compare, "node long, links long")
-    return counted.unionByName(blocks.groupBy("node").agg(F.sum("links").alias("links")))
-
+        first = (group["own"] == group["lo"].iloc[0]).to_numpy()
+        one, two = (group, group) if group["lo"].iloc[0] == group["hi"].iloc[0] else (group[first], group[~first])
+        near = _linked(_matrix(one["unit"]), _matrix(two["unit"]), threshold) if len(one) and len(two) else np.zeros((len(one), len(two)), bool)
+        a, b = one["node"].to_numpy(), two["node"].to_numpy()
+        near &= a[:, None] != b[None, :]
+        low_a, low_b, before = a, b, None
+        while before is None or (low_a != before).any():  # the smallest node that links reach
+            before, far = low_a, np.iinfo(np.int64).max
+            low_b = np.minimum(low_b, np.where(near, low_a[:, None], far).min(axis=0, initial=far))
+            low_a = np.minimum(low_a, np.where(near, low_b[None, :], far).min(axis=1, initial=far))
+        found = pd.DataFrame({"node": a, "links": near @ two["size"].to_numpy(), "lowest": low_a})
+        if one is two:
+            return found
+        return pd.concat([found, pd.DataFrame({"node": b, "links": near.T @ one["size"].to_numpy(), "lowest": low_b})])
+
+    return keyed.groupBy("root", "lo", "hi").applyInPandas(compare, "node long, links long, lowest long")
+
+
+def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The mean share of a sampled node's links that are known, over sampled nodes that have any.
+
+    Half of the sample has known links, so that it says something where links are rare; the other
+    half is drawn from all nodes, so that nodes whose links are all unknown are seen too. Without
+    any link in the sample it is 1.
+    """
+    def drawn(df: DataFrame) -> DataFrame:
+        return df.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "unit", "dim")
 
-def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, total: int) -> float:
-    """The mean share of a sampled node's links that are known, over sampled nodes that have any."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "unit", "dim").toPandas()
+    linked = nodes.join(counts.filter("links > 0").select("node"), "node", "left_semi")
+    sample = drawn(nodes).unionByName(drawn(linked)).dropDuplicates(["node"]).toPandas()
     by_dim = {dim: (part["node"].to_numpy(), _matrix(part["unit"])) for dim, part in sample.groupby("dim")}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +298,7 @@ def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, total: int) ->
             for dim, part in batch.to_pandas().groupby("dim"):
                 if dim in by_dim:
                     ids, x = by_dim[dim]
-                    near = (x @ _matrix(part["unit"]).T >= threshold) & (ids[:, None] != part["node"].to_numpy())
+                    near = _linked(x, _matrix(part["unit"]), threshold) & (ids[:, None] != part["node"].to_numpy())
                     links = near @ part["size"].to_numpy()
                     yield pa.record_batch([pa.array(ids[links > 0]), pa.array(links[links > 0])], ["node", "exact"])
 

@@ -162,10 +162,10 @@ def _evidence(found: Classifier):
     return run
 
 
-def with_evidence(docs: DataFrame, classifier: Classifier, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """`docs`, if asked without the text, and the classifier's probability as the last column, `_evidence`."""
+def with_evidence(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
+    """The columns of `docs` without `text`, and the classifier's probability as the last one, `evidence`."""
     shared, body = docs.sparkSession.sparkContext.broadcast(classifier), docs.columns.index(text)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != body]
+    kept = [i for i in range(len(docs.columns)) if i != body]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +173,9 @@ def with_evidence(docs: DataFrame, classifier: Classifier, text: str = "text", k
                 part = batch.slice(lo, 500)
                 wanted = shared.value(part.column(body).to_pylist())
                 columns, names = [part.column(i) for i in kept], [part.schema.names[i] for i in kept]
-                yield pa.record_batch([*columns, pa.array(wanted, pa.float64())], [*names, "_evidence"])
+                yield pa.record_batch([*columns, pa.array(wanted, pa.float64())], [*names, "evidence"])
 
-    return docs.mapInArrow(score, T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("_evidence", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("evidence", T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, mean: str) -> float:
@@ -193,32 +193,33 @@ def _strength(groups: DataFrame, mean: str) -> float:
 
 
 def site_posteriors(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float, float]:
-    """((host, path, host_mean, s, n), global mean, strength of a path's prior) of documents with `_evidence`."""
-    paths = stored(scored.groupBy(host, path).agg(F.sum("_evidence").alias("s"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
+    """((host, path, host_mean, s, n), global mean, strength of a path's prior) of documents with `evidence`."""
+    paths = stored(scored.groupBy(host, path).agg(F.sum("evidence").alias("s"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = total.s / total.n if total.n else 0.5
     hosts = paths.groupBy(host).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("mean", F.lit(mean))
     weight = _strength(hosts, "mean")
-    posts = hosts.select(F.col(host).alias("_site"), ((F.lit(weight * mean) + F.col("s")) / (weight + F.col("n"))).alias("host_mean"))
-    placed = stored(paths.join(small_side(posts), F.col(host).eqNullSafe(F.col("_site"))).drop("_site"), "posteriors")
+    posts = hosts.select(F.col(host).alias("site"), ((F.lit(weight * mean) + F.col("s")) / (weight + F.col("n"))).alias("host_mean"))
+    placed = stored(paths.join(small_side(posts), F.col(host).eqNullSafe(F.col("site"))).drop("site"), "posteriors")
     return placed, mean, _strength(placed, "host_mean")
 
 
 def judged(docs: DataFrame, classifier: Classifier, host: Column, path: Column, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """`docs` with _evidence, _host_mean, _path_mean and _wanted, a probability.
+    """(row, evidence, host_mean, path_mean, wanted): `row` holds the columns of `docs`, if asked
+    without the text; `wanted` is a probability.
 
     `host` and `path` tell where a document is from; null is a site of its own. Rows repeated
     count each. The texts are scored in one pass and carried on; only sums are shuffled as long
     as the table of paths may be broadcast.
     """
-    placed = docs.select("*", host.alias("_host"), path.alias("_path"))
-    scored = stored(with_evidence(placed, classifier, text, keep_text), "scored")
-    posteriors, mean, strength = site_posteriors(scored, "_host", "_path")
-    sites = small_side(posteriors.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.col("host_mean").alias("_host_mean"), F.col("s").alias("_s"), F.col("n").alias("_n")))
-    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if keep_text or c != text)).alias("row")
+    placed = docs.select(F.col(text).alias("text"), row, host.alias("host"), path.alias("path"))
+    scored = stored(with_evidence(placed, classifier), "scored")
+    posteriors, mean, strength = site_posteriors(scored, "host", "path")
+    sites = small_side(posteriors.withColumnsRenamed({"host": "own_host", "path": "own_path"}))
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("own_host")) & F.col("path").eqNullSafe(F.col("own_path")), "left")
     held = lambda p: F.greatest(F.least(p, F.lit(1 - EDGE)), F.lit(EDGE))
     logit = lambda p: F.log(held(p) / (1 - held(p)))
-    others = (F.lit(strength) * F.col("_host_mean") + F.col("_s") - F.col("_evidence")) / (strength + F.col("_n") - 1)
-    with_path = joined.withColumn("_path_mean", others)
-    odds = logit(F.col("_evidence")) + logit(F.col("_path_mean")) - logit(F.lit(mean))
-    return with_path.withColumn("_wanted", 1 / (1 + F.exp(-odds))).drop("_host", "_path", "_h", "_p", "_s", "_n")
+    others = (F.lit(strength) * F.col("host_mean") + F.col("s") - F.col("evidence")) / (strength + F.col("n") - 1)
+    odds = logit(F.col("evidence")) + logit(F.col("path_mean")) - logit(F.lit(mean))
+    return joined.withColumn("path_mean", others).select("row", "evidence", "host_mean", "path_mean", (1 / (1 + F.exp(-odds))).alias("wanted"))

@@ -74,14 +74,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
     found = quality.judged(docs, classifier, F.col("source"), F.col("lang"), keep_text=False)
-    return found.select(
-        "doc_id",
-        F.col("_evidence").alias("evidence"),
-        F.col("_host_mean").alias("host_mean"),
-        F.col("_path_mean").alias("path_mean"),
-        F.col("_wanted").alias("wanted"),
-        (F.col("_wanted") >= quality.THRESHOLD).alias("kept"),
-    )
+    return found.select("row.doc_id", "evidence", "host_mean", "path_mean", "wanted", (F.col("wanted") >= quality.THRESHOLD).alias("kept"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +91,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    found, recall = nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(
-        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("recall")
     )
 
 
