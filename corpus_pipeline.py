@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier and their site's posterior take for good and not toxic."""
     classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
     found = quality.judged(docs, classifier, F.col("source"), F.col("lang"))
-    return found.filter(F.col("_wanted") >= quality.THRESHOLD).select(*docs.columns)
+    return found.filter(F.col("wanted") >= quality.THRESHOLD).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
