@@ -19,6 +19,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -35,7 +37,9 @@ NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 """How byte-level vocabularies write a byte: itself if it shows, else the next sign from 256 on."""
+SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 
+SIGNS = tuple(".,;:!?")
 SPACE_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
 WORDS = 400_000
@@ -67,6 +71,7 @@ class TextTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         rules = json.loads(self.tokenizer.to_str())
         pattern = _pattern(rules["pre_tokenizer"])
         plain = pattern.replace(r"\p{L}", LATIN_LETTERS).replace(r"\p{N}", "0-9")
@@ -76,8 +81,8 @@ class TextTokens:
         added = [re.escape(x["content"]) for x in rules["added_tokens"]] if special else []
         self.holds_added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
         self.words = Memo(self._word)
-        before = " " if " ?" in pattern else ""
-        self.pieces = Memo(lambda piece: self._cut_ids(before + piece))
+        self.before = " " if " ?" in pattern else ""
+        self.pieces = Memo(self._piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts are worked through about two megabytes at a time."""
@@ -108,15 +113,28 @@ class TextTokens:
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of what follows a space; most often a word, with or without a sign behind it."""
+        if piece[-1:] in SIGNS and piece[:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.words[piece[-1]]
+        return self._cut_ids(self.before + piece)
+
     def _cut_ids(self, text: str) -> bytes:
-        return self._looked_up(self.cut_plain(text))
+        words = self.cut_plain(text)
+        return self._word(words[0]) if len(words) == 1 else self._looked_up(words)
 
     def _looked_up(self, words: list[str]) -> bytes:
         return b"".join(map(self.words.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
-        signs = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(signs)], self.dtype).tobytes()
+        if word.isascii() and word.isprintable():
+            signs = word.replace(" ", SPACE_SIGN)
+        else:
+            signs = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(signs)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def _pattern(rule: dict) -> str:
