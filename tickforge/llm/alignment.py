@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickforge.llm.common import stored
 from tickforge.llm.perfect_hash import PerfectHash, mixed
-from tickforge.llm.tokens import BYTE_CHARACTERS, Memo, text_tokens
+from tickforge.llm.tokens import BYTE_CHARACTERS, WORDS, Memo, text_tokens
 
 BUNDLE_BYTES = 1 << 20
 FAN_IN = 32
@@ -54,6 +54,10 @@ class ByteLevelSide:
             self.pieces[id] = sign.encode() if id in added else bytes(bytes_of[c] for c in sign)
         self.lossless = rules["normalizer"] is None and vocabulary.keys() >= bytes_of.keys()
 
+    def forget(self) -> None:
+        self.tokens.words.forget()
+        self.tokens.pieces.forget()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, self.tokens.dtype) for x in self.tokens.encode([" " + t for t in texts])]
 
@@ -75,15 +79,19 @@ class PieceSide:
         probe = " A  ﬁ①é\tx\n "
         by_words = all("▁" not in p.lstrip("▁") and not (p[:2] == "▁▁" and p.strip("▁")) for p in signs)
         self.by_words = by_words and self.model.normalize(probe) == "▁" + probe.replace(" ", "▁")
-        self.words = Memo(lambda word: np.array(self.model.encode(word), "<u4").tobytes())
+        self.dtype = np.dtype("<u2" if len(signs) <= 1 << 16 else "<u4")
+        self.words = Memo(lambda word: np.array(self.model.encode(word), self.dtype).tobytes(), WORDS // 2)
+
+    def forget(self) -> None:
+        self.words.forget()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self._ids(t), "<u4") for t in texts]
+        return [np.frombuffer(self._ids(t), self.dtype) for t in texts]
 
     def _ids(self, text: str) -> bytes:
         if text and self.by_words and "  " not in text and text[0] != " " and text[-1] != " ":
             return b"".join(map(self.words.__getitem__, text.split(" ")))
-        return np.array(self.model.encode(text), "<u4").tobytes()
+        return np.array(self.model.encode(text), self.dtype).tobytes()
 
 
 class Sides:
@@ -95,6 +103,11 @@ class Sides:
         self.width = len(self.b.pieces)
         self.key = np.dtype("<u4" if len(self.a.pieces) * self.width <= 1 << 32 else "<u8")
 
+    def forget(self) -> None:
+        """Words are not remembered beyond the stage that cuts texts."""
+        self.a.forget()
+        self.b.forget()
+
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides per text; none where the text is empty or one side's bytes are not the text's."""
         none = np.zeros(0, np.uint32)
@@ -223,6 +236,7 @@ def requests(rows: DataFrame, a: str, b: str, blocks: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sides(a, b)
+        known.forget()
         for batch in batches:
             for row in batch.to_pylist():
                 keys, counts = np.unique(_bundle(known, row).keys, return_counts=True)

@@ -42,7 +42,7 @@ SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 SIGNS = tuple(".,;:!?")
 SPACE_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
-WORDS = 400_000
+WORDS = 300_000
 """Entries that each of the two generations of a memo may hold."""
 
 
@@ -62,6 +62,10 @@ class Memo(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class TextTokens:
     """Ids of texts as bytes of little-endian unsigned numbers of `dtype`."""
