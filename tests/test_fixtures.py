@@ -249,16 +249,6 @@ def test_latest_state_expiry_and_snapshot(spark):
     assert gone["symbol"] == "AAPL" and gone["top_of_book"] is None
 
 
-def test_rebuild(spark):
-    rows = bronze_of(spark, [quote(1, f"{T}Z", 100.0, 100.04), trade(2, f"{T}Z", 100.0, 10), trade(3, f"{T}Z", 1.0, 1, symbol="MSFT")])
-    derived = {"top_of_book": live.top_of_book(silver.quote_rows(rows), processed()), "bar_1s": live.bar_updates(silver.trade_rows(rows))}
-    state = {(row["state_kind"], row["symbol"]): row["payload"] for row in live.rebuilt_state(derived, "aapl").collect()}
-    assert set(state) == {("top_of_book", "AAPL"), ("bar_1s", "AAPL"), ("freshness", "AAPL")}
-    assert '"status":"rebuilt"' in state[("freshness", "AAPL")]
-    counts = {row["state_kind"]: row["event_count"] for row in live.rebuild_counts(derived).collect()}
-    assert counts == {"top_of_book": 1, "bar_1s": 2}
-
-
 def test_alert_list_expires_and_is_bounded(spark):
     sent = [alert(n, f"2026-05-07T00:00:{n:02d}Z", "wide_spread") for n in range(1, 31)]
     from tickforge.contracts import ALERT_SCHEMA

@@ -1,18 +1,24 @@
 """Streams fed in several micro-batches, restarted, or repeated, against the batch."""
 
+import datetime as dt
+import json
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import messages, quote, rows_of, trade
+from tests.helpers import alert, event, messages, quote, rows_of, trade
+from tickforge.contracts import ALERTS_TOPIC, BARS_TOPIC, TOP_OF_BOOK_TOPIC
 from tickforge.operators import gold, live, silver
 from tickforge.operators.bronze import bronze_rows
 from tickforge.operators.feed import quality_alert_rows
 from tickforge.plans import market
 from tickforge.session import scratch_path
 from tickforge.sources import topics
-from tickforge.streaming import jobs, sinks, stateful
+from tickforge.streaming import hot_state, jobs, sinks, snapshots, stateful
+
+
+T = "2026-05-07T00:00:00"
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +62,7 @@ def test_rolling_metrics_over_batches(spark, sent):
 def test_bars_over_batches(spark, sent):
     place, all_messages = sent
     bars = jobs.bar_stream(stream(spark, place), watermark="10 minutes")
-    latest = jobs.LatestRows(spark, f"{place}/bars", ["symbol", "exchange", "event_time"])
+    latest = snapshots.LatestRows(spark, f"{place}/bars", ["symbol", "exchange", "event_time"])
     jobs.each_batch(bars, latest.write, f"{place}/bars_checkpoint", output="update").awaitTermination()
     batch = gold.bars(silver.trade_rows(bronze_rows(all_messages)))
     fields = ["symbol", "exchange", "open", "high", "low", "close", "volume"]
@@ -72,7 +78,7 @@ def test_late_trades_change_their_bar_or_are_counted(spark):
         time.sleep(1.1)
     volumes, dropped = {}, {}
     for watermark in (None, "10 seconds"):
-        latest = jobs.LatestRows(spark, f"{place}/bars-{watermark}", ["symbol", "exchange", "event_time"])
+        latest = snapshots.LatestRows(spark, f"{place}/bars-{watermark}", ["symbol", "exchange", "event_time"])
         query = jobs.each_batch(jobs.bar_stream(stream(spark, place), watermark), latest.write, f"{place}/c-{watermark}", output="update")
         query.awaitTermination()
         volumes[watermark] = {r.event_time.minute: r.volume for r in latest.read().collect()}
@@ -99,15 +105,79 @@ def test_hot_state_is_the_same_when_a_batch_comes_twice(spark, sent):
     place, all_messages = sent
     half = F.unix_micros("timestamp") % 2 == 0
     as_of = F.lit("2024-01-01 00:03:05").cast("timestamp")
-    once, twice = (sinks.HotState(spark, scratch_path(spark, "state"), as_of) for _ in range(2))
+    once, twice = (hot_state.HotState(spark, scratch_path(spark, "state"), as_of) for _ in range(2))
     once.upsert(all_messages, 0)
     twice.upsert(all_messages.where(half), 0)
     twice.upsert(all_messages.where(~half), 1)
     twice.upsert(all_messages.where(~half), 1)
-    assert {row.state_kind for row in once.read().collect()} == {"latest_quote", "freshness"}
-    assert twice._versions() == [0, 1]
+    assert {row.state_kind for row in once.read().collect()} == {"latest_quote", "freshness", "alerts"}
+    assert list(twice.finished()) == [0, 1]
     assert rows_of(once.read()) == rows_of(twice.read())
-    assert once.read(F.lit("2030-01-01").cast("timestamp")).count() == 0
+    assert once.read(dt.datetime(2030, 1, 1)).count() == 0
+
+
+def alert_texts(spark, times):
+    return messages(spark, [alert(n, t, "wide_spread") for n, t in enumerate(times, 1)], ALERTS_TOPIC)
+
+
+def test_alert_lists_merge_are_bounded_and_end(spark):
+    """Three batches, one of them twice, against a list kept in Python: newest 25, none from before a pause of an hour."""
+    times = [f"2026-05-07T00:{n:02d}:00Z" for n in range(40)]
+    sent = alert_texts(spark, times + ["2026-05-07T00:39:00Z"]).persist()
+    state = hot_state.HotState(spark, scratch_path(spark, "lists"))
+    number = F.col("offset")
+    for batch, part in enumerate((number <= 10, (number > 25) & (number <= 41), (number > 10) & (number <= 25))):
+        state.upsert(sent.where(part), batch)
+        state.upsert(sent.where(part), batch)
+    (row,) = state.read().collect()
+    listed = [x["sequence_number"] for x in json.loads(row.payload)]
+    assert listed == [41, 40, *range(39, 16, -1)] and row.expires_at.hour == 1
+
+    later = alert_texts(spark, ["2026-05-07T01:38:59Z"]).withColumn("offset", F.lit(50))
+    assert len(json.loads(_after(spark, sent, later)[0].payload)) == 25
+    later = alert_texts(spark, ["2026-05-07T01:39:00Z"]).withColumn("offset", F.lit(50))
+    assert len(json.loads(_after(spark, sent, later)[0].payload)) == 1
+    assert state.read(dt.datetime(2026, 5, 7, 1, 38, 59)).count() == 1
+    assert state.read(dt.datetime(2026, 5, 7, 1, 39)).count() == 0
+
+
+def _after(spark, first, second):
+    state = hot_state.HotState(spark, scratch_path(spark, "lists"))
+    state.upsert(first, 0)
+    state.upsert(second, 1)
+    return state.read().collect()
+
+
+def test_state_as_it_was(spark):
+    """Versions are read by time, and only as many stay as asked for."""
+    state = hot_state.HotState(spark, scratch_path(spark, "history"), keep=None)
+    for batch, second in enumerate((1, 2, 5)):
+        text = f"2026-05-07T00:00:0{second}Z"
+        state.upsert(messages(spark, [quote(second, text, 1.0, 1.1)]).withColumn("timestamp", F.lit(text).cast("timestamp")), batch)
+    at = lambda s: {r.sequence_number for r in state.read(dt.datetime(2026, 5, 7, 0, 0, s)).collect()}
+    assert [at(0), at(1), at(2), at(4), at(5)] == [set(), {1}, {2}, {2}, {5}]
+    state.keep = 2
+    state.upsert(messages(spark, [quote(7, "2026-05-07T00:00:07Z", 1.0, 1.1)]), 3)
+    assert list(state.finished()) == [2, 3]
+
+
+def test_rebuild_from_offsets(spark):
+    """A rebuild reads the given offsets alone, the dry run counts the same messages."""
+    place = scratch_path(spark, "log")
+    books = [event("top_of_book", n, f"{T}Z", symbol=s, processed_time=f"{T}Z", bid_price=float(n)) for n, s in ((1, "AAPL"), (2, "AAPL"), (3, "MSFT"))]
+    topics.write_topic(messages(spark, books, TOP_OF_BOOK_TOPIC), TOP_OF_BOOK_TOPIC, path=place)
+    topics.write_topic(messages(spark, [event("bar_1s", 4, f"{T}Z", open=1.0)], BARS_TOPIC), BARS_TOPIC, path=place)
+    topics.write_topic(alert_texts(spark, [f"{T}Z"]), ALERTS_TOPIC, path=place)
+    log = lambda **r: topics.read_offsets(spark, {TOP_OF_BOOK_TOPIC: r.get("books"), BARS_TOPIC: None, ALERTS_TOPIC: None}, "json", path=place)
+    found = {(r.state_kind, r.symbol): r for r in hot_state.rebuilt_state(log()).collect()}
+    assert found.keys() == {("top_of_book", "AAPL"), ("top_of_book", "MSFT"), ("freshness", "AAPL"), ("freshness", "MSFT"), ("bar_1s", "AAPL"), ("alerts", "AAPL")}
+    assert json.loads(found["freshness", "AAPL"].payload)["status"] == "rebuilt" and found["top_of_book", "AAPL"].sequence_number == 2
+    assert {k for _, k in ((r.state_kind, r.symbol) for r in hot_state.rebuilt_state(log(), "msft").collect())} == {"MSFT"}
+    part = log(books={0: (1, 2)})
+    assert {r.sequence_number for r in hot_state.rebuilt_state(part).where("state_kind = 'top_of_book'").collect()} == {1}
+    counts = lambda m, *s: {r.state_kind: r.event_count for r in hot_state.rebuild_counts(m, *s).collect()}
+    assert counts(log()) == {"top_of_book": 3, "bar_1s": 1, "alerts": 1}
+    assert counts(part) == {"top_of_book": 1, "bar_1s": 1, "alerts": 1} and counts(log(), "msft") == {"top_of_book": 1}
 
 
 def test_stale_monitor_reports_old_quotes(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,6 +32,7 @@ from tickforge.functions.columns import (
 )
 from tickforge.functions.ranking import first_rows
 from tickforge.functions.scans import Running, is_hot, running, trailing
+from tickforge.operators import gold, silver
 from tickforge.operators.feed import quality_alert_rows
 from tickforge.operators.silver import ARRIVAL
 
@@ -221,35 +220,16 @@ def latest_state(kinds: dict[str, DataFrame], order: tuple[str, ...] = BY_EVENT)
     return state
 
 
-def rebuilt_state(derived: dict[str, DataFrame], symbol: str | None = None) -> DataFrame:
-    """State read back from the derived topics; freshness follows the top of book."""
-    kinds = dict(derived)
-    if symbol is not None:
-        kinds = {kind: rows.where(F.col("symbol") == symbol.upper()) for kind, rows in kinds.items()}
-    if "top_of_book" in kinds:
-        book = kinds["top_of_book"]
-        kinds["freshness"] = book.select(
-            version().alias("schema_version"),
-            "symbol",
-            "exchange",
-            "event_time",
-            F.col("ingest_time").alias("last_ingest_time"),
-            F.col("processed_time").alias("last_processed_time"),
-            F.lit(0).cast("long").alias("freshness_lag_ms"),
-            F.lit("rebuilt").alias("status"),
-            "sequence_number",
-            *[name for name in SOURCE if name in book.columns],
-        )
-    return latest_state(kinds)
-
-
-def rebuild_counts(derived: dict[str, DataFrame], symbol: str | None = None) -> DataFrame:
-    """The dry run: events a rebuild would read per kind. Nothing is written."""
-    parts = []
-    for kind, rows in derived.items():
-        wanted = rows if symbol is None else rows.where(F.col("symbol") == symbol.upper())
-        parts.append(wanted.agg(F.count(F.lit(1)).alias("event_count")).select(F.lit(kind).alias("state_kind"), "event_count"))
-    return reduce(DataFrame.unionByName, parts)
+def replayed_state(bronze: DataFrame, as_of: Column, hot: bool | None = None) -> dict[str, DataFrame]:
+    """The newest book, bar and metrics per symbol of a replay of the bronze rows that had arrived by then."""
+    rows = bronze.where(F.col("ingest_time") <= as_of)
+    trades, quotes = silver.silver_trades(rows), newest(silver.silver_quotes(rows), ["symbol"])
+    bars = gold.bars(trades).withColumnsRenamed({"window_start": "event_time", "last_sequence": "sequence_number"})
+    return {
+        "top_of_book": top_of_book(quotes, as_of),
+        "bar_1s": newest(bars, ["symbol"], ("event_time", "sequence_number", "last_source_offset")),
+        "metrics": newest(rolling_metrics(trades, hot=hot), ["symbol"]),
+    }
 
 
 def _payload(rows: DataFrame, fields: list[str]) -> Column:

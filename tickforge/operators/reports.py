@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -173,6 +174,41 @@ def live_vs_replay(live: DataFrame, replay: DataFrame, keys: list[str], fields:
     )
 
 
+COMPARED = {
+    "top_of_book": ("bid_price", "bid_size", "ask_price", "ask_size", "spread", "mid_price"),
+    "bar_1s": ("open", "high", "low", "close", "volume", "vwap"),
+    "metrics": ("sample_count", "rolling_volume", "rolling_vwap", "volatility_bps"),
+}
+
+
+def state_differences(state: DataFrame, replay: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """One row per kind, symbol and field in which the stored state and the replayed rows differ.
+
+    A symbol that only one side has differs in all fields. What may be compared is small, a few
+    numbers per symbol.
+    """
+    def field(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("field"), F.round(value.cast("double"), 6).alias("value"))
+
+    def stacked(rows: DataFrame, kind: str, of: Callable[[str], Column], time: Column) -> DataFrame:
+        values = [field(name, of(name)) for name in ("sequence_number", *COMPARED[kind])]
+        return rows.select(F.lit(kind).alias("state_kind"), "symbol", F.inline(F.array(field("event_time_us", F.unix_micros(time)), *values)))
+
+    sides = []
+    for kind in COMPARED:
+        stored = state.where(F.col("state_kind") == kind)
+        sides.append(
+            (
+                stacked(stored, kind, lambda name: F.get_json_object("payload", f"$.{name}"), F.col("event_time")),
+                stacked(replay[kind], kind, F.col, F.col("event_time")),
+            )
+        )
+    live, replayed = (reduce(DataFrame.unionByName, side) for side in zip(*sides))
+    keys = ["state_kind", "symbol", "field"]
+    joined = live.withColumnRenamed("value", "live_value").join(replayed.withColumnRenamed("value", "replay_value"), keys, "full_outer")
+    return joined.where(~F.col("live_value").eqNullSafe(F.col("replay_value"))).select(as_of.cast("timestamp").alias("as_of"), *keys, "live_value", "replay_value")
+
+
 def divergence_counts(differences: DataFrame, interval: str = "15 minutes", time: str = "window_start") -> DataFrame:
     return (
         differences.groupBy("symbol", window_start(time, interval).alias("interval_start"))

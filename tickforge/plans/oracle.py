@@ -416,9 +416,6 @@ SELECTS = {
     "latest_state": """
     SELECT state_kind, symbol, exchange, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at,
            round(shown, 6) AS shown FROM state""",
-    "hot_state_rebuild": """
-    SELECT state_kind, symbol, event_time, sequence_number, CASE WHEN state_kind = 'freshness' THEN 'rebuilt' END AS status
-    FROM state WHERE state_kind <> 'latest_quote'""",
     "active_symbols": "SELECT symbol FROM quote_rows UNION SELECT symbol FROM trade_rows UNION SELECT symbol FROM alerts",
     "alert_stream_union": "SELECT * FROM alerts",
     "recent_alerts": f"""
@@ -483,8 +480,8 @@ SELECTS = {
     "gap_counts": """
     SELECT symbol, exchange, time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start,
            time_bucket(INTERVAL 5 MINUTE, event_time) + INTERVAL 5 MINUTE AS window_end, count(*) AS gap_count FROM gaps GROUP BY ALL""",
-    "live_vs_replay": "SELECT * FROM differences",
-    "divergence_counts": """
+    "live_vs_replay_bars": "SELECT * FROM differences",
+    "divergence_counts_bars": """
     SELECT symbol, time_bucket(INTERVAL 15 MINUTE, window_start) AS interval_start, count(*) AS difference_count FROM differences GROUP BY ALL""",
     "gap_evidence": f"""
     SELECT g.symbol, g.exchange, g.observed_sequence, g.alert_type, g.expected_sequence, g.event_time, g.source_partition, g.source_offset,

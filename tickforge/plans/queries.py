@@ -242,17 +242,6 @@ def _canonical(m: Market, kind: str) -> DataFrame:
     return feed.canonical_trades(checked) if kind == "trade" else feed.canonical_quotes(checked)
 
 
-def _rebuild(m: Market) -> DataFrame:
-    quotes, trades = m.quote_rows, m.trade_rows
-    derived = {
-        "top_of_book": live.top_of_book(quotes, market.processed_at()),
-        "bar_1s": live.bar_updates(trades, hot=m.hot_seconds),
-        "metrics": live.rolling_metrics(trades, hot=m.hot),
-    }
-    state = live.rebuilt_state(derived)
-    return state.select("state_kind", "symbol", "event_time", "sequence_number", F.get_json_object("payload", "$.status").alias("status"))
-
-
 BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "bronze_rows": lambda m: m.bronze,
     "bronze_rejects": lambda m: bronze_ops.bronze_rejects(market.unchecked_messages(m.spark, m.sf_dir, m.hot)).drop("raw_event"),
@@ -289,7 +278,6 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "bar_updates": lambda m: live.bar_updates(m.trade_rows, hot=m.hot_seconds),
     "rolling_metrics": lambda m: live.rolling_metrics(m.trade_rows, hot=m.hot),
     "latest_state": _latest_state,
-    "hot_state_rebuild": _rebuild,
     "active_symbols": lambda m: live.active_symbols(m.quote_rows, m.trade_rows, m.alerts),
     "alert_stream_union": lambda m: m.alerts,
     "recent_alerts": lambda m: live.recent_alerts(m.alerts, as_of=end()),
@@ -303,8 +291,8 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "replay_estimate": lambda m: reports.replay_estimate(m.bronze, start(), middle(), ["sym01", "SYM07"]),
     "feed_event_rate": lambda m: reports.feed_event_rate(m.bronze),
     "gap_counts": lambda m: reports.gap_counts(m.gaps),
-    "live_vs_replay": lambda m: m.differences,
-    "divergence_counts": lambda m: reports.divergence_counts(m.differences),
+    "live_vs_replay_bars": lambda m: m.differences,
+    "divergence_counts_bars": lambda m: reports.divergence_counts(m.differences),
     "gap_evidence": lambda m: reports.gap_evidence(m.gaps, m.tracked, start(), end()),
     "lineage_trace": lambda m: reports.lineage_trace(m.bars, m.trades, m.bronze),
     "lineage_trace_spreads": lambda m: reports.lineage_trace(m.spreads, m.quotes, m.bronze),
@@ -376,7 +364,7 @@ SEVERAL_DAYS = (
     "volatility_features",
     "replay_dry_run",
     "gap_counts",
-    "divergence_counts",
+    "divergence_counts_bars",
     "table_overwrite",
     "replay_output",
 )

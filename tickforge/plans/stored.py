@@ -3,6 +3,7 @@ and streams run to the end of what the given tables hold."""
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,9 +14,10 @@ from tickforge.plans import documents, market
 from tickforge.plans.queries import DAY, Market, end, start
 from tickforge.session import ROCKSDB_STATE, scratch_path
 from tickforge.sources import tables, topics
-from tickforge.streaming import jobs, sinks, stateful
+from tickforge.streaming import hot_state, jobs, sinks, snapshots, stateful
 
 MIXED = "mixed"
+AS_OF = [dt.datetime.fromisoformat(f"{DAY}T{text}+00:00") for text in ("00:01:00", "00:02:15")]
 
 
 def _place(m: Market, name: str) -> str:
@@ -49,7 +51,7 @@ def _bars(m: Market) -> DataFrame:
     m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
     place = _place(m, "bars")
     stream = jobs.bar_stream(_stored(m, m.messages, f"{place}/topics"))
-    latest = jobs.LatestRows(m.spark, f"{place}/bars", ["symbol", "exchange", "event_time"])
+    latest = snapshots.LatestRows(m.spark, f"{place}/bars", ["symbol", "exchange", "event_time"])
     jobs.each_batch(stream, latest.write, f"{place}/checkpoint", output="update").awaitTermination()
     return latest.read().select(*stream.columns)
 
@@ -106,6 +108,12 @@ def _audit(m: Market) -> DataFrame:
     )
 
 
+def _placed(alerts: DataFrame) -> DataFrame:
+    """Alerts with a place on their topic, as a broker would give them one."""
+    number = F.pmod(F.xxhash64("symbol", "exchange", "alert_type", "observed_sequence", "event_time", "message"), F.lit(1 << 40))
+    return alerts.withColumns({"source_topic": F.lit(ALERTS_TOPIC), "source_partition": F.lit(0).cast("long"), "source_offset": number})
+
+
 def _derived(m: Market) -> dict[str, tuple[DataFrame, list[str]]]:
     """Derived events per topic with the fields of their message."""
     quotes, trades = m.quote_rows, m.trade_rows
@@ -114,40 +122,75 @@ def _derived(m: Market) -> dict[str, tuple[DataFrame, list[str]]]:
         TOP_OF_BOOK_TOPIC: live.top_of_book(quotes, market.processed_at()),
         BARS_TOPIC: live.bar_updates(trades, hot=m.hot_seconds),
         METRICS_TOPIC: live.rolling_metrics(trades, hot=m.hot),
+        ALERTS_TOPIC: _placed(m.alerts),
     }
     return {topic: (df, [c for c in df.columns if c not in live.SOURCE]) for topic, df in frames.items()}
 
 
 def _derived_topic_sink(m: Market) -> DataFrame:
     place = _place(m, "topics")
-    for topic, (df, fields) in _derived(m).items():
-        topics.write_topic(topics.as_messages(df, topic, fields), topic, path=place)
     names = (QUOTES_TOPIC, TOP_OF_BOOK_TOPIC, BARS_TOPIC, METRICS_TOPIC)
+    derived = _derived(m)
+    for topic in names:
+        df, fields = derived[topic]
+        topics.write_topic(topics.as_messages(df, topic, fields), topic, path=place)
     back = topics.read_topics(m.spark, names, "json", streaming=False, path=place)
     return back.select("topic", "key", "partition", "offset", F.get_json_object("value", "$.sequence_number").cast("long").alias("sequence_number"))
 
 
-def _entries(state: sinks.HotState) -> DataFrame:
+def _state_messages(m: Market) -> DataFrame:
+    return reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
+
+
+def _entries(state: DataFrame) -> DataFrame:
+    """Entries with the status of freshness and the types of the listed alerts, newest first."""
+    listed = F.from_json("payload", "array<struct<alert_type string>>")["alert_type"]
+    types = F.when(F.col("state_kind") == "alerts", F.array_join(listed, ","))
     status = F.get_json_object("payload", "$.status")
-    return state.read().select("state_kind", "symbol", "event_time", "sequence_number", "expires_at", status.alias("status"))
+    return state.select("state_kind", "symbol", "event_time", "sequence_number", "expires_at", status.alias("status"), types.alias("alert_types"))
 
 
 def _stream_hot_state(m: Market) -> DataFrame:
     place = _place(m, "hot")
-    messages = reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
-    state = sinks.HotState(m.spark, f"{place}/state", end())
-    jobs.each_batch(_stored(m, messages, f"{place}/topics"), state.upsert, f"{place}/checkpoint").awaitTermination()
-    return _entries(state)
+    state = hot_state.HotState(m.spark, f"{place}/state", end())
+    jobs.each_batch(_stored(m, _state_messages(m), f"{place}/topics"), state.upsert, f"{place}/checkpoint").awaitTermination()
+    return _entries(state.read())
 
 
 def _hot_state_upsert(m: Market) -> DataFrame:
     """The same entries in two batches by hand, the second one delivered twice."""
-    messages = reduce(DataFrame.unionByName, [topics.as_messages(df, topic, fields) for topic, (df, fields) in _derived(m).items()])
-    state = sinks.HotState(m.spark, _place(m, "upsert"), end())
+    messages = _state_messages(m)
+    state = hot_state.HotState(m.spark, _place(m, "upsert"), end())
     even = F.col("offset") % 8 < 4
     for batch, part in ((0, even), (1, ~even), (1, ~even)):
         state.upsert(messages.where(part), batch)
-    return _entries(state)
+    return _entries(state.read())
+
+
+def _log(m: Market) -> DataFrame:
+    """The derived topics from their first message to the last one that is there now."""
+    place = _place(m, "log")
+    derived = _derived(m)
+    for topic in hot_state.REBUILD_TOPICS:
+        df, fields = derived[topic]
+        topics.write_topic(topics.as_messages(df, topic, fields), topic, path=place)
+    written = topics.read_topics(m.spark, hot_state.REBUILD_TOPICS, "json", streaming=False, path=place)
+    ranges: dict[str, dict] = {}
+    for r in written.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("until")).collect():
+        ranges.setdefault(r.topic, {})[r.partition] = (0, r.until)
+    return topics.read_offsets(m.spark, ranges, "json", path=place)
+
+
+def _state_differences(m: Market) -> DataFrame:
+    """The stored state as it was at two times beside that of a replay up to then."""
+    messages = _state_messages(m).persist()
+    state = hot_state.HotState(m.spark, _place(m, "history"), end(), keep=None)
+    bounds = [None, *AS_OF, None]
+    for batch, (after, until) in enumerate(zip(bounds, bounds[1:])):
+        part = messages if after is None else messages.where(F.col("timestamp") > F.lit(after))
+        state.upsert(part if until is None else part.where(F.col("timestamp") <= F.lit(until)), batch)
+    messages.unpersist()
+    return reduce(DataFrame.unionByName, [reports.state_differences(state.read(t), live.replayed_state(m.bronze, F.lit(t), m.hot), F.lit(t)) for t in AS_OF])
 
 
 def _feed_source(m: Market) -> DataFrame:
@@ -222,6 +265,11 @@ STORED = {
     "stream_rolling_metrics": lambda m: _streamed(m, "rolling", stateful.rolling_metrics_stream),
     "stream_hot_state": _stream_hot_state,
     "hot_state_upsert": _hot_state_upsert,
+    "hot_state_rebuild": lambda m: _entries(hot_state.rebuilt_state(_log(m))).drop("expires_at"),
+    "hot_state_rebuild_symbol": lambda m: _entries(hot_state.rebuilt_state(_log(m), "sym05")).drop("expires_at"),
+    "hot_state_rebuild_dry_run": lambda m: hot_state.rebuild_counts(_log(m)),
+    "live_vs_replay": _state_differences,
+    "divergence_counts": lambda m: reports.divergence_counts(_state_differences(m), time="as_of"),
     "feed_source": _feed_source,
     "stream_stale_monitor": _stream_stale_monitor,
     "stream_feed_handler": _stream_feed_handler,
@@ -232,6 +280,70 @@ REPORT = """
            max(event_date) AS max_event_date, r AS job_run_id, TIMESTAMP '2024-02-01 00:00:00' AS processed_at
     FROM {part} CROSS JOIN (VALUES ('run-1'), ('run-2')) AS runs(r) WHERE event_date = DATE '2024-01-01' GROUP BY r"""
 
+LISTED = """
+    SELECT 'alerts' AS state_kind, symbol, max(event_time) AS event_time, max(CASE WHEN alert_rank = 1 THEN sequence_number END) AS sequence_number,
+           max(event_time) + INTERVAL 1 HOUR AS expires_at, NULL AS status, string_agg(alert_type, ',' ORDER BY alert_rank) AS alert_types
+    FROM ranked_alerts WHERE alert_rank <= 25 GROUP BY symbol"""
+STATE_ENTRIES = f"""
+    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at,
+           CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END AS status, NULL AS alert_types
+    FROM state UNION ALL {LISTED}"""
+REBUILT = f"""
+    SELECT state_kind, symbol, event_time, sequence_number, CASE WHEN state_kind = 'freshness' THEN 'rebuilt' END AS status, NULL AS alert_types
+    FROM state WHERE state_kind <> 'latest_quote'
+    UNION ALL SELECT state_kind, symbol, event_time, sequence_number, status, alert_types FROM ({LISTED})"""
+
+
+def _differences_sql(as_of: str) -> str:
+    """Newest live rows that arrived up to a time, and the same from rows without copies; field by field."""
+    t = f"TIMESTAMP '{as_of}'"
+    position = "event_time DESC, sequence_number DESC, ingest_time DESC, source_topic DESC, source_partition DESC, source_offset DESC"
+    newest = f"QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {position}) = 1"
+    by_offset = "source_offset DESC, source_topic DESC, source_partition DESC"
+    arrival = "ingest_time, source_topic, source_partition, source_offset"
+    in_time = "event_time, sequence_number, source_offset, source_topic, source_partition"
+    book, bar = "bid_price, bid_size, ask_price, ask_size, spread, mid_price", "open, high, low, close, volume, vwap"
+    metric = "sample_count, rolling_volume, rolling_vwap, volatility_bps"
+
+    def stacked(kind: str, fields: str, rows: str) -> str:
+        shown = ", ".join(f"{f.strip()}::DOUBLE AS {f.strip()}" for f in fields.split(","))
+        common = "symbol, sequence_number::DOUBLE AS sequence_number, epoch_us(event_time)::DOUBLE AS event_time_us"
+        return f"""SELECT '{kind}' AS state_kind, symbol, field, round(value, 6) AS value FROM
+            (UNPIVOT (SELECT {common}, {shown} FROM ({rows})) ON sequence_number, event_time_us, {fields} INTO NAME field VALUE value)"""
+
+    alive = f"SELECT * FROM (SELECT * FROM {{}} WHERE ingest_time <= {t} {newest}) WHERE ingest_time + INTERVAL 120 SECONDS > {t}"
+    live = [stacked("top_of_book", book, alive.format("books")), stacked("bar_1s", bar, alive.format("bar_rows")), stacked("metrics", metric, alive.format("metric_rows"))]
+    replay = [
+        stacked("top_of_book", book, f"SELECT * FROM sq {newest}"),
+        stacked("bar_1s", bar, "SELECT * FROM sb QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY event_time DESC, sequence_number DESC, last_offset DESC) = 1"),
+        stacked("metrics", metric, f"SELECT * FROM sm {newest}"),
+    ]
+    return f"""
+    SELECT {t} AS as_of, state_kind, symbol, field, live_value, replay_value FROM (
+      WITH sq AS (SELECT * FROM quote_rows WHERE ingest_time <= {t}
+                  QUALIFY row_number() OVER (PARTITION BY symbol, exchange, sequence_number ORDER BY {by_offset}) = 1),
+      st AS (SELECT * FROM trade_rows WHERE ingest_time <= {t}
+             QUALIFY row_number() OVER (PARTITION BY symbol, exchange, sequence_number, trade_id ORDER BY {by_offset}) = 1),
+      sb AS (SELECT symbol, exchange, date_trunc('second', event_time) AS event_time, max(sequence_number) AS sequence_number,
+                    first(price ORDER BY {in_time}) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY {in_time}) AS close,
+                    sum(size) AS volume, sum((price * size)::DECIMAL(27,9))::DOUBLE / sum(size) AS vwap, max(source_offset) AS last_offset
+             FROM st GROUP BY symbol, exchange, date_trunc('second', event_time)),
+      sm AS (SELECT symbol, event_time, sequence_number, ingest_time, source_topic, source_partition, source_offset,
+                    least(120, count(*) OVER w) AS sample_count, sum(size) OVER w AS rolling_volume,
+                    (sum((price * size)::DECIMAL(27,9)) OVER w)::DOUBLE / sum(size) OVER w AS rolling_vwap,
+                    coalesce(round((stddev_samp(r) OVER (PARTITION BY symbol, exchange ORDER BY {arrival}
+                                    ROWS BETWEEN 118 PRECEDING AND CURRENT ROW)) * 10000, 6), 0) AS volatility_bps
+             FROM (SELECT *, CASE WHEN price > 0 AND before > 0 THEN ln(price / before) END AS r
+                   FROM (SELECT *, lag(price) OVER (PARTITION BY symbol, exchange ORDER BY {arrival}) AS before FROM st))
+             WINDOW w AS (PARTITION BY symbol, exchange ORDER BY {arrival} ROWS UNBOUNDED PRECEDING)),
+      l AS ({" UNION ALL ".join(live)}), r AS ({" UNION ALL ".join(replay)})
+      SELECT state_kind, symbol, field, l.value AS live_value, r.value AS replay_value
+      FROM l FULL OUTER JOIN r USING (state_kind, symbol, field)
+      WHERE l.value IS DISTINCT FROM r.value)"""
+
+
+DIFFERENCES = " UNION ALL ".join(_differences_sql(t.strftime("%Y-%m-%d %H:%M:%S")) for t in AS_OF)
+
 STORED_SQL = {
     "bronze_ingest": """
     SELECT schema_version, event_type, symbol, exchange, event_time, ingest_time, sequence_number, event_date, source_topic,
@@ -270,14 +382,17 @@ STORED_SQL = {
     SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
            observed_sequence AS sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM tracked""",
     "stream_rolling_metrics": "SELECT * REPLACE (round(rolling_vwap, 6) AS rolling_vwap) FROM metric_rows",
-    "stream_hot_state": """
-    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at,
-           CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END AS status
-    FROM state""",
-    "hot_state_upsert": """
-    SELECT state_kind, symbol, event_time, sequence_number, ingest_time + INTERVAL 120 SECONDS AS expires_at,
-           CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END AS status
-    FROM state""",
+    "stream_hot_state": STATE_ENTRIES,
+    "hot_state_upsert": STATE_ENTRIES,
+    "hot_state_rebuild": REBUILT,
+    "hot_state_rebuild_symbol": f"SELECT * FROM ({REBUILT}) WHERE symbol = 'SYM05'",
+    "hot_state_rebuild_dry_run": """
+    SELECT 'top_of_book' AS state_kind, count(*) AS event_count FROM quote_rows
+    UNION ALL SELECT 'bar_1s', count(*) FROM trade_rows UNION ALL SELECT 'metrics', count(*) FROM trade_rows
+    UNION ALL SELECT 'alerts', count(*) FROM alerts""",
+    "live_vs_replay": DIFFERENCES,
+    "divergence_counts": f"""
+    SELECT symbol, time_bucket(INTERVAL 15 MINUTE, as_of) AS interval_start, count(*) AS difference_count FROM ({DIFFERENCES}) GROUP BY ALL""",
     "feed_source": """
     SELECT 'feed.synthetic.raw.v1' AS topic, source_partition AS partition, source_offset AS "offset", ingest_time,
            NOT cut AND NOT lacking AND sent_type = event_type AS usable FROM sent_feed""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickforge.contracts import MESSAGE_SCHEMA
@@ -50,6 +53,33 @@ def read_topics(
     return reader.options(**options).load(f"{path}/{names}").select(*COLUMNS)
 
 
+def read_offsets(spark: SparkSession, ranges: dict[str, dict[int, tuple[int, int]] | None], source: str = "kafka", **options: str) -> DataFrame:
+    """Messages between two offsets, per topic and partition the first one and the one after the last.
+
+    A topic without ranges is read as a whole; of one that has them, other partitions are left out.
+    """
+    topics = tuple(ranges)
+    if source == "kafka":
+        partitions = {t: {str(p): r for p, r in parts.items()} for t, parts in ranges.items() if parts}
+        whole = [t for t, parts in ranges.items() if not parts]
+        parts = [read_topics(spark, tuple(whole), "kafka", streaming=False, **options)] if whole else []
+        if partitions:
+            bounds = [json.dumps({t: {p: r[i] for p, r in own.items()} for t, own in partitions.items()}) for i in (0, 1)]
+            assigned = json.dumps({t: [int(p) for p in own] for t, own in partitions.items()})
+            loaded = spark.read.format("kafka").option("assign", assigned).option("startingOffsets", bounds[0]).option("endingOffsets", bounds[1])
+            parts.append(loaded.options(**options).load().selectExpr("cast(key as string) key", "cast(value as string) value", "topic", "cast(partition as long) partition", "offset", "timestamp"))
+        return reduce(DataFrame.unionByName, parts)
+    messages = read_topics(spark, topics, source, streaming=False, **options)
+    wanted = F.lit(False)
+    for topic, parts in ranges.items():
+        own = F.col("topic") == topic
+        if parts:
+            between = [(F.col("partition") == p) & (F.col("offset") >= lo) & (F.col("offset") < hi) for p, (lo, hi) in parts.items()]
+            own = own & reduce(lambda a, b: a | b, between)
+        wanted = wanted | own
+    return messages.where(wanted)
+
+
 def write_topic(messages: DataFrame, topic: str, sink: str = "json", **options: str) -> None:
     """Append messages to one topic."""
     if sink == "kafka":

@@ -1,121 +1,15 @@
-"""Micro-batch sinks: hot state, and the feed handler's outputs. Both may see a batch
-twice after a failure and write the same thing again."""
+"""Micro-batch sinks: topics, and the feed handler's outputs. They may see a batch twice after
+a failure and write the same thing again."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
-from tickforge.contracts import (
-    ALERTS_TOPIC,
-    BARS_TOPIC,
-    METRICS_TOPIC,
-    QUOTES_TOPIC,
-    RAW_TOPIC,
-    STALE_MS,
-    STATE_TTL_SECONDS,
-    TOP_OF_BOOK_TOPIC,
-    TRADES_TOPIC,
-)
-from tickforge.functions.columns import iso_utc, lag_ms, parse_utc, version
+from tickforge.contracts import ALERTS_TOPIC, QUOTES_TOPIC, RAW_TOPIC, TRADES_TOPIC
+from tickforge.functions.columns import iso_utc
 from tickforge.operators import feed
 from tickforge.sources.topics import as_messages, write_topic
 
-# Which topic feeds which kind of state.
-STATE_TOPICS = {
-    QUOTES_TOPIC: "latest_quote",
-    TOP_OF_BOOK_TOPIC: "top_of_book",
-    BARS_TOPIC: "bar_1s",
-    METRICS_TOPIC: "metrics",
-}
-STATE_SCHEMA = """state_kind string, symbol string, payload string, event_time timestamp, sequence_number long,
-                  ingest_time timestamp, source_topic string, source_partition long, source_offset long, expires_at timestamp"""
-ORDER = ["event_time", "sequence_number", "ingest_time", "source_topic", "source_partition", "source_offset"]
-
-
-def state_rows(messages: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Messages of the state topics as state entries; a quote also gives its freshness at ``as_of``."""
-    kind = F.coalesce(*[F.when(F.col("topic") == topic, kind) for topic, kind in STATE_TOPICS.items()])
-    envelope = F.from_json("value", "symbol string, exchange string, event_time string, ingest_time string, sequence_number bigint")
-    kinds = F.when(kind == STATE_TOPICS[QUOTES_TOPIC], F.array(kind, F.lit("freshness"))).otherwise(F.array(kind))
-    now = F.current_timestamp() if as_of is None else as_of
-    rows = (
-        messages.where(F.col("topic").isin(*STATE_TOPICS))
-        .withColumn("e", F.explode(F.array(envelope)))
-        .select(
-            F.explode(kinds).alias("state_kind"),
-            F.upper("e.symbol").alias("symbol"),
-            F.col("e.exchange").alias("exchange"),
-            F.col("value").alias("payload"),
-            parse_utc("e.event_time").alias("event_time"),
-            F.col("e.sequence_number").alias("sequence_number"),
-            parse_utc("e.ingest_time").alias("ingest_time"),
-            F.col("topic").alias("source_topic"),
-            F.col("partition").alias("source_partition"),
-            F.col("offset").alias("source_offset"),
-        )
-        .withColumn("expires_at", F.expr(f"ingest_time + INTERVAL {STATE_TTL_SECONDS} SECONDS"))
-        .withColumn("lag", lag_ms("event_time", now))
-    )
-    fresh = F.to_json(
-        F.struct(
-            iso_utc("event_time").alias("event_time"),
-            F.col("exchange"),
-            F.col("lag").alias("freshness_lag_ms"),
-            iso_utc("ingest_time").alias("last_ingest_time"),
-            iso_utc(now).alias("last_processed_time"),
-            version().alias("schema_version"),
-            F.when(F.col("lag") > STALE_MS, "stale").otherwise("fresh").alias("status"),
-            F.col("symbol"),
-        )
-    )
-    payload = F.when(F.col("state_kind") == "freshness", fresh).otherwise(F.col("payload"))
-    return rows.withColumn("payload", payload).drop("exchange", "lag")
-
-
-class HotState:
-    """Latest entry per kind and symbol, kept as one snapshot per batch.
-
-    A batch merges into the snapshot before it and writes its own; an empty file with its
-    number then makes it the current one. Readers never see a half-written snapshot, and a
-    repeated batch starts from the same predecessor. Two snapshots are kept: the current one
-    and that predecessor.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, as_of: Column | None = None):
-        self.spark, self.path, self.as_of = spark, path.rstrip("/"), as_of
-        self.files = spark._jvm.org.apache.hadoop.fs
-
-    def _at(self, name: str):
-        path = self.files.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _versions(self) -> list[int]:
-        """The finished batches that are still there, in order: two, or three while one is finished."""
-        store, folder = self._at("current")
-        return sorted(int(f.getPath().getName()) for f in store.listStatus(folder)) if store.exists(folder) else []
-
-    def _snapshot(self, version: int | None) -> DataFrame:
-        if version is None:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/snapshot/{version}")
-
-    def read(self, as_of: Column | None = None) -> DataFrame:
-        """The current entries, without the expired ones when a time is given."""
-        state = self._snapshot(max(self._versions(), default=None))
-        return state if as_of is None else state.where(F.col("expires_at") > as_of)
-
-    def upsert(self, messages: DataFrame, batch: int) -> None:
-        current = self._snapshot(max((v for v in self._versions() if v < batch), default=None))
-        merged = current.unionByName(state_rows(messages, self.as_of))
-        row = F.max_by(F.struct(*merged.columns), F.struct(*ORDER)).alias("row")
-        latest = merged.groupBy("state_kind", "symbol").agg(row).select("row.*")
-        latest.write.mode("overwrite").parquet(f"{self.path}/snapshot/{batch}")
-        store, mark = self._at(f"current/{batch:020d}")
-        store.create(mark, True).close()
-        for old in self._versions()[:-2]:
-            for name in (f"current/{old:020d}", f"snapshot/{old}"):
-                store.delete(self._at(name)[1], True)
-
 
 class TopicSink:
     """Micro-batches of messages to one topic, on Kafka or as JSON files.
