@@ -87,6 +87,30 @@ def test_late_trades_change_their_bar_or_are_counted(spark):
     assert volumes["10 seconds"] == {0: 1, 10: 2, 20: 1} and dropped["10 seconds"] == 1
 
 
+def test_bars_close_and_free_their_state(spark):
+    """Batch after batch the closed bars and the late trades are all trades; the state does not grow."""
+    place, sent, sizes = scratch_path(spark, "closing"), [], []
+    outputs = sinks.SplitTables(f"{place}/out", ("bar", "late"))
+    for batch in range(4):
+        values = [trade(100 * batch + n, f"2026-05-07T00:{10 * batch:02d}:{n:02d}.5Z", 10.0 + n, 1) for n in range(30)]
+        values += [trade(100 * batch + 50, f"2026-05-07T00:{10 * batch:02d}:05.7Z", 3.0, 2)]  # in time, out of order
+        values += [trade(100 * batch + 60, "2026-05-07T00:00:02.1Z", 9.0, 5)]  # late from the second batch on
+        sent += values
+        topics.write_topic(messages(spark, values).coalesce(1), "mixed", path=f"{place}/topics")
+        query = jobs.each_batch(stateful.closing_bar_stream(stream(spark, f"{place}/topics"), "10 seconds"), outputs.write, f"{place}/checkpoint")
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    bars, late = ({r.event_time: r for r in outputs.read(spark, k).collect()} if k == "bar" else outputs.read(spark, k).collect() for k in ("bar", "late"))
+    assert [(r.sequence_number, r.close, r.volume) for r in sorted(late, key=lambda r: r.sequence_number)] == [(100 * b + 60, 9.0, 5) for b in (1, 2, 3)]
+    closed = [v for v in sent if v["sequence_number"] % 100 != 60 or v["sequence_number"] < 100]
+    open_still = [v for v in closed if v["event_time"] > "2026-05-07T00:30:19"]
+    assert sum(r.trade_count for r in bars.values()) == len(closed) - len(open_still)
+    assert sum(r.volume for r in bars.values()) == sum(v["size"] for v in closed) - sum(v["size"] for v in open_still)
+    second = bars[dt.datetime(2026, 5, 7, 0, 0, 5)]
+    assert (second.open, second.close, second.low, second.volume, second.trade_count) == (15.0, 3.0, 3.0, 3, 2)
+    assert len(set(sizes)) == 1
+
+
 def test_restart_continues_where_it_stopped(spark, sent):
     place, all_messages = sent
     grown = scratch_path(spark, "grown")

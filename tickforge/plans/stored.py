@@ -4,6 +4,7 @@ and streams run to the end of what the given tables hold."""
 from __future__ import annotations
 
 import datetime as dt
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -56,6 +57,26 @@ def _bars(m: Market) -> DataFrame:
     return latest.read().select(*stream.columns)
 
 
+LATE_CUTS = ("00:00:40", "00:01:20", "00:02:00")
+LATE_DELAY_MS = 2000
+
+
+def _late_trades(m: Market) -> DataFrame:
+    """Closed bars and late trades of a stream in four batches, cut by arrival."""
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+    place = _place(m, "closing")
+    messages, cuts = m.messages.persist(), [None, *(F.lit(f"{DAY} {cut}").cast("timestamp") for cut in LATE_CUTS), None]
+    for after, until in zip(cuts, cuts[1:]):
+        part = messages if after is None else messages.where(F.col("timestamp") > after)
+        topics.write_topic((part if until is None else part.where(F.col("timestamp") <= until)).coalesce(1), MIXED, path=f"{place}/topics")
+        time.sleep(1.1)  # files are taken in order of their modification time, which has whole seconds on some stores
+    messages.unpersist()
+    sent = topics.read_topics(m.spark, (MIXED,), "json", path=f"{place}/topics", per_trigger=1)
+    tables_of = sinks.SplitTables(f"{place}/out", ("bar", "late"))
+    jobs.each_batch(stateful.closing_bar_stream(sent, f"{LATE_DELAY_MS} milliseconds"), tables_of.write, f"{place}/checkpoint").awaitTermination()
+    return tables_of.read(m.spark, "bar").unionByName(tables_of.read(m.spark, "late"))
+
+
 def _table_overwrite(m: Market) -> DataFrame:
     """Write trades by date, then replace one date by one symbol's trades, and read all back."""
     store = tables.TableStore(m.spark, _place(m, "lakehouse"))
@@ -261,6 +282,7 @@ STORED = {
     "stream_spread_alerts": lambda m: _streamed(m, "spread", jobs.spread_alert_stream),
     "stream_alert_union": lambda m: _streamed(m, "alerts", jobs.alert_stream),
     "stream_bars": _bars,
+    "stream_late_trades": _late_trades,
     "stream_sequence_track": lambda m: _streamed(m, "track", stateful.sequence_track_stream),
     "stream_rolling_metrics": lambda m: _streamed(m, "rolling", stateful.rolling_metrics_stream),
     "stream_hot_state": _stream_hot_state,
@@ -378,6 +400,19 @@ STORED_SQL = {
     "stream_bars": """
     SELECT '1.0' AS schema_version, 'bar_1s' AS event_type, symbol, exchange, window_start AS event_time, last_sequence AS sequence_number,
            open, high, low, close, volume, round(vwap, 6) AS vwap FROM sent_bars""",
+    "stream_late_trades": f"""
+    SELECT * FROM (WITH cut AS (SELECT *, {" + ".join(f"(ingest_time > TIMESTAMP '{DAY} {c}')::INT" for c in LATE_CUTS)} AS batch FROM trade_rows),
+    marks AS (SELECT b AS batch, (SELECT epoch_us(max(event_time)) // 1000 - {LATE_DELAY_MS} FROM cut WHERE batch < b) AS mark_ms FROM range(0, {len(LATE_CUTS) + 2}) t(b)),
+    seen AS (SELECT cut.*, date_trunc('second', event_time) AS second, epoch_ms(date_trunc('second', event_time)) + 1000 <= coalesce(mark_ms, 0) AS late
+             FROM cut JOIN marks USING (batch))
+    SELECT 'late' AS kind, symbol, exchange, event_time, sequence_number, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low,
+           price AS close, size AS volume, NULL::DOUBLE AS vwap, 1::BIGINT AS trade_count, source_offset FROM seen WHERE late
+    UNION ALL
+    SELECT 'bar', symbol, exchange, second, max(sequence_number), first(price ORDER BY event_time, sequence_number, source_offset, source_partition),
+           max(price), min(price), last(price ORDER BY event_time, sequence_number, source_offset, source_partition), sum(size)::BIGINT,
+           round(sum((price * size)::DECIMAL(27,9))::DOUBLE / sum(size), 6), count(*), NULL
+    FROM seen WHERE NOT late GROUP BY symbol, exchange, second
+    HAVING epoch_ms(second) + 1000 <= (SELECT mark_ms FROM marks WHERE batch = {len(LATE_CUTS) + 1}))""",
     "stream_sequence_track": """
     SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
            observed_sequence AS sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM tracked""",

@@ -3,7 +3,7 @@ a failure and write the same thing again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tickforge.contracts import ALERTS_TOPIC, QUOTES_TOPIC, RAW_TOPIC, TRADES_TOPIC
 from tickforge.functions.columns import iso_utc
@@ -29,6 +29,24 @@ class TopicSink:
         stamped.write.mode("overwrite").json(f"{self.options['path'].rstrip('/')}/{self.topic}/batch-{batch}")
 
 
+class SplitTables:
+    """Rows of one stream to a table per value of ``kind``; a repeated batch replaces its own folders."""
+
+    def __init__(self, path: str, kinds: tuple[str, ...]):
+        self.path, self.kinds = path.rstrip("/"), kinds
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        kept = rows.persist()
+        try:
+            for kind in self.kinds:
+                kept.where(kept["kind"] == kind).write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch}")
+        finally:
+            kept.unpersist()
+
+    def read(self, spark: SparkSession, kind: str) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{kind}").drop("batch")
+
+
 class FeedOutputs:
     """Valid events to the raw and the typed topics, rejected ones to the alerts."""
 

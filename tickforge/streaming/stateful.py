@@ -109,6 +109,89 @@ class RollingWindow(StatefulProcessor):
         pass
 
 
+BAR_STATE = """open double, close double, high double, low double, volume long, notional decimal(38,0), trade_count long, sequence_number long,
+               first_at array<long>, last_at array<long>"""
+PLACE = ["event_us", "sequence_number", "source_offset", "source_partition"]
+CLOSED_SCHEMA = """kind string, symbol string, exchange string, event_time timestamp, sequence_number long, open double, high double, low double,
+                   close double, volume long, vwap double, trade_count long, source_offset long"""
+
+
+class ClosingBars(StatefulProcessor):
+    """Bars that end with the watermark: then a timer sends the bar and frees its state, and trades
+    of it that come later are sent on as they are."""
+
+    def __init__(self, length_ms: int):
+        self.length_ms = length_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bars = handle.getMapState("bars", "end_ms long", BAR_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(PLACE, ignore_index=True)
+        batch["end_ms"] = (batch["event_us"] // (1000 * self.length_ms) + 1) * self.length_ms
+        late = batch["end_ms"] <= timerValues.getCurrentWatermarkInMs()
+        if late.any():
+            yield self._late(key, batch[late])
+        batch = batch[~late]
+        batch["notional"] = [int(x) for x in np.rint(batch["price"].to_numpy() * batch["size"].to_numpy() * 1e9)]
+        for end_ms, part in batch.groupby("end_ms"):
+            first, last = part.iloc[0], part.iloc[-1]
+            new = (
+                float(first["price"]), float(last["price"]), float(part["price"].max()), float(part["price"].min()), int(part["size"].sum()),
+                Decimal(sum(part["notional"])), len(part), int(part["sequence_number"].max()), [int(first[c]) for c in PLACE], [int(last[c]) for c in PLACE],
+            )
+            if self.bars.containsKey((end_ms,)):
+                new = merged_bars(tuple(self.bars.getValue((end_ms,))), new)
+            else:
+                self.handle.registerTimer(int(end_ms))
+            self.bars.updateValue((int(end_ms),), new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end_ms = expiredTimerInfo.getExpiryTimeInMs()
+        bar = self.bars.getValue((end_ms,))
+        self.bars.removeKey((end_ms,))
+        opened, close, high, low, volume, notional, trades, sequence = tuple(bar)[:8]
+        yield pd.DataFrame(
+            {
+                "kind": ["bar"], "symbol": [key[0]], "exchange": [key[1]], "event_time": [pd.Timestamp(end_ms - self.length_ms, unit="ms", tz="UTC")],
+                "sequence_number": [sequence], "open": [opened], "high": [high], "low": [low], "close": [close], "volume": [volume],
+                "vwap": [int(notional) / 1e9 / volume if volume else close], "trade_count": [trades], "source_offset": pd.array([None], "Int64"),
+            }
+        )
+
+    @staticmethod
+    def _late(key, rows: pd.DataFrame) -> pd.DataFrame:
+        none = np.full(len(rows), np.nan)
+        return pd.DataFrame(
+            {
+                "kind": "late", "symbol": key[0], "exchange": key[1], "event_time": pd.to_datetime(rows["event_us"].to_numpy(), unit="us", utc=True),
+                "sequence_number": rows["sequence_number"].to_numpy(), "open": none, "high": none, "low": none, "close": rows["price"].to_numpy(),
+                "volume": rows["size"].to_numpy(), "vwap": none, "trade_count": 1, "source_offset": pd.array(rows["source_offset"].to_numpy(), "Int64"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def merged_bars(a: tuple, b: tuple) -> tuple:
+    """One bar from two of the same window, whichever came first."""
+    first, last = (a if list(a[8]) <= list(b[8]) else b), (a if list(a[9]) >= list(b[9]) else b)
+    return (first[0], last[1], max(a[2], b[2]), min(a[3], b[3]), a[4] + b[4], a[5] + b[5], a[6] + b[6], max(a[7], b[7]), list(first[8]), list(last[9]))
+
+
+def closing_bar_stream(messages: DataFrame, watermark: str, length_ms: int = 1000) -> DataFrame:
+    """Each bar once, when the watermark has passed its end (``kind`` bar), and every trade that came too late for its bar (late).
+
+    The state holds the bars that are still open and nothing else. The event time goes on as a
+    number: Spark drops late rows by the column itself before a processor could see them.
+    """
+    trades = silver.trade_rows(bronze.bronze_rows(messages)).withWatermark("event_time", watermark)
+    rows = trades.select(*KEYS, F.unix_micros("event_time").alias("event_us"), "sequence_number", "price", "size", "source_offset", "source_partition")
+    return rows.groupBy(*KEYS).transformWithStateInPandas(ClosingBars(length_ms), CLOSED_SCHEMA, "Append", "EventTime")
+
+
 def deviation_bps(prices: np.ndarray, last: int, limit: int) -> np.ndarray:
     """For each of the ``last`` prices, the sample deviation of the log returns among
     the ``limit`` prices up to it; returns with a non-positive side are left out."""
