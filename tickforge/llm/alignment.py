@@ -45,6 +45,7 @@ class ByteLevelSide:
 
     def __init__(self, path: str):
         self.tokens = text_tokens(path, special=False)
+        self.tokens.pieces.size = WORDS  # beside the memo of the other side
         bytes_of = {chr(sign): byte for byte, sign in BYTE_CHARACTERS.items()}
         rules = json.loads(self.tokens.tokenizer.to_str())
         added = {x["id"] for x in rules["added_tokens"]}
@@ -80,7 +81,7 @@ class PieceSide:
         by_words = all("▁" not in p.lstrip("▁") and not (p[:2] == "▁▁" and p.strip("▁")) for p in signs)
         self.by_words = by_words and self.model.normalize(probe) == "▁" + probe.replace(" ", "▁")
         self.dtype = np.dtype("<u2" if len(signs) <= 1 << 16 else "<u4")
-        self.words = Memo(lambda word: np.array(self.model.encode(word), self.dtype).tobytes(), WORDS // 2)
+        self.words = Memo(lambda word: np.array(self.model.encode(word), self.dtype).tobytes(), WORDS)
 
     def forget(self) -> None:
         self.words.forget()

@@ -40,16 +40,14 @@ BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x f
 SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 
 SIGNS = tuple(".,;:!?")
-SPACE_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
-
-WORDS = 300_000
-"""Entries that each of the two generations of a memo may hold."""
+PIECES, WORDS = 600_000, 150_000
+"""Entries that each of the two generations of a memo may hold; an entry takes about 200 bytes."""
 
 
 class Memo(dict):
     """What `make` gives for a key, remembered in two generations: what has not been used for long goes."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int = WORDS):
+    def __init__(self, make: Callable[[str], bytes], size: int):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
@@ -84,9 +82,9 @@ class TextTokens:
         self.lower = '"Lowercase"' in json.dumps(rules["normalizer"])
         added = [re.escape(x["content"]) for x in rules["added_tokens"]] if special else []
         self.holds_added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, WORDS)
         self.before = " " if " ?" in pattern else ""
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, PIECES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts are worked through about two megabytes at a time."""
@@ -109,7 +107,7 @@ class TextTokens:
             return self._looked_up(self.cut_other(text)) if self.cut_other else self._encode_whole(text)
         if self.lower:
             text = text.lower()
-        if text.endswith(" ") or any(pair in text for pair in SPACE_PAIRS):
+        if not _spaces_stand_alone(text):
             return self._cut_ids(text)
         first, *rest = text.split(" ")
         return self._cut_ids(first) + b"".join(map(self.pieces.__getitem__, rest))
@@ -119,6 +117,8 @@ class TextTokens:
 
     def _piece(self, piece: str) -> bytes:
         """The ids of what follows a space; most often a word, with or without a sign behind it."""
+        if piece.isalpha():
+            return self._word(self.before + piece)
         if piece[-1:] in SIGNS and piece[:-1].isalpha():
             return self.pieces[piece[:-1]] + self.words[piece[-1]]
         return self._cut_ids(self.before + piece)
@@ -141,6 +141,13 @@ class TextTokens:
         return ids.tobytes()
 
 
+def _spaces_stand_alone(text: str) -> bool:
+    """Whether every space has a character before or, at the begin, behind it that is not white space."""
+    if text.endswith(" ") or "  " in text or "\t" in text or "\r" in text:
+        return False
+    return " \n" not in text and "\n " not in text
+
+
 def _pattern(rule: dict) -> str:
     """The pattern whose matches a pre-tokenizer gives."""
     for part in rule.get("pretokenizers", [rule]):
