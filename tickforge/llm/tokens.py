@@ -40,7 +40,7 @@ BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x f
 SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 
 SIGNS = tuple(".,;:!?")
-PIECES, WORDS = 600_000, 150_000
+PIECES, WORDS = 1_000_000, 150_000
 """Entries that each of the two generations of a memo may hold; an entry takes about 200 bytes."""
 
 
