@@ -203,40 +203,6 @@ def test_derived_events_meet_their_contracts(spark):
     assert checks.contract_violations(text, "quality_alert").first()["violations"] == []
 
 
-def test_stale_alerts_equal_the_tick_loop(spark):
-    """Against the monitor's loop on arrivals with silences and late quotes."""
-    import random
-
-    rng = random.Random(3)
-    start = dt.datetime(2026, 5, 7)
-    at, sent, arrivals = 0.0, [], []
-    for n in range(60):
-        at += rng.choice([0.2, 0.9, 3.5, 7.1])
-        behind = rng.choice([0.0, 0.4, 1.9, 2.6, 6.3])
-        arrive, happened = start + dt.timedelta(seconds=at), start + dt.timedelta(seconds=at - behind)
-        iso = lambda t: t.isoformat(timespec="microseconds") + "Z"
-        sent.append(quote(n, iso(happened), 1.0, 1.0, ingest_time=iso(arrive)))
-        arrivals.append((arrive, happened))
-    ticks = int(at) + 12
-    expected, mark = [], 0
-    for tick in range(ticks + 1):
-        now = start + dt.timedelta(seconds=tick)
-        seen = [happened for arrive, happened in arrivals if arrive <= now]
-        if not seen:
-            continue
-        lag = max(0, int((now - seen[-1]) / dt.timedelta(milliseconds=1)))
-        if lag <= 2000:
-            mark = 0
-        elif lag - mark >= 2000:
-            expected.append((now, f"AAPL freshness lag is {lag} ms."))
-            mark = lag
-    quotes = silver.quote_rows(bronze_of(spark, sent))
-    lit = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp")
-    found = live.stale_alerts(quotes, lit(start), lit(start + dt.timedelta(seconds=ticks)))
-    rows = [(row["t"], row["message"]) for row in found.select(F.col("event_time").cast("timestamp_ntz").alias("t"), "message").orderBy("t").collect()]
-    assert rows == expected and len(expected) > 10
-
-
 def test_latest_state_expiry_and_snapshot(spark):
     rows = bronze_of(spark, [quote(1, f"{T}Z", 100.0, 100.04), quote(2, f"{T}.5Z", 101.0, 101.04), trade(3, f"{T}Z", 100.0, 10)])
     quotes, trades = silver.quote_rows(rows), silver.trade_rows(rows)

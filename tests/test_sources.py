@@ -7,7 +7,7 @@ from tests.helpers import bronze_of, messages, processed, rows_of, trade
 from tickforge.contracts import TRADES_TOPIC
 from tickforge.operators import checks, gold, reports, silver, text
 from tickforge.session import scratch_path
-from tickforge.sources import documents, tables, topics
+from tickforge.sources import documents, folders, tables, topics
 
 
 def test_markdown_files(spark, tmp_path):
@@ -60,9 +60,9 @@ def test_report_replay_and_registration(spark):
     store.overwrite(trades_on(spark, 1, 2), "silver_trades")
     report = reports.quality_report({"silver_trades": store.read("silver_trades")}, "2026-05-02", "r", processed())
     path = f"{store.base_path}/reports"
-    store.append(report, path)
-    store.append(report, path)
-    assert [row["row_count"] for row in store.read_path(path).collect()] == [1, 1]
+    for run in ("r", "s/1", "r"):
+        store.append(report, path, run)
+    assert [row["row_count"] for row in store.read_appended(path).collect()] == [1, 1]
     replay = reports.replay_dry_run(bronze_of(spark, [trade(1, "2026-05-02T00:00:00Z", 1.0, 1)]), "2026-05-02")
     assert store.replay_output(replay, "2026-05-02").endswith("/replay/dry_run/event_date=2026-05-02")
     name = store.register("silver_trades", "research_" + store.base_path[-12:])
@@ -88,9 +88,45 @@ def test_audit_appends(spark):
     place = scratch_path(spark, "audit")
     row = [("lookup", "demo", "{}", "ok", 12, dt.datetime(2026, 5, 7))]
     record = spark.createDataFrame(row, "tool_name string, caller string, parameters string, result_status string, duration_ms long, timestamp timestamp")
-    tables.append_audit(record, place)
-    tables.append_audit(record, place)
-    assert spark.read.parquet(place).count() == 2
+    for batch, rows in (("a", record), ("b", record.union(record)), ("a", record), ("b", record.union(record))):
+        tables.append_audit(rows, place, batch)
+    assert tables.read_audit(spark, place).count() == 3
+
+
+def test_a_run_is_replaced_as_a_whole(spark):
+    """A run again, with other rows and columns; an attempt that was never committed does not count."""
+    table = folders.RunTable(spark, scratch_path(spark, "runs"))
+    table.write(spark.range(3).withColumn("run", F.lit("one")), "one")
+    table.write(spark.range(10, 12).withColumn("run", F.lit("two")), "two")
+    assert sorted(r.id for r in table.read().collect()) == [0, 1, 2, 10, 11]
+    table.write(spark.range(5, 6).withColumn("extra", F.lit(1)), "one")
+    found = {r.id: (r.run, r.extra) for r in table.read().collect()}
+    assert found == {5: (None, 1), 10: ("two", None), 11: ("two", None)}
+    spark.range(99, 100).write.parquet(f"{table.path}/runs/one/2")  # died before its commit
+    assert {r.id for r in table.read().collect()} == {5, 10, 11}
+    table.write(spark.range(7, 8), "one")
+    assert {r.id for r in table.read().collect()} == {7, 10, 11}
+
+
+def test_an_upsert_rewrites_the_buckets_it_touches(spark):
+    index = folders.BucketedIndex(spark, scratch_path(spark, "index"), buckets=8)
+    rows = lambda ids, text: spark.createDataFrame(
+        [(f"doc:{i}", k, f"{text} {i} {k}", dt.datetime(2026, 5, 7)) for i in ids for k in range(2)], "source_uri string, chunk_index int, content string, indexed_at timestamp"
+    )
+    assert index.upsert(rows(range(40), "old")) == list(range(8))
+    files = lambda: {f.split("/bucket=")[1]: f for f in index.read().inputFiles()}
+    before = files()
+    touched = index.upsert(rows([3], "new").union(rows([41], "first")))
+    after = files()
+    assert 0 < len(touched) <= 2
+    kept = {name for name in before if int(name.split("/")[0]) not in touched}
+    assert kept <= after.keys() and {after[n] for n in kept} == {before[n] for n in kept}
+    assert all(f"generation=1/bucket={b}" in f for b in touched for n, f in after.items() if n.startswith(f"{b}/"))
+    found = {(r.source_uri, r.chunk_index): r.content for r in index.read().collect()}
+    assert found == {(f"doc:{i}", k): f"{'new' if i == 3 else 'first' if i == 41 else 'old'} {i} {k}" for i in [*range(40), 41] for k in range(2)}
+    index.upsert(rows([3], "newer"))
+    assert index.upsert(rows([], "none")) == [] and list(index.finished()) == [1, 2]
+    assert "generation=0" not in " ".join(f for f in index.read().inputFiles() if any(f"bucket={b}/" in f for b in touched))
 
 
 def test_work_folder_comes_from_the_session(spark):

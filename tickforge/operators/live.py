@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickforge.contracts import (
@@ -12,7 +11,6 @@ from tickforge.contracts import (
     CROSSED_MESSAGE,
     MIN_WIDE_SPREAD,
     ROLLING_PRICES,
-    STALE_MESSAGE,
     STALE_MS,
     STATE_TTL_SECONDS,
     WIDE_MESSAGE,
@@ -283,134 +281,3 @@ def symbol_snapshot(state: DataFrame, alerts: DataFrame, symbols: DataFrame, as_
         )
     )
     return symbols.join(by_symbol, "symbol", "left").join(listed, "symbol", "left")
-
-
-# --- Freshness over time --------------------------------------------------------------
-
-
-def freshness_intervals(quotes: DataFrame, keys: list[str], start: Column, end: Column, tick_ms: int = 1000) -> DataFrame:
-    """Runs of ticks during which one quote is the last one that arrived.
-
-    Quotes are reduced to the last one per key and tick before the shuffle, so a key
-    has at most one row per tick of the asked range, however many quotes it has.
-    """
-    tick_us = tick_ms * 1000
-    since = F.unix_micros("ingest_time") - F.unix_micros(start)
-    first_tick = F.greatest(F.lit(0).cast("long"), F.ceil(since / F.lit(tick_us)).cast("long"))
-    last_tick = F.floor((F.unix_micros(end) - F.unix_micros(start)) / F.lit(tick_us)).cast("long")
-    rest = [name for name in ("symbol", "exchange", "event_time") if name not in keys]
-    seen = (
-        quotes.where(F.col("ingest_time") <= end)
-        .groupBy(*keys, first_tick.alias("from_tick"))
-        .agg(F.max_by(F.struct(*rest), F.struct(*ARRIVAL)).alias("last"))
-    )
-    following = F.lead("from_tick").over(Window.partitionBy(*keys).orderBy("from_tick"))
-    return (
-        seen.withColumn("to_tick", F.coalesce(following - 1, last_tick))
-        .where(F.col("from_tick") <= F.col("to_tick"))
-        .select(
-            *keys,
-            *[F.col(f"last.{name}").alias(name) for name in rest],
-            "from_tick",
-            "to_tick",
-            (F.unix_micros(start) - F.unix_micros("last.event_time")).alias("offset_us"),
-        )
-    )
-
-
-def _lag_at(tick: Column, tick_ms: int) -> Column:
-    us = F.col("offset_us") + tick * F.lit(tick_ms * 1000)
-    return F.greatest(F.lit(0).cast("long"), F.floor(us / F.lit(1000)).cast("long"))
-
-
-TICKS_PER_PIECE = 86_400
-WALKED_SCHEMA = "symbol string, exchange string, from_tick long, to_tick long, offset_us long, alert_tick long"
-
-
-def _first_alert_ticks(tick_ms: int, stale_ms: int):
-    """Walk one piece of intervals: each alert raises the mark the next must pass."""
-
-    def lag(offset_us: int, tick: int) -> int:
-        return max(0, (offset_us + tick * tick_ms * 1000) // 1000)
-
-    def walk(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("from_tick")
-        mark, firsts = 0, []
-        for row in piece.itertuples():
-            first = None
-            tick = row.from_tick
-            if lag(row.offset_us, tick) <= stale_ms:
-                mark = 0
-            needed = max(mark + stale_ms, stale_ms + 1)
-            short = needed - lag(row.offset_us, tick)
-            if short > 0:
-                tick += max(0, short // tick_ms - 1)
-                while tick <= row.to_tick and lag(row.offset_us, tick) < needed:
-                    tick += 1
-            if tick <= row.to_tick:
-                first = tick
-                step = -(-stale_ms // tick_ms)
-                mark = lag(row.offset_us, tick + (row.to_tick - tick) // step * step)
-            firsts.append(first)
-        out = piece[["symbol", "exchange", "from_tick", "to_tick", "offset_us"]].copy()
-        out["alert_tick"] = pd.array(firsts, dtype="Int64")
-        return out
-
-    return walk
-
-
-def stale_alerts(quotes: DataFrame, start: Column, end: Column, tick_ms: int = 1000, stale_ms: int = STALE_MS) -> DataFrame:
-    """Alerts of a monitor that looks at every symbol once per tick.
-
-    A symbol is reported when its lag passed ``stale_ms``, and again whenever the lag
-    grew by ``stale_ms`` since the last report; a fresh tick resets it. An interval
-    that starts fresh does not depend on the past, so the timeline is cut at such an
-    interval about once in 86,400 ticks and each piece is walked on its own. A piece
-    has at most one row per tick.
-    """
-    intervals = freshness_intervals(quotes, ["symbol"], start, end, tick_ms)
-    ordered = Window.partitionBy("symbol").orderBy("from_tick").rowsBetween(Window.unboundedPreceding, 0)
-    starts_fresh = F.when(_lag_at(F.col("from_tick"), tick_ms) <= stale_ms, F.col("from_tick"))
-    cut = F.floor(F.coalesce(F.max(starts_fresh).over(ordered), F.lit(0)) / F.lit(TICKS_PER_PIECE))
-    pieces = intervals.select("symbol", "exchange", "from_tick", "to_tick", "offset_us").withColumn("piece", cut)
-    walked = pieces.groupBy("symbol", "piece").applyInPandas(_first_alert_ticks(tick_ms, stale_ms), WALKED_SCHEMA)
-    step = -(-stale_ms // tick_ms)
-    lag = _lag_at(F.col("tick"), tick_ms)
-    fields = (
-        walked.where("alert_tick IS NOT NULL")
-        .withColumn("tick", F.explode(F.sequence("alert_tick", "to_tick", F.lit(step).cast("long"))))
-        .select(
-            "symbol",
-            "exchange",
-            F.timestamp_micros(F.unix_micros(start) + F.col("tick") * F.lit(tick_ms * 1000)).alias("event_time"),
-            F.lit("stale_symbol").alias("alert_type"),
-            F.lit("warning").alias("severity"),
-            F.format_string(STALE_MESSAGE, "symbol", lag).alias("message"),
-            F.lit(None).cast("long").alias("observed_sequence"),
-            F.lit(None).cast("long").alias("expected_sequence"),
-        )
-    )
-    return quality_alert_rows(fields)
-
-
-def freshness_breach(
-    quotes: DataFrame, start: Column, end: Column, hold_ticks: int, tick_ms: int = 1000, stale_ms: int = STALE_MS
-) -> DataFrame:
-    """Ticks at which a symbol's largest lag has been stale for the whole hold time."""
-    by_market = freshness_intervals(quotes, ["symbol", "exchange"], start, end, tick_ms)
-    lags = (
-        by_market.withColumn("tick", F.explode(F.sequence("from_tick", "to_tick")))
-        .groupBy("symbol", "tick")
-        .agg(F.max(_lag_at(F.col("tick"), tick_ms)).alias("lag_ms"))
-    )
-    held = Window.partitionBy("symbol").orderBy("tick").rangeBetween(-hold_ticks, 0)
-    return (
-        lags.withColumn("lowest", F.min("lag_ms").over(held))
-        .withColumn("ticks", F.count(F.lit(1)).over(held))
-        .where((F.col("lowest") > stale_ms) & (F.col("ticks") == hold_ticks + 1))
-        .select(
-            "symbol",
-            F.timestamp_micros(F.unix_micros(start) + F.col("tick") * F.lit(tick_ms * 1000)).alias("tick_time"),
-            "lag_ms",
-        )
-    )

@@ -20,8 +20,8 @@ RUN_ID = "run-1"
 PROCESSED_AT = "2024-02-01 00:00:00"
 MESSAGE_COLUMNS = MESSAGE_SCHEMA.fieldNames()
 LATE_OFFSET = 1602
-DENSE, WIDE = 14400, 10
-"""By how much event times are squeezed: 30 days into 180 seconds or into 3 days."""
+DENSE, HALF_HOUR, WIDE = 14400, 1440, 10
+"""By how much event times are squeezed: 30 days into 180 seconds, half an hour or 3 days."""
 
 
 # The columns of the given tables, so that no job infers them.

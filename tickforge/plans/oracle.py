@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import re
 
-from tickforge.plans.queries import DAY, INCIDENTS, SEARCHES, SEVERAL_DAYS
+from tickforge.plans import market
+from tickforge.plans.queries import DAY, HALF_AN_HOUR, HOLD_TICKS, INCIDENTS, SEARCHES, SEVERAL_DAYS
 
 START = f"TIMESTAMP '{DAY} 00:00:00'"
 MIDDLE = f"TIMESTAMP '{DAY} 00:01:30'"
@@ -438,15 +439,19 @@ SELECTS = {
                FROM ranked_alerts WHERE alert_rank <= 10 GROUP BY symbol) a USING (symbol)
     GROUP BY symbol""",
     "freshness_breach": f"""
-    SELECT symbol, tick_time, lag_ms FROM (
-      SELECT *, min(lag_ms) OVER w AS lowest, count(*) OVER w AS n FROM (
-        SELECT symbol, tick, tick_time, max(lag_ms) AS lag_ms FROM (
-          SELECT t.tick, t.tick_time, q.symbol, q.exchange,
-                 greatest(0, epoch_us(t.tick_time) - epoch_us(arg_max(q.event_time, row(q.ingest_time, q.source_topic, q.source_partition, q.source_offset)))) // 1000 AS lag_ms
-          FROM ticks t JOIN quote_rows q ON q.ingest_time <= t.tick_time GROUP BY t.tick, t.tick_time, q.symbol, q.exchange)
-        GROUP BY symbol, tick, tick_time)
-      WINDOW w AS (PARTITION BY symbol ORDER BY tick RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
-    WHERE lowest > 2000 AND n = 3""",
+    SELECT symbol, {START} + to_seconds(since) AS stale_since, {START} + to_seconds(since + {HOLD_TICKS}) AS breach_from,
+           {START} + to_seconds(until) AS breach_until, lag_ms
+    FROM (SELECT symbol, min(tick) AS since, max(tick) AS until, max_by(lag_ms, tick) AS lag_ms
+          FROM (SELECT *, tick - row_number() OVER (PARTITION BY symbol ORDER BY tick) AS span
+                FROM (SELECT symbol, tick, max(lag_ms) AS lag_ms FROM (
+                        SELECT t.tick, q.symbol, q.exchange, greatest(0, epoch_us({START}) + t.tick * 1000000
+                                 - epoch_us(arg_max(q.event_time, row(q.ingest_time, q.source_topic, q.source_partition, q.source_offset)))) // 1000 AS lag_ms
+                        FROM (SELECT unnest(range(0, 1861)) AS tick) t JOIN quote_rows q ON epoch_us(q.ingest_time) <= epoch_us({START}) + t.tick * 1000000
+                        GROUP BY t.tick, q.symbol, q.exchange)
+                      GROUP BY symbol, tick)
+                WHERE lag_ms > 2000)
+          GROUP BY symbol, span)
+    WHERE since + {HOLD_TICKS} <= until""",
     "freshness_check": f"""
     SELECT f.symbol, f.exchange, f.event_time, f.freshness_lag_ms, f.status, s.result_rank, s.source_uri, s.chunk_index, n.title, s.score
     FROM (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY symbol
@@ -642,4 +647,5 @@ def oracle_sql() -> dict[str, str]:
     selects = {**SELECTS, "table_conformance": _conformance_sql(), "stale_alerts": _stale_sql(), **STORED_SQL, "stream_stale_monitor": _stale_sql()}
     found = {name: _dates_as_text(name, _with(sql)) for name, sql in selects.items()}
     found |= {f"{name}_tiled": found[name] for name in TILED}
-    return {name: sql.replace("// 14400", "// 10") if name in SEVERAL_DAYS else sql for name, sql in found.items()}
+    scale = {**dict.fromkeys(SEVERAL_DAYS, market.WIDE), **dict.fromkeys(HALF_AN_HOUR, market.HALF_HOUR)}
+    return {name: sql.replace("// 14400", f"// {scale.get(name, market.DENSE)}") for name, sql in found.items()}

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickforge import contracts
 from tickforge.functions.scans import is_hot, rows_per_task
-from tickforge.operators import bronze as bronze_ops, checks, feed, gold, live, reports, silver, text, vectors, vendor
+from tickforge.operators import bronze as bronze_ops, checks, feed, gold, live, reports, silver, staleness, text, vectors, vendor
 from tickforge.plans import documents, market
 from tickforge.sources import topics
 
 DAY = "2024-01-01"
 SEARCHES = {"runbook": "the stale symbol runbook", "lineage": "la lineage de bronze and silver", "replay": "REPLAY dry run of the day"}
+HOLD_TICKS = 120
 INCIDENTS = ["INC-001", "the-and-of"]
 
 
@@ -229,14 +230,6 @@ def _pairs(m: Market) -> DataFrame:
     return table.join(after, "vec_id").select("vec_id", vectors.dot("embedding", "following").alias("score"))
 
 
-def _upsert(m: Market) -> DataFrame:
-    """Index all notes, then index those with front matter again with another title."""
-    chunks = documents.note_chunks(m.spark, m.sf_dir).drop("tags")
-    old = chunks.withColumn("indexed_at", start())
-    new = chunks.where("title LIKE 'Note %'").withColumn("title", F.concat(F.lit("New "), "title")).withColumn("indexed_at", end())
-    return text.chunk_upsert(old, new).select("source_uri", "chunk_index", "title", "indexed_at", F.md5("content").alias("content_md5"))
-
-
 def _canonical(m: Market, kind: str) -> DataFrame:
     checked = feed.feed_checked(m.feed)
     return feed.canonical_trades(checked) if kind == "trade" else feed.canonical_quotes(checked)
@@ -282,8 +275,8 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "alert_stream_union": lambda m: m.alerts,
     "recent_alerts": lambda m: live.recent_alerts(m.alerts, as_of=end()),
     "symbol_snapshot": _snapshot,
-    "stale_alerts": lambda m: live.stale_alerts(m.quote_rows, start(), end()),
-    "freshness_breach": lambda m: live.freshness_breach(m.quote_rows, start(), end(), hold_ticks=2),
+    "stale_alerts": lambda m: staleness.stale_alerts(m.quote_rows, start(), end()),
+    "freshness_breach": lambda m: staleness.freshness_breach(m.quote_rows, start(), at(f"{DAY} 00:31:00"), hold_ticks=HOLD_TICKS),
     "freshness_check": _freshness_check,
     "quality_report": lambda m: reports.quality_report(m.tables, None, market.RUN_ID, market.processed_at()),
     "table_conformance": lambda m: checks.table_conformance({**m.tables, "gold_unknown": m.bars}),
@@ -303,7 +296,6 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     ),
     "chunk_documents": lambda m: _chunk_view(documents.note_chunks(m.spark, m.sf_dir)),
     "chunk_pages": lambda m: _chunk_view(documents.page_chunks(m.spark, m.sf_dir)),
-    "chunk_upsert": _upsert,
     "hashed_embedding": _hashed,
     "cosine_pairs": _pairs,
     "vector_topk": lambda m: vectors.vector_topk(_evidence(m), m.spark.createDataFrame(list(SEARCHES.items()), "query_id string, query string")).select(
@@ -369,6 +361,8 @@ SEVERAL_DAYS = (
     "replay_output",
 )
 """Queries over three days instead of three dense minutes."""
+HALF_AN_HOUR = ("freshness_breach",)
+"""Queries over half an hour, in which symbols can be stale for minutes."""
 
 
 def query(build: Callable[[Market], DataFrame], squeeze: int = market.DENSE) -> Callable[[SparkSession, str], DataFrame]:
@@ -381,5 +375,5 @@ def query(build: Callable[[Market], DataFrame], squeeze: int = market.DENSE) ->
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tickforge.plans.stored import STORED
 
-    scale = dict.fromkeys(SEVERAL_DAYS, market.WIDE)
+    scale = {**dict.fromkeys(SEVERAL_DAYS, market.WIDE), **dict.fromkeys(HALF_AN_HOUR, market.HALF_HOUR)}
     return {name: query(build, scale.get(name, market.DENSE)) for name, build in {**BATCH, **STORED}.items()}

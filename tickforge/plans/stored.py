@@ -14,7 +14,7 @@ from tickforge.operators import feed, gold, live, reports, silver, vectors
 from tickforge.plans import documents, market
 from tickforge.plans.queries import DAY, Market, end, start
 from tickforge.session import ROCKSDB_STATE, scratch_path
-from tickforge.sources import tables, topics
+from tickforge.sources import folders, tables, topics
 from tickforge.streaming import hot_state, jobs, sinks, snapshots, stateful
 
 MIXED = "mixed"
@@ -93,13 +93,13 @@ def _table_read(m: Market) -> DataFrame:
 
 
 def _table_append(m: Market) -> DataFrame:
-    """Two runs of the report after each other in one table."""
+    """Two runs of the report in one table, the first of them repeated."""
     store = tables.TableStore(m.spark, _place(m, "lakehouse"))
     path = f"{store.base_path}/reports/quality"
-    for run in ("run-1", "run-2"):
+    for run in ("run-1", "run-2", "run-1"):
         shown = {"silver_trades": m.trades, "silver_quotes": m.quotes}
-        store.append(reports.quality_report(shown, DAY, run, market.processed_at()), path)
-    return store.read_path(path)
+        store.append(reports.quality_report(shown, DAY, run, market.processed_at()), path, run)
+    return store.read_appended(path)
 
 
 def _replay_output(m: Market) -> DataFrame:
@@ -121,10 +121,22 @@ def _index(m: Market) -> DataFrame:
     return tables.load_index(m.spark, path).select("source_uri", "chunk_index", F.size("embedding").alias("slots"))
 
 
+def _chunk_upsert(m: Market) -> DataFrame:
+    """Index all notes, then index those with front matter again with another title."""
+    index = folders.BucketedIndex(m.spark, _place(m, "chunks"))
+    chunks = documents.note_chunks(m.spark, m.sf_dir).drop("tags")
+    index.upsert(chunks.withColumn("indexed_at", start()))
+    index.upsert(chunks.where("title LIKE 'Note %'").withColumn("title", F.concat(F.lit("New "), "title")).withColumn("indexed_at", end()))
+    return index.read().select("source_uri", "chunk_index", "title", "indexed_at", F.md5("content").alias("content_md5"))
+
+
 def _audit(m: Market) -> DataFrame:
     path = _place(m, "audit")
-    tables.append_audit(documents.audit_log(m.spark, m.sf_dir), path)
-    return m.spark.read.parquet(path).groupBy("tool_name", "result_status").agg(
+    calls = documents.audit_log(m.spark, m.sf_dir)
+    failed = F.col("result_status") == "error"
+    for batch, part in (("errors", calls.where(failed)), ("others", calls.where(~failed)), ("errors", calls.where(failed))):
+        tables.append_audit(part, path, batch)
+    return tables.read_audit(m.spark, path).groupBy("tool_name", "result_status").agg(
         F.count(F.lit(1)).alias("call_count"), F.sum("duration_ms").alias("duration_ms")
     )
 
@@ -277,6 +289,7 @@ STORED = {
     "register_table": _register_table,
     "index_save_load": _index,
     "audit_append": _audit,
+    "chunk_upsert": _chunk_upsert,
     "derived_topic_sink": _derived_topic_sink,
     "stream_top_of_book": lambda m: _streamed(m, "book", lambda s: jobs.top_of_book_stream(s, market.processed_at())),
     "stream_spread_alerts": lambda m: _streamed(m, "spread", jobs.spread_alert_stream),

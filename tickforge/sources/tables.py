@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tickforge.contracts import TABLE_CONTRACTS
+from tickforge.sources.folders import RunTable
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,12 @@ class TableStore:
         mode = "dynamic" if only_present_partitions else "static"
         writer.option("partitionOverwriteMode", mode).save(self.path(name))
 
-    def append(self, df: DataFrame, path: str) -> None:
-        df.write.format(self.format).mode("append").option("mergeSchema", "true").save(path)
+    def append(self, df: DataFrame, path: str, run_id: str) -> None:
+        """Add the rows of a run; the same run again replaces them."""
+        RunTable(self.spark, path).write(df, run_id)
+
+    def read_appended(self, path: str) -> DataFrame:
+        return RunTable(self.spark, path).read()
 
     def replay_output(self, df: DataFrame, date: dt.date | str) -> str:
         """Write a replay summary to its own place, away from the tables."""
@@ -69,7 +74,13 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_audit(records: DataFrame, path: str) -> None:
-    """Add call records to the append-only audit table."""
-    columns = ["tool_name", "caller", "parameters", "result_status", "duration_ms", "timestamp"]
-    records.select(*columns).write.mode("append").parquet(path)
+AUDIT_COLUMNS = ["tool_name", "caller", "parameters", "result_status", "duration_ms", "timestamp"]
+
+
+def append_audit(records: DataFrame, path: str, batch_id: str) -> None:
+    """Add call records to the append-only audit table; a batch that is sent again is there once."""
+    RunTable(records.sparkSession, path).write(records.select(*AUDIT_COLUMNS), batch_id)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return RunTable(spark, path).read()

@@ -24,7 +24,7 @@ from tickforge.contracts import (
 )
 from tickforge.functions.columns import iso_utc, lag_ms, parse_utc, version
 from tickforge.functions.ranking import first_rows
-from tickforge.streaming.snapshots import Snapshots
+from tickforge.sources.folders import Snapshots
 
 # Which topic feeds which kind of state.
 STATE_TOPICS = {

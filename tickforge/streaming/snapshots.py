@@ -1,50 +1,10 @@
-"""Tables that micro-batches replace as a whole, one version per batch."""
+"""Sink of update-mode streams: the last row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-class Snapshots:
-    """Numbered folders, of which the finished ones have an empty file with their number.
-
-    A batch builds its version from the one before it and marks it when all is written, so that
-    readers never see half of it, and a repeated batch starts from the same predecessor. ``keep``
-    versions stay, all of them with None. A mark also holds a time, which makes it possible to
-    read the version that was current then.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keep: int | None = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-        self._files = spark._jvm.org.apache.hadoop.fs
-
-    def _at(self, name: str):
-        path = self._files.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def finished(self) -> dict[int, int]:
-        """The time of each finished version that is still there, in microseconds, in order of versions."""
-        store, folder = self._at("current")
-        names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
-        return dict(sorted(tuple(map(int, name.split("-"))) for name in names))
-
-    def folder(self, version: int) -> str:
-        return f"{self.path}/snapshot/{version}"
-
-    def before(self, batch: int) -> int | None:
-        """The version that a batch starts from."""
-        return max((v for v in self.finished() if v < batch), default=None)
-
-    def current(self, until_us: int | None = None) -> int | None:
-        """The newest version, or the newest whose time is not after ``until_us``."""
-        return max((v for v, us in self.finished().items() if until_us is None or us <= until_us), default=None)
-
-    def finish(self, version: int, us: int = 0) -> None:
-        store, mark = self._at(f"current/{version:020d}-{max(0, us):020d}")
-        store.create(mark, True).close()
-        for old, old_us in list(self.finished().items())[: -self.keep if self.keep else 0]:
-            for name in (f"current/{old:020d}-{old_us:020d}", f"snapshot/{old}"):
-                store.delete(self._at(name)[1], True)
+from tickforge.sources.folders import Snapshots
 
 
 class LatestRows(Snapshots):
