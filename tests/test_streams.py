@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import alert, event, messages, quote, rows_of, trade
 from tickforge.contracts import ALERTS_TOPIC, BARS_TOPIC, TOP_OF_BOOK_TOPIC
-from tickforge.operators import gold, live, silver
+from tickforge.operators import gold, live, silver, vendor
 from tickforge.operators.bronze import bronze_rows
 from tickforge.operators.feed import quality_alert_rows
 from tickforge.plans import market
@@ -111,6 +111,22 @@ def test_bars_close_and_free_their_state(spark):
     assert len(set(sizes)) == 1
 
 
+def test_mappings_over_batches(spark):
+    """Four micro-batches in order of time against the batch; a late record still gets the mapping before it."""
+    place, records = scratch_path(spark, "vendor"), market.vendor_records(spark, "/root/testdata/sf0.001").persist()
+    cuts = records.selectExpr("percentile_approx(ts_event, array(0.25, 0.5, 0.75)) AS at").first().at
+    for low, high in zip([-1, *cuts], [*cuts, 1 << 62]):
+        records.where(f"ts_event > {low} AND ts_event <= {high}").coalesce(1).write.mode("append").parquet(f"{place}/in")
+        time.sleep(1.1)
+    late = records.where(f"ts_event <= {cuts[0]} AND record_type <> 'SymbolMappingMsg'")
+    late.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    sent = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    found = finish(stateful.symbol_resolution_stream(sent), place, "resolved").select("record_id", "resolved_symbol", "levels")
+    batch = vendor.symbol_resolution(records, hot=False)
+    again = batch.join(late.select("record_id"), "record_id", "left_semi")
+    assert rows_of(found) == rows_of(batch.unionByName(again).select("record_id", "resolved_symbol", "levels"))
+
+
 def test_restart_continues_where_it_stopped(spark, sent):
     place, all_messages = sent
     grown = scratch_path(spark, "grown")

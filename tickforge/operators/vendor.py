@@ -50,22 +50,28 @@ def is_mapping() -> Column:
     return F.col("instrument_id").isNotNull() & named
 
 
-def symbol_resolution(records: DataFrame, order: tuple[str, ...] = ("ts_event", "record_id"), hot: bool | None = None) -> DataFrame:
-    """Add ``resolved_symbol``: the latest mapping seen before the record, else the
-    record's own names, else a name made from the instrument id."""
+def offered_mapping() -> Column:
+    """The symbol that a mapping record gives its instrument, NULL for other records."""
     mapped = F.when(
         _filled("stype_in_symbol").isNotNull() & F.coalesce(is_digits("stype_out_symbol"), F.lit(False)),
         F.col("stype_in_symbol"),
     ).otherwise(F.coalesce("stype_out_symbol", F.lit("None")))
-    offered = records.withColumn("_mapping", F.when(is_mapping(), mapped))
-    latest = {"_mapped": Running("last", F.col("_mapping"))}
+    return F.when(is_mapping(), mapped)
+
+
+def resolved_symbol(mapped: str) -> Column:
+    """The mapping in force, else the record's own names, else a name made from the instrument id."""
     fallback = F.when(F.col("instrument_id").isNotNull(), F.concat(F.lit("INSTRUMENT_"), F.col("instrument_id").cast("string")))
     names = [_filled(name) for name in ("symbol", "raw_symbol", "stype_in_symbol", "stype_out_symbol")]
-    return (
-        running(offered, ["instrument_id"], list(order), latest, hot)
-        .withColumn("resolved_symbol", F.coalesce("_mapped", *names, fallback, F.lit("UNKNOWN")))
-        .drop("_mapping", "_mapped")
-    )
+    return F.coalesce(mapped, *names, fallback, F.lit("UNKNOWN"))
+
+
+def symbol_resolution(records: DataFrame, order: tuple[str, ...] = ("ts_event", "record_id"), hot: bool | None = None) -> DataFrame:
+    """Add ``resolved_symbol``: the latest mapping seen before the record, else its own names."""
+    offered = records.withColumn("_mapping", offered_mapping())
+    latest = {"_mapped": Running("last", F.col("_mapping"))}
+    scanned = running(offered, ["instrument_id"], list(order), latest, hot)
+    return scanned.withColumn("resolved_symbol", resolved_symbol("_mapped")).drop("_mapping", "_mapped")
 
 
 def _event(event_type: str, exchange: str) -> list[Column]:

@@ -391,6 +391,14 @@ SELECTS = {
            sha256(concat_ws('|', record_id, instrument_id, ts_event)) AS trade_id,
            coalesce(side, '') || ',action=T' AS conditions
     FROM resolved WHERE event_type IN ('click', 'purchase') AND price IS NOT NULL""",
+    "vendor_events": f"""
+    SELECT 'quote' AS event_type, {VENDOR}, value - 5 AS bid_price, k AS bid_size, value + 0.25 AS ask_price, k + 2 AS ask_size, 0 AS part,
+           NULL::DOUBLE AS price, NULL::BIGINT AS size, NULL::VARCHAR AS trade_id, NULL::VARCHAR AS conditions
+    FROM resolved WHERE event_type IN ('view', 'signup', 'click') AND value - 5 > 0
+    UNION ALL
+    SELECT 'trade', {VENDOR}, NULL, NULL, NULL, NULL, 1, round(price, 6), k + 1,
+           sha256(concat_ws('|', record_id, instrument_id, ts_event)), coalesce(side, '') || ',action=T'
+    FROM resolved WHERE event_type IN ('click', 'purchase') AND price IS NOT NULL""",
     "symbol_resolution": "SELECT record_id, instrument_id, resolved_symbol FROM resolved",
     "time_range_filter": f"""
     SELECT {LINEAGE}, event_type FROM events_sent

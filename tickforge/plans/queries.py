@@ -253,6 +253,7 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "freshness": lambda m: live.freshness(m.quote_rows, end()),
     "vendor_quotes": lambda m: vendor.vendor_quotes(vendor.symbol_resolution(m.records), "GLBX"),
     "vendor_trades": lambda m: vendor.vendor_trades(vendor.symbol_resolution(m.records), "GLBX"),
+    "vendor_events": lambda m: vendor.vendor_events(m.records, "GLBX"),
     "symbol_resolution": lambda m: vendor.symbol_resolution(m.records).select("record_id", "instrument_id", "resolved_symbol"),
     "time_range_filter": lambda m: reports.time_range_filter(m.bronze, start(), middle(), ["SYM01", "sym02"], "XNAS").drop("raw_event"),
     "event_date_filter": lambda m: reports.event_date_filter(m.bronze, DAY).drop("raw_event"),

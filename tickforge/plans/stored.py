@@ -77,6 +77,22 @@ def _late_trades(m: Market) -> DataFrame:
     return tables_of.read(m.spark, "bar").unionByName(tables_of.read(m.spark, "late"))
 
 
+def _symbol_stream(m: Market) -> DataFrame:
+    """Vendor records in three micro-batches, in order of their time."""
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+    place, records = _place(m, "vendor"), m.records.persist()
+    third = [F.lit(x) for x in records.selectExpr("percentile_approx(ts_event, array(0.33, 0.67)) AS at").first().at]
+    for low, high in zip([None, *third], [*third, None]):
+        part = records if low is None else records.where(F.col("ts_event") > low)
+        (part if high is None else part.where(F.col("ts_event") <= high)).coalesce(1).write.mode("append").parquet(f"{place}/records")
+        time.sleep(1.1)  # files are taken in order of their modification time
+    records.unpersist()
+    sent = m.spark.readStream.schema(m.records.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/records")
+    resolved = stateful.symbol_resolution_stream(sent)
+    jobs.run_available(resolved, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return m.spark.read.schema(resolved.schema).parquet(f"{place}/out").select("record_id", "instrument_id", "resolved_symbol")
+
+
 def _table_overwrite(m: Market) -> DataFrame:
     """Write trades by date, then replace one date by one symbol's trades, and read all back."""
     store = tables.TableStore(m.spark, _place(m, "lakehouse"))
@@ -296,6 +312,7 @@ STORED = {
     "stream_alert_union": lambda m: _streamed(m, "alerts", jobs.alert_stream),
     "stream_bars": _bars,
     "stream_late_trades": _late_trades,
+    "stream_symbol_resolution": _symbol_stream,
     "stream_sequence_track": lambda m: _streamed(m, "track", stateful.sequence_track_stream),
     "stream_rolling_metrics": lambda m: _streamed(m, "rolling", stateful.rolling_metrics_stream),
     "stream_hot_state": _stream_hot_state,
@@ -426,6 +443,7 @@ STORED_SQL = {
            round(sum((price * size)::DECIMAL(27,9))::DOUBLE / sum(size), 6), count(*), NULL
     FROM seen WHERE NOT late GROUP BY symbol, exchange, second
     HAVING epoch_ms(second) + 1000 <= (SELECT mark_ms FROM marks WHERE batch = {len(LATE_CUTS) + 1}))""",
+    "stream_symbol_resolution": "SELECT record_id, instrument_id, resolved_symbol FROM resolved",
     "stream_sequence_track": """
     SELECT '1.0' AS schema_version, 'quality_alert' AS event_type, symbol, exchange, event_time, event_time AS ingest_time,
            observed_sequence AS sequence_number, alert_type, severity, message, observed_sequence, expected_sequence FROM tracked""",

@@ -12,11 +12,11 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickforge.contracts import GAP_TOPICS, ROLLING_PRICES, STALE_MESSAGE, STALE_MS
-from tickforge.operators import bronze, silver
+from tickforge.operators import bronze, silver, vendor
 from tickforge.operators.feed import quality_alert_rows
 from tickforge.operators.silver import ARRIVAL
 
@@ -242,6 +242,48 @@ def rolling_metrics_stream(messages: DataFrame, prices: int = ROLLING_PRICES) ->
     )
 
 
+class KnownMappings(StatefulProcessor):
+    """The mappings of an instrument so far. A record gets the last one before it in its own order,
+    also when later ones are known already."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "ts array<long>, ids array<long>, symbols array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        ts, ids, symbols = map(list, self.known.get()) if self.known.exists() else ([], [], [])
+        new = batch[batch["offered_symbol"].notna()]
+        if len(new):
+            ts, ids, symbols = ts + new["ts_event"].tolist(), ids + new["record_id"].tolist(), symbols + new["offered_symbol"].tolist()
+            order = np.lexsort([np.array(ids, "int64"), np.array(ts, "int64")])
+            ts, ids, symbols = ([x[i] for i in order] for x in (ts, ids, symbols))
+            self.known.update((ts, ids, symbols))
+        place = np.array(list(zip(ts, ids)), dtype=[("ts", "int64"), ("id", "int64")])
+        asked = np.array(list(zip(batch["ts_event"], batch["record_id"])), dtype=place.dtype)
+        before = np.searchsorted(place, asked, "right") - 1
+        out = batch.assign(instrument_id=key[0])[self.columns]
+        out["mapped_symbol"] = [symbols[i] if i >= 0 else None for i in before]
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def symbol_resolution_stream(records: DataFrame) -> DataFrame:
+    """``resolved_symbol`` of vendor records as they come. The state holds an instrument's mappings, a few
+    for each; records without an instrument need none."""
+    columns = records.columns
+    offered = records.withColumn("offered_symbol", vendor.offered_mapping())
+    schema = T.StructType([*records.schema.fields, T.StructField("mapped_symbol", T.StringType())])
+    known = offered.where("instrument_id IS NOT NULL").groupBy("instrument_id")
+    mapped = known.transformWithStateInPandas(KnownMappings(columns), schema, "Append", "None")
+    others = records.where("instrument_id IS NULL").withColumn("mapped_symbol", F.lit(None).cast("string"))
+    return mapped.unionByName(others).withColumn("resolved_symbol", vendor.resolved_symbol("mapped_symbol")).drop("mapped_symbol")
+
+
 class StaleMonitor(StatefulProcessor):
     """Looks at a symbol once per tick of processing time and reports growing lag."""
 
