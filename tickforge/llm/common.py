@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tickforge.session import scratch_path
 
@@ -41,9 +41,16 @@ def stored_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows, else as it is."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1).alias("one")).groupBy().count().filter(F.col("count") <= limit).take(1)) else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows, else as it is.
+
+    For rows of any length `weight` says how many each counts, and null counts as one.
+    """
+    if weight is not None:
+        small = (df.agg(F.sum(F.coalesce(weight, F.lit(1)))).first()[0] or 0) <= limit
+    else:
+        small = bool(df.limit(limit + 1).select(F.lit(1).alias("one")).groupBy().count().filter(F.col("count") <= limit).take(1))
+    return F.broadcast(df) if small else df
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

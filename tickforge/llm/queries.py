@@ -107,7 +107,7 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = chunks.drop_repeated_chunks(docs)
-    return found.select("doc_id", F.col("_lines").alias("lines"), F.col("_removed_lines").alias("removed_lines"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+    return found.select("row.doc_id", "lines", "removed_lines", F.length("row.text").cast("long").alias("kept_chars"), F.md5("row.text").alias("kept_md5"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,34 +2,40 @@
 
 OP9 = r"""
 WITH lines AS (
-  SELECT doc_id, text, list_position, line,
-    ('0x' || substr(md5(line), 1, 8))::BIGINT AS h,
-    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-  FROM (
-    SELECT doc_id, text, unnest(range(1, len(parts) + 1)) AS list_position, unnest(parts) AS line
-    FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
-  )
-), divided AS (
-  SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296 % 2 = 0 AS divides, words >= 50 AS is_long
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY list_position)
+  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
+), marks AS (
+  SELECT DISTINCT h % 134217728 AS bit FROM (SELECT h FROM lines WHERE words > 0 GROUP BY h HAVING count(*) > 1)
 ), marked AS (
-  SELECT *, is_long OR (divides AND NOT coalesce(lag(divides) OVER w, false)) AS ends_here
-  FROM divided WINDOW w AS (PARTITION BY doc_id ORDER BY list_position)
+  SELECT *, CASE WHEN words > 0 THEN h % 134217728 IN (SELECT bit FROM marks) END AS marked FROM lines
+), inside AS (
+  SELECT *, coalesce(marked, coalesce(last_value(marked IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), false)
+    AND coalesce(first_value(marked IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false)) AS inside
+  FROM marked
+), stretched AS (
+  SELECT *, sum(CASE WHEN is_long OR NOT inside OR coalesce(lag_long OR NOT lag_inside, true) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY i) AS segment
+  FROM (SELECT *, inside AND words >= 50 AS is_long, lag(inside AND words >= 50) OVER w AS lag_long, lag(inside) OVER w AS lag_inside
+        FROM inside WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+), divided AS (
+  SELECT *, coalesce((lag(h) OVER w % 4294967296 * 31 + h % 4294967296) % 2 = 0, false) AS divides, count(*) OVER (PARTITION BY doc_id, segment) AS n_lines,
+    row_number() OVER w AS nth
+  FROM stretched WHERE inside WINDOW w AS (PARTITION BY doc_id, segment ORDER BY i)
+), ended AS (
+  SELECT *, divides AND NOT coalesce(lag(divides) OVER w, false) AND nth <= n_lines - 2 AS ends_here
+  FROM divided WINDOW w AS (PARTITION BY doc_id, segment ORDER BY i)
 ), numbered AS (
-  SELECT *, sum(CASE WHEN is_long OR coalesce(before, false) THEN 1 ELSE 0 END)
-      OVER (PARTITION BY doc_id ORDER BY list_position) AS chunk
-  FROM (SELECT *, lag(ends_here) OVER (PARTITION BY doc_id ORDER BY list_position) AS before FROM marked)
+  SELECT *, coalesce(sum(ends_here::INT) OVER (PARTITION BY doc_id, segment ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended
 ), chunks AS (
-  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY list_position) AS body, count(*) AS n, sum(words) AS words
-  FROM numbered GROUP BY doc_id, chunk
-), judged AS (
-  SELECT *, words >= 10 AND (n > 1 OR words >= 50)
-      AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone
-  FROM chunks
+  SELECT doc_id, min(i) AS first_line, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n, sum(words) AS words
+  FROM numbered GROUP BY doc_id, segment, chunk
+), repeats AS (
+  SELECT doc_id, first_line, n FROM chunks WHERE words >= 10 AND (n > 1 OR words >= 50)
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, first_line) > 1
 ), kept AS (
-  SELECT doc_id, sum(n)::BIGINT AS lines, sum(CASE WHEN gone THEN n ELSE 0 END)::BIGINT AS removed_lines,
-    coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (WHERE NOT gone), '') AS body
-  FROM judged GROUP BY doc_id
+  SELECT l.doc_id, count(*) AS lines, count(r.n) AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.n IS NULL), '') AS body
+  FROM lines l LEFT JOIN repeats r ON r.doc_id = l.doc_id AND l.i >= r.first_line AND l.i < r.first_line + r.n GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(k.lines, 0) AS lines, coalesce(k.removed_lines, 0) AS removed_lines,
   length(k.body) AS kept_chars, md5(k.body) AS kept_md5
