@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks of lines that an earlier one has."""
-    cut = chunks.drop_repeated_chunks(docs)
+    cut = chunks.drop_repeated_chunks(docs).select("row.*")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
