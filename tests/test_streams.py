@@ -76,13 +76,18 @@ def test_late_trades_change_their_bar_or_are_counted(spark):
     for values in (on_time, [trade(4, "2026-05-07T00:20:00Z", 13.0, 1)], late):
         topics.write_topic(messages(spark, values).coalesce(1), "mixed", path=place)
         time.sleep(1.1)
-    volumes, dropped = {}, {}
+    volumes, dropped, listener = {}, {}, jobs.DroppedRows()
+    spark.streams.addListener(listener)
     for watermark in (None, "10 seconds"):
         latest = snapshots.LatestRows(spark, f"{place}/bars-{watermark}", ["symbol", "exchange", "event_time"])
         query = jobs.each_batch(jobs.bar_stream(stream(spark, place), watermark), latest.write, f"{place}/c-{watermark}", output="update")
         query.awaitTermination()
         volumes[watermark] = {r.event_time.minute: r.volume for r in latest.read().collect()}
-        dropped[watermark] = jobs.rows_too_late(query)
+        deadline = time.time() + 20  # the listener is told afterwards
+        while watermark and not listener.by_query[str(query.id)] and time.time() < deadline:
+            time.sleep(0.2)
+        dropped[watermark] = listener.by_query[str(query.id)]
+    spark.streams.removeListener(listener)
     assert volumes[None] == {0: 6, 10: 2, 20: 1} and dropped[None] == 0
     assert volumes["10 seconds"] == {0: 1, 10: 2, 20: 1} and dropped["10 seconds"] == 1
 

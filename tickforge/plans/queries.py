@@ -11,6 +11,7 @@ from tickforge import contracts
 from tickforge.functions.scans import is_hot, rows_per_task
 from tickforge.operators import bronze as bronze_ops, checks, feed, gold, live, reports, silver, staleness, text, vectors, vendor
 from tickforge.plans import documents, market
+from tickforge.session import scratch_path
 from tickforge.sources import topics
 
 DAY = "2024-01-01"
@@ -64,6 +65,19 @@ class Market:
     def hot(self) -> bool:
         return _hot(self.spark, self.sf_dir)
 
+    def settled(self) -> Market:
+        """The same market from stored tables: bronze and the rows parsed from it, each written once.
+
+        For queries that read them many times, as the jobs of a lakehouse do.
+        """
+        place = scratch_path(self.spark, "settled")
+        stored = Market(self.spark, self.sf_dir, self.squeeze)
+        stored.hot = self.hot
+        stored.bronze = _written(self.bronze, f"{place}/bronze")
+        stored.trade_rows = _written(stored.trade_rows, f"{place}/trades")
+        stored.quote_rows = _written(stored.quote_rows, f"{place}/quotes")
+        return stored
+
     @property
     def hot_seconds(self) -> bool | None:
         """A second of a symbol is small when the symbol is; else it is looked at."""
@@ -91,11 +105,11 @@ class Market:
 
     @cached_property
     def trades(self) -> DataFrame:
-        return silver.silver_trades(self.bronze)
+        return silver.latest_trades(self.trade_rows)
 
     @cached_property
     def quotes(self) -> DataFrame:
-        return silver.silver_quotes(self.bronze)
+        return silver.latest_quotes(self.quote_rows)
 
     @cached_property
     def gaps(self) -> DataFrame:
@@ -170,6 +184,11 @@ class Market:
         return market.vendor_records(self.spark, self.sf_dir)
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hot(spark: SparkSession, sf_dir: str) -> bool:
     """Whether a symbol on an exchange can be too large for one task.
 
@@ -196,6 +215,7 @@ def _freshness_check(m: Market) -> DataFrame:
 
 
 def _latest_state(m: Market) -> DataFrame:
+    m = m.settled()
     paths = {"latest_quote": "bid_price", "top_of_book": "mid_price", "bar_1s": "vwap", "metrics": "volatility_bps", "freshness": "freshness_lag_ms"}
     value = F.coalesce(*[F.when(F.col("state_kind") == k, F.get_json_object("payload", f"$.{p}")) for k, p in paths.items()])
     return m.state.select(
@@ -205,7 +225,8 @@ def _latest_state(m: Market) -> DataFrame:
 
 
 def _snapshot(m: Market) -> DataFrame:
-    shot = live.symbol_snapshot(m.state, m.alerts, live.active_symbols(m.quote_rows, m.trade_rows, m.alerts), end())
+    m = m.settled()
+    shot = live.symbol_snapshot(m.state, m.alerts, live.active_symbols(m.bronze), end())
     read = lambda kind, path: F.get_json_object(kind, f"$.{path}").cast("double")
     return shot.select(
         "symbol",
@@ -219,6 +240,10 @@ def _snapshot(m: Market) -> DataFrame:
     )
 
 
+def _conformance(m: Market) -> DataFrame:
+    return checks.table_conformance({**m.tables, "gold_unknown": m.bars})
+
+
 def _hashed(m: Market) -> DataFrame:
     embedded = vectors.with_embedding(documents.turn_chunks(m.spark, m.sf_dir))
     return embedded.select("source_uri", "chunk_index", F.inline("embedding"))
@@ -279,8 +304,8 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "stale_alerts": lambda m: staleness.stale_alerts(m.quote_rows, start(), end()),
     "freshness_breach": lambda m: staleness.freshness_breach(m.quote_rows, start(), at(f"{DAY} 00:31:00"), hold_ticks=HOLD_TICKS),
     "freshness_check": _freshness_check,
-    "quality_report": lambda m: reports.quality_report(m.tables, None, market.RUN_ID, market.processed_at()),
-    "table_conformance": lambda m: checks.table_conformance({**m.tables, "gold_unknown": m.bars}),
+    "quality_report": lambda m: reports.quality_report(m.settled().tables, None, market.RUN_ID, market.processed_at()),
+    "table_conformance": lambda m: _conformance(m.settled()),
     "replay_dry_run": lambda m: reports.replay_dry_run(m.bronze, DAY),
     "replay_estimate": lambda m: reports.replay_estimate(m.bronze, start(), middle(), ["sym01", "SYM07"]),
     "feed_event_rate": lambda m: reports.feed_event_rate(m.bronze),
@@ -324,7 +349,8 @@ def _routed(m: Market) -> DataFrame:
 
 def _violations(m: Market) -> DataFrame:
     """Every message against the contract of its own type; some of each type break it."""
-    typed = market.unchecked_messages(m.spark, m.sf_dir, m.hot)
+    m = m.settled()
+    typed = _written(market.unchecked_messages(m.spark, m.sf_dir, m.hot), scratch_path(m.spark, "unchecked"))
     sent = {
         "trade": typed.where(F.col("topic") == contracts.TRADES_TOPIC),
         "quote": typed.where(F.col("topic") == contracts.QUOTES_TOPIC),

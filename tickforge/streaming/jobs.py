@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tickforge.contracts import ALERT_SCHEMA, BRONZE_TOPICS, TABLE_CONTRACTS
 from tickforge.functions.columns import notional, version, weighted_price
@@ -56,9 +57,28 @@ def ingest_bronze(
     )
 
 
-def rows_too_late(query: StreamingQuery) -> int:
-    """How many rows a query with a watermark has dropped so far as too late."""
-    return sum(int(state["numRowsDroppedByWatermark"]) for p in query.recentProgress for state in p["stateOperators"])
+class DroppedRows(StreamingQueryListener):
+    """How many rows each query with a watermark has dropped as too late, over its whole run.
+
+    A query's own list of reports keeps the last hundred only. Add it with
+    ``spark.streams.addListener`` before the queries start.
+    """
+
+    def __init__(self):
+        self.by_query: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        states = event.progress.stateOperators
+        self.by_query[str(event.progress.id)] += sum(state.numRowsDroppedByWatermark for state in states)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def top_of_book_stream(messages: DataFrame, processed_time: Column | None = None) -> DataFrame:
@@ -80,7 +100,7 @@ def bar_stream(messages: DataFrame, watermark: str | None = WATERMARK, interval:
     """Bars per symbol and exchange. A late trade updates its own bar, however late it is.
 
     The state holds one row per bar. A watermark bounds it, and drops trades that are later;
-    ``rows_too_late`` counts them.
+    ``DroppedRows`` counts them, and ``stateful.closing_bar_stream`` keeps them.
 
     Append mode, which needs a watermark, gives each bar once it is closed, update mode after
     every change.
