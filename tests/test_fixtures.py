@@ -203,6 +203,21 @@ def test_derived_events_meet_their_contracts(spark):
     assert checks.contract_violations(text, "quality_alert").first()["violations"] == []
 
 
+def test_newest_bar_and_metrics_are_the_last_rows_of_the_scans(spark):
+    """On given events with late and repeated trades on two exchanges, at several times."""
+    from tests.helpers import rows_of
+    from tickforge.plans import market
+
+    trades = silver.trade_rows(market.bronze(spark, "/root/testdata/sf0.001", hot=False)).persist()
+    for until in ("2024-01-01 00:00:30", "2024-01-01 00:01:30", "2025-01-01"):
+        seen = trades.where(F.col("ingest_time") <= F.lit(until).cast("timestamp"))
+        shown = lambda df: rows_of(df.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
+        assert shown(live.newest_bar(seen)) == shown(live.newest(live.bar_updates(seen, hot=False), ["symbol"]))
+        assert shown(live.newest_metrics(seen, 5)) == shown(live.newest(live.rolling_metrics(seen, 5, hot=False), ["symbol"]))
+    plan = live.newest_metrics(trades)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 1
+
+
 def test_latest_state_expiry_and_snapshot(spark):
     rows = bronze_of(spark, [quote(1, f"{T}Z", 100.0, 100.04), quote(2, f"{T}.5Z", 101.0, 101.04), trade(3, f"{T}Z", 100.0, 10)])
     quotes, trades = silver.quote_rows(rows), silver.trade_rows(rows)

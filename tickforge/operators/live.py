@@ -184,6 +184,66 @@ def rolling_metrics(trades: DataFrame, prices: int = ROLLING_PRICES, hot: bool |
     )
 
 
+def _up_to_newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per symbol the trades that lead up to its newest one: those with its keys that did not arrive after it.
+
+    The newest trades are one row per symbol; the rest is a filter on the way to the next aggregate.
+    """
+    last = newest(rows, ["symbol"]).select(F.struct(*rows.columns).alias("last"))
+    same = [rows[key] == F.col(f"last.{key}") for key in keys]
+    return rows.join(last, same).where(F.struct(*ARRIVAL) <= F.struct(*[F.col(f"last.{name}") for name in ARRIVAL]))
+
+
+def newest_bar(trades: DataFrame) -> DataFrame:
+    """The last row of ``bar_updates`` per symbol in event order, without the rows before it."""
+    rows = _per_trade(trades).withColumn("event_time", window_start("event_time"))
+    arrived = F.when(F.col("price").isNotNull(), F.struct(*ARRIVAL))
+    sums = _up_to_newest(rows, ["symbol", "exchange", "event_time"]).groupBy("last").agg(
+        F.min_by("price", arrived).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.sum("size").alias("volume"),
+        F.sum(notional("price", "size")).alias("notional"),
+    )
+    return sums.select(
+        version().alias("schema_version"),
+        F.lit("bar_1s").alias("event_type"),
+        *[F.col(f"last.{name}").alias(name) for name in EVENT],
+        "open",
+        "high",
+        "low",
+        F.col("last.price").alias("close"),
+        "volume",
+        weighted_price(F.col("notional"), F.col("volume"), F.col("last.price")).alias("vwap"),
+        *[F.col(f"last.{name}").alias(name) for name in SOURCE],
+    )
+
+
+def newest_metrics(trades: DataFrame, prices: int = ROLLING_PRICES) -> DataFrame:
+    """The last row of ``rolling_metrics`` per symbol in event order, without the rows before it.
+
+    Sums merge in the map tasks, and of the prices a task sends the last ones per symbol only.
+    """
+    led = _up_to_newest(_per_trade(trades), ["symbol", "exchange"])
+    sums = led.groupBy("last").agg(
+        F.count(F.lit(1)).alias("seen"), F.sum("size").alias("rolling_volume"), F.sum(notional("price", "size")).alias("notional")
+    )
+    recent = first_rows(led.withColumn("symbol", F.col("last.symbol")), ["symbol"], [F.desc(name) for name in ARRIVAL], prices)
+    before = F.lag("price").over(Window.partitionBy("symbol").orderBy(*ARRIVAL))
+    spread = recent.withColumn("log_return", log_return(before, F.col("price"))).groupBy("symbol").agg(F.stddev_samp("log_return").alias("deviation"))
+    both = sums.withColumn("symbol", F.col("last.symbol")).join(spread, "symbol")
+    return both.select(
+        version().alias("schema_version"),
+        F.lit("rolling_metrics").alias("event_type"),
+        *[F.col(f"last.{name}").alias(name) for name in EVENT],
+        F.least(F.col("seen"), F.lit(prices).cast("long")).alias("sample_count"),
+        "rolling_volume",
+        weighted_price(F.col("notional"), F.col("rolling_volume"), F.col("last.price")).alias("rolling_vwap"),
+        F.coalesce(round6(F.col("deviation") * 10000), F.lit(0.0)).alias("volatility_bps"),
+        *[F.col(f"last.{name}").alias(name) for name in SOURCE],
+    )
+
+
 BY_EVENT = ("event_time", "sequence_number", "ingest_time", *SOURCE)
 
 
@@ -218,7 +278,7 @@ def latest_state(kinds: dict[str, DataFrame], order: tuple[str, ...] = BY_EVENT)
     return state
 
 
-def replayed_state(bronze: DataFrame, as_of: Column, hot: bool | None = None) -> dict[str, DataFrame]:
+def replayed_state(bronze: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """The newest book, bar and metrics per symbol of a replay of the bronze rows that had arrived by then."""
     rows = bronze.where(F.col("ingest_time") <= as_of)
     trades, quotes = silver.silver_trades(rows), newest(silver.silver_quotes(rows), ["symbol"])
@@ -226,7 +286,7 @@ def replayed_state(bronze: DataFrame, as_of: Column, hot: bool | None = None) ->
     return {
         "top_of_book": top_of_book(quotes, as_of),
         "bar_1s": newest(bars, ["symbol"], ("event_time", "sequence_number", "last_source_offset")),
-        "metrics": newest(rolling_metrics(trades, hot=hot), ["symbol"]),
+        "metrics": newest_metrics(trades),
     }
 
 

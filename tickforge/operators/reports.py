@@ -247,10 +247,11 @@ def gap_evidence(gaps: DataFrame, alerts: DataFrame, start: Column, end: Column,
     )
 
 
-def freshness_check(fresh: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Freshness of the asked symbols beside the evidence found for each."""
+def freshness_check(fresh: DataFrame, evidence: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Freshness of the asked symbols beside their snapshot (one row per symbol) and the evidence found for each."""
     found = evidence.select(F.col("query_id").alias("symbol"), "result_rank", "source_uri", "chunk_index", "title", "score")
-    return fresh.select("symbol", "exchange", "event_time", "freshness_lag_ms", "status").join(found, "symbol", "left")
+    asked = fresh.select("symbol", "exchange", "event_time", "freshness_lag_ms", "status")
+    return asked.join(snapshot.drop("status"), "symbol", "left").join(found, "symbol", "left")
 
 
 def lineage_trace(

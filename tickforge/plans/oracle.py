@@ -322,6 +322,21 @@ PARTS = {
            ts AS timestamp, 'user-' || user_id AS caller, props AS parameters, round(value)::BIGINT AS duration_ms FROM events""",
 }
 
+SNAPSHOT = f"""
+    SELECT symbol, max(CASE WHEN state_kind = 'latest_quote' THEN round(q.ask_price, 6) END) AS ask_price,
+           max(CASE WHEN state_kind = 'top_of_book' THEN q.spread END) AS spread,
+           max(CASE WHEN state_kind = 'bar_1s' THEN b.close END) AS close,
+           max(CASE WHEN state_kind = 'metrics' THEN m.sample_count END) AS sample_count,
+           max(CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END) AS status,
+           coalesce(max(alert_count), 0)::INTEGER AS alert_count, max(alert_types) AS alert_types
+    FROM (SELECT DISTINCT symbol FROM (SELECT symbol FROM events_sent))
+    LEFT JOIN (SELECT * FROM state WHERE ingest_time + INTERVAL 120 SECONDS > {END}) s USING (symbol)
+    LEFT JOIN quote_rows q USING (symbol, source_topic, source_partition, source_offset)
+    LEFT JOIN bar_rows b USING (symbol, source_topic, source_partition, source_offset)
+    LEFT JOIN metric_rows m USING (symbol, source_topic, source_partition, source_offset)
+    LEFT JOIN (SELECT symbol, count(*) AS alert_count, string_agg(alert_type, ',' ORDER BY alert_rank) AS alert_types
+               FROM ranked_alerts WHERE alert_rank <= 10 GROUP BY symbol) a USING (symbol)
+    GROUP BY symbol"""
 BOOKED = "(event_type IN ('view', 'signup', 'click') AND NOT (instrument_id IS NOT NULL AND coalesce(in_symbol, out_symbol) IS NOT NULL))"
 VENDOR = (
     "resolved_symbol AS symbol, 'GLBX' AS exchange, make_timestamp(ts_event // 1000) AS event_time, sequence_number, record_id"
@@ -431,21 +446,7 @@ SELECTS = {
     SELECT symbol, exchange, alert_type, observed_sequence, event_time, severity, message, sequence_number, alert_rank
     FROM (SELECT *, max(event_time) OVER (PARTITION BY symbol) AS latest FROM ranked_alerts)
     WHERE alert_rank <= 25 AND latest > {END} - INTERVAL 1 HOUR""",
-    "symbol_snapshot": f"""
-    SELECT symbol, max(CASE WHEN state_kind = 'latest_quote' THEN round(q.ask_price, 6) END) AS ask_price,
-           max(CASE WHEN state_kind = 'top_of_book' THEN q.spread END) AS spread,
-           max(CASE WHEN state_kind = 'bar_1s' THEN b.close END) AS close,
-           max(CASE WHEN state_kind = 'metrics' THEN m.sample_count END) AS sample_count,
-           max(CASE WHEN state_kind = 'freshness' THEN CASE WHEN shown > 2000 THEN 'stale' ELSE 'fresh' END END) AS status,
-           coalesce(max(alert_count), 0)::INTEGER AS alert_count, max(alert_types) AS alert_types
-    FROM (SELECT DISTINCT symbol FROM (SELECT symbol FROM events_sent))
-    LEFT JOIN (SELECT * FROM state WHERE ingest_time + INTERVAL 120 SECONDS > {END}) s USING (symbol)
-    LEFT JOIN quote_rows q USING (symbol, source_topic, source_partition, source_offset)
-    LEFT JOIN bar_rows b USING (symbol, source_topic, source_partition, source_offset)
-    LEFT JOIN metric_rows m USING (symbol, source_topic, source_partition, source_offset)
-    LEFT JOIN (SELECT symbol, count(*) AS alert_count, string_agg(alert_type, ',' ORDER BY alert_rank) AS alert_types
-               FROM ranked_alerts WHERE alert_rank <= 10 GROUP BY symbol) a USING (symbol)
-    GROUP BY symbol""",
+    "symbol_snapshot": f"SELECT * FROM ({SNAPSHOT})",
     "freshness_breach": f"""
     SELECT symbol, {START} + to_seconds(since) AS stale_since, {START} + to_seconds(since + {HOLD_TICKS}) AS breach_from,
            {START} + to_seconds(until) AS breach_until, lag_ms
@@ -461,9 +462,11 @@ SELECTS = {
           GROUP BY symbol, span)
     WHERE since + {HOLD_TICKS} <= until""",
     "freshness_check": f"""
-    SELECT f.symbol, f.exchange, f.event_time, f.freshness_lag_ms, f.status, s.result_rank, s.source_uri, s.chunk_index, n.title, s.score
+    SELECT f.symbol, f.exchange, f.event_time, f.freshness_lag_ms, f.status, x.ask_price, x.spread, x.close, x.sample_count, x.alert_count, x.alert_types,
+           s.result_rank, s.source_uri, s.chunk_index, n.title, s.score
     FROM (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY symbol
           ORDER BY event_time DESC, sequence_number DESC, source_topic DESC, source_partition DESC, source_offset DESC) = 1) f
+    LEFT JOIN ({SNAPSHOT}) x USING (symbol)
     LEFT JOIN fresh_found s ON s.query_id = f.symbol LEFT JOIN notes n ON n.source_uri = s.source_uri""",
     "quality_report": "\n    UNION ALL ".join(
         f"""SELECT '{zone}' AS zone, '{name}' AS table_name, 'all' AS report_date, count(*) AS row_count, min(event_date) AS min_event_date,

@@ -153,8 +153,8 @@ class Market:
             {
                 "latest_quote": quotes.select(*live.EVENT, "bid_price", "bid_size", "ask_price", "ask_size", *live.SOURCE),
                 "top_of_book": live.top_of_book(quotes, market.processed_at()),
-                "bar_1s": live.bar_updates(trades, hot=self.hot_seconds),
-                "metrics": live.rolling_metrics(trades, hot=self.hot),
+                "bar_1s": live.newest_bar(trades),
+                "metrics": live.newest_metrics(trades),
                 "freshness": live.freshness(quotes, end()),
             }
         )
@@ -208,10 +208,11 @@ def _evidence(m: Market) -> DataFrame:
 
 
 def _freshness_check(m: Market) -> DataFrame:
-    """For every symbol: how fresh it is, and what the notes have on that."""
+    """For every symbol: how fresh it is, its snapshot, and what the notes have on that."""
+    m = m.settled()
     fresh = live.newest(live.freshness(m.quote_rows, end()), ["symbol"])
     found = vectors.vector_topk(_evidence(m), vectors.freshness_queries(fresh.select("symbol")))
-    return reports.freshness_check(fresh, found)
+    return reports.freshness_check(fresh, found, _shown(live.symbol_snapshot(m.state, m.alerts, fresh.select("symbol"), end())))
 
 
 def _latest_state(m: Market) -> DataFrame:
@@ -227,6 +228,11 @@ def _latest_state(m: Market) -> DataFrame:
 def _snapshot(m: Market) -> DataFrame:
     m = m.settled()
     shot = live.symbol_snapshot(m.state, m.alerts, live.active_symbols(m.bronze), end())
+    return _shown(shot)
+
+
+def _shown(shot: DataFrame) -> DataFrame:
+    """A field of each kind of state in a snapshot, and its alerts."""
     read = lambda kind, path: F.get_json_object(kind, f"$.{path}").cast("double")
     return shot.select(
         "symbol",

@@ -240,7 +240,7 @@ def _state_differences(m: Market) -> DataFrame:
         part = messages if after is None else messages.where(F.col("timestamp") > F.lit(after))
         state.upsert(part if until is None else part.where(F.col("timestamp") <= F.lit(until)), batch)
     messages.unpersist()
-    return reduce(DataFrame.unionByName, [reports.state_differences(state.read(t), live.replayed_state(m.bronze, F.lit(t), m.hot), F.lit(t)) for t in AS_OF])
+    return reduce(DataFrame.unionByName, [reports.state_differences(state.read(t), live.replayed_state(m.bronze, F.lit(t)), F.lit(t)) for t in AS_OF])
 
 
 def _feed_source(m: Market) -> DataFrame:
