@@ -129,3 +129,22 @@ def test_tokens_are_lower_case(spark):
     df = spark.createDataFrame([("Ab-C été $X",)], "t string")
     assert df.select(vectors.tokens("t")).first()[0] == ["ab-c", "t", "$x"]
     assert df.select(F.size(vectors.tokens("t"))).first()[0] == 3
+
+
+def test_postings_find_what_the_full_scan_finds(spark):
+    """Short and long queries over texts with common and rare words; whole blocks are skipped."""
+    from tickforge.plans import documents as given
+    from tickforge.session import scratch_path
+    from tickforge.sources.postings import PostingIndex
+    from tests.helpers import rows_of
+
+    chunks = vectors.with_embedding(given.note_chunks(spark, "/root/testdata/sf0.001")).persist()
+    index = PostingIndex.save(chunks, scratch_path(spark, "postings"))
+    body = chunks.orderBy("source_uri").first().content
+    asked = [("rare", "runbook"), ("two", "the lineage"), ("part", " ".join(body.split()[:6])), ("whole", body), ("none", "zzzz qqqq"), ("empty", "")]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    for limit in (1, 5, 40):
+        assert rows_of(index.search(queries, limit)) == rows_of(vectors.vector_topk(chunks, queries, limit))
+    slots = vectors.with_embedding(queries.where("query_id = 'part'"), "query").select("query_id", F.inline("embedding").alias("idx", "asked")).persist()
+    needed, all_blocks = index.needed(slots, 1, 0.0).count(), index.blocks().join(slots, "idx").count()
+    assert 0 < needed < all_blocks / 2

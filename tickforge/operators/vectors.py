@@ -90,6 +90,12 @@ def dot(left: str | Column, right: str | Column) -> Column:
     return F.when((F.size(left) == F.size(right)) & (F.size(left) > 0), total).otherwise(F.lit(0.0))
 
 
+def few(df: DataFrame, limit: int = BROADCAST_SLOTS) -> DataFrame:
+    """With a broadcast hint if there are at most so many rows."""
+    small = df.limit(limit + 1).groupBy().count().where(F.col("count") <= limit).take(1)
+    return F.broadcast(df) if small else df
+
+
 def vector_topk(
     chunks: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT, min_score: float | None = 0.0
 ) -> DataFrame:
@@ -101,7 +107,7 @@ def vector_topk(
     that share no slot with a query are never found.
     """
     asked = with_embedding(queries, "query").select("query_id", F.inline("embedding").alias("idx", "asked"))
-    asked = F.broadcast(asked) if len(asked.limit(BROADCAST_SLOTS + 1).groupBy().count().where(F.col("count") <= BROADCAST_SLOTS).take(1)) else asked
+    asked = few(asked)
     slots = chunks.select(*CHUNK_KEY, F.inline("embedding").alias("idx", "weight"))
     scored = slots.join(asked, "idx").groupBy("query_id", *CHUNK_KEY).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
     if min_score is not None:

@@ -658,5 +658,6 @@ def oracle_sql() -> dict[str, str]:
     selects = {**SELECTS, "table_conformance": _conformance_sql(), "stale_alerts": _stale_sql(), **STORED_SQL, "stream_stale_monitor": _stale_sql()}
     found = {name: _dates_as_text(name, _with(sql)) for name, sql in selects.items()}
     found |= {f"{name}_tiled": found[name] for name in TILED}
+    found["vector_topk_postings"] = found["vector_topk"]
     scale = {**dict.fromkeys(SEVERAL_DAYS, market.WIDE), **dict.fromkeys(HALF_AN_HOUR, market.HALF_HOUR)}
     return {name: sql.replace("// 14400", f"// {scale.get(name, market.DENSE)}") for name, sql in found.items()}

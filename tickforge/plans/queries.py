@@ -12,7 +12,7 @@ from tickforge.functions.scans import is_hot, rows_per_task
 from tickforge.operators import bronze as bronze_ops, checks, feed, gold, live, reports, silver, staleness, text, vectors, vendor
 from tickforge.plans import documents, market
 from tickforge.session import scratch_path
-from tickforge.sources import topics
+from tickforge.sources import postings, topics
 
 DAY = "2024-01-01"
 SEARCHES = {"runbook": "the stale symbol runbook", "lineage": "la lineage de bronze and silver", "replay": "REPLAY dry run of the day"}
@@ -204,7 +204,18 @@ def _chunk_view(chunks: DataFrame) -> DataFrame:
 
 
 def _evidence(m: Market) -> DataFrame:
-    return vectors.with_embedding(documents.note_chunks(m.spark, m.sf_dir))
+    """The index that searches read: the notes cut and embedded, written once."""
+    return _written(vectors.with_embedding(documents.note_chunks(m.spark, m.sf_dir)), scratch_path(m.spark, "evidence"))
+
+
+def _searches(m: Market) -> DataFrame:
+    return m.spark.createDataFrame(list(SEARCHES.items()), "query_id string, query string")
+
+
+def _found(results: DataFrame) -> DataFrame:
+    return results.select(
+        "query_id", "result_rank", "source_uri", "chunk_index", "title", "source_type", "score", F.md5("content").alias("content_md5")
+    )
 
 
 def _freshness_check(m: Market) -> DataFrame:
@@ -330,8 +341,9 @@ BATCH: dict[str, Callable[[Market], DataFrame]] = {
     "chunk_pages": lambda m: _chunk_view(documents.page_chunks(m.spark, m.sf_dir)),
     "hashed_embedding": _hashed,
     "cosine_pairs": _pairs,
-    "vector_topk": lambda m: vectors.vector_topk(_evidence(m), m.spark.createDataFrame(list(SEARCHES.items()), "query_id string, query string")).select(
-        "query_id", "result_rank", "source_uri", "chunk_index", "title", "source_type", "score", F.md5("content").alias("content_md5")
+    "vector_topk": lambda m: _found(vectors.vector_topk(_evidence(m), _searches(m))),
+    "vector_topk_postings": lambda m: _found(
+        postings.PostingIndex.save(vectors.with_embedding(documents.note_chunks(m.spark, m.sf_dir)), scratch_path(m.spark, "postings")).search(_searches(m))
     ),
     "incident_summary": lambda m: vectors.incident_summary(_evidence(m), INCIDENTS),
 }
