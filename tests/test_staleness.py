@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import bronze_of, quote
 from tickforge.operators import silver, staleness
+from tickforge.streaming import stateful
 
 START = dt.datetime(2026, 5, 7)
 
@@ -150,3 +151,18 @@ def test_spans_of_the_rule_equal_the_tick_loop(spark, small_tasks, hold):
     zero = F.lit(START.isoformat(sep=" ")).cast("timestamp").cast("long")
     seconds = [(F.col(c).cast("long") - zero).alias(c) for c in ("stale_since", "breach_from", "breach_until")]
     assert sorted(tuple(r) for r in found.select(*seconds, "lag_ms").collect()) == expected and len(expected) > 2
+
+
+def test_reports_without_a_step_per_tick():
+    """In several calls with the mark carried on, against the loop over ticks."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        jumps = rng.choice([1000, 1000, 1000, -3000, -9000, 4000], int(rng.integers(1, 120)))
+        values = np.maximum(0, np.cumsum(jumps) + int(rng.integers(0, 9000)))
+        expected = [t for t, _ in looped(dict(enumerate(values.tolist())))]
+        found, mark, begin = [], 0, 0
+        for part in np.array_split(values, 3):
+            raised, mark = stateful.raised_ticks(part, mark, 2000)
+            found += (raised + begin).tolist()
+            begin += len(part)
+        assert found == expected

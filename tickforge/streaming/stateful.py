@@ -332,27 +332,45 @@ class StaleTicks(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True)
         batch = batch.sort_values(["ingest_time", "is_tick", *ARRIVAL[1:]], ignore_index=True)
         exchange, event_us, mark = self.last.get() if self.last.exists() else (None, None, 0)
-        found = []
+        ticks = batch["is_tick"].to_numpy(bool)
         at = batch["ingest_time"].to_numpy("datetime64[us]").astype("int64")
         events = batch["event_time"].to_numpy("datetime64[us]").astype("int64")
-        for now, is_tick, own_event, own_exchange in zip(at, batch["is_tick"], events, batch["exchange"]):
-            if not is_tick:
-                exchange, event_us = own_exchange, int(own_event)
-            elif event_us is not None:
-                lag = max(0, (int(now) - event_us) // 1000)
-                if lag <= self.stale_ms:
-                    mark = 0
-                elif lag - mark >= self.stale_ms:
-                    mark = lag
-                    found.append((key[0], exchange, pd.Timestamp(int(now), unit="us"), lag))
-        if event_us is not None:
-            self.last.update((exchange, event_us, mark))
-        yield pd.DataFrame(found, columns=["symbol", "exchange", "at", "lag_ms"])
+        last = np.maximum.accumulate(np.where(ticks, -1, np.arange(len(batch))))  # the newest quote up to each row
+        wanted = ticks & ((last >= 0) | (event_us is not None))
+        known = np.where(last >= 0, events[np.maximum(last, 0)], event_us if event_us is not None else 0)
+        exchanges = np.where(last >= 0, batch["exchange"].to_numpy(object)[np.maximum(last, 0)], exchange)
+        rows = np.flatnonzero(wanted)
+        lags = np.maximum(0, (at[rows] - known[rows]) // 1000)
+        raised, mark = raised_ticks(lags, mark, self.stale_ms)
+        if len(batch) and (last[-1] >= 0 or event_us is not None):
+            self.last.update((str(exchanges[-1]), int(known[-1]), int(mark)))
+        alerts = rows[raised]
+        yield pd.DataFrame({"symbol": key[0], "exchange": exchanges[alerts], "at": pd.to_datetime(at[alerts], unit="us"), "lag_ms": lags[raised]})
 
     def close(self) -> None:
         pass
 
 
+def raised_ticks(lags: np.ndarray, mark: int, stale_ms: int) -> tuple[np.ndarray, int]:
+    """The places in ``lags``, one per tick, at which a monitor with this mark reports, and its mark afterwards.
+
+    Between fresh ticks a report comes where the largest lag so far has passed the mark by the stale
+    time, so there is one step per report and none per tick.
+    """
+    stale = np.concatenate([[False], lags > stale_ms, [False]])
+    begins, ends = np.flatnonzero(~stale[:-1] & stale[1:]), np.flatnonzero(stale[:-1] & ~stale[1:])
+    found = []
+    for begin, end in zip(begins.tolist(), ends.tolist()):
+        mark = 0 if begin else mark
+        largest = np.maximum.accumulate(lags[begin:end])
+        while (at := int(np.searchsorted(largest, mark + stale_ms))) < end - begin:
+            found.append(begin + at)
+            mark = int(largest[at])
+    if len(lags) and lags[-1] <= stale_ms:
+        mark = 0
+    return np.array(found, np.int64), mark
+
+
 def stale_tick_stream(messages: DataFrame, clock: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
     """Alerts at the ticks of ``clock`` (symbol, tick_time), a stream like any other."""
     quotes = silver.quote_rows(bronze.bronze_rows(messages)).select(*KEYS, "event_time", *ARRIVAL, F.lit(False).alias("is_tick"))
