@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickforge.llm.common import stored
 from tickforge.llm.perfect_hash import PerfectHash, mixed
-from tickforge.llm.tokens import BYTE_CHARACTERS, WORDS, Memo, text_tokens
+from tickforge.llm.tokens import BYTE_CHARACTERS, Memo, text_tokens
 
 BUNDLE_BYTES = 1 << 20
 FAN_IN = 32
 MOST_BLOCKS = 4096
 BLOCK_SEED = 0
+REMEMBERED = 250_000
+"""Words that each side remembers in each of two generations, some 200 bytes each."""
 
 
 class ByteLevelSide:
@@ -45,7 +48,7 @@ class ByteLevelSide:
 
     def __init__(self, path: str):
         self.tokens = text_tokens(path, special=False)
-        self.tokens.pieces.size = WORDS  # beside the memo of the other side
+        self.tokens.pieces.size = REMEMBERED
         bytes_of = {chr(sign): byte for byte, sign in BYTE_CHARACTERS.items()}
         rules = json.loads(self.tokens.tokenizer.to_str())
         added = {x["id"] for x in rules["added_tokens"]}
@@ -81,18 +84,25 @@ class PieceSide:
         by_words = all("▁" not in p.lstrip("▁") and not (p[:2] == "▁▁" and p.strip("▁")) for p in signs)
         self.by_words = by_words and self.model.normalize(probe) == "▁" + probe.replace(" ", "▁")
         self.dtype = np.dtype("<u2" if len(signs) <= 1 << 16 else "<u4")
-        self.words = Memo(lambda word: np.array(self.model.encode(word), self.dtype).tobytes(), WORDS)
+        self.words = Memo(lambda word: self._packed(self.model.encode(word)), REMEMBERED)
 
     def forget(self) -> None:
         self.words.forget()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self._ids(t), self.dtype) for t in texts]
+        cut = [self._words(t) for t in texts]
+        new = self.words.new({word for words in cut for word in words or ()})
+        self.words.learn(new, (self._packed(ids) for ids in self.model.encode(new, num_threads=1)))
+        known = self.words.__getitem__
+        whole = lambda text: self._packed(self.model.encode(text))
+        return [np.frombuffer(whole(t) if words is None else b"".join(map(known, words)), self.dtype) for t, words in zip(texts, cut)]
 
-    def _ids(self, text: str) -> bytes:
-        if text and self.by_words and "  " not in text and text[0] != " " and text[-1] != " ":
-            return b"".join(map(self.words.__getitem__, text.split(" ")))
-        return np.array(self.model.encode(text), self.dtype).tobytes()
+    def _words(self, text: str) -> list[str] | None:
+        alone = text and self.by_words and "  " not in text and text[0] != " " and text[-1] != " "
+        return text.split(" ") if alone else None
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
 
 class Sides:
@@ -104,6 +114,12 @@ class Sides:
         self.width = len(self.b.pieces)
         self.key = np.dtype("<u4" if len(self.a.pieces) * self.width <= 1 << 32 else "<u8")
 
+    @cached_property
+    def group_table(self) -> list[bytes]:
+        """How each id is written within a group of its side and at its end; see Bundle.grouped."""
+        a, b = range(len(self.a.pieces)), range(len(self.b.pieces))
+        return [b"%d%s" % (i, end) for ids, ends in ((a, (b",", b"|")), (b, (b",", b";"))) for end in ends for i in ids]
+
     def forget(self) -> None:
         """Words are not remembered beyond the stage that cuts texts."""
         self.a.forget()
@@ -165,11 +181,6 @@ class Bundle:
         return [b"".join(map(table.__getitem__, codes[lo:hi].tolist()))[:-1] for lo, hi in zip([0, *ends], ends)]
 
 
-def group_table(known: Sides) -> list[bytes]:
-    a, b = range(len(known.a.pieces)), range(len(known.b.pieces))
-    return [b"%d%s" % (i, end) for ids, ends in ((a, (b",", b"|")), (b, (b",", b";"))) for end in ends for i in ids]
-
-
 BUNDLE_SCHEMA = "bundle long, ids array<long>, n_a binary, n_b binary, ids_a binary, ids_b binary"
 
 
@@ -408,7 +419,7 @@ def aligned(counts: PairCounts, digest: bool = False) -> DataFrame:
 
     def align(rows: pa.Table, replies: pa.Table) -> pa.Table:
         known = sides(a, b)
-        table, vocabulary = group_table(known), (len(known.a.pieces), len(known.b.pieces))
+        vocabulary = len(known.a.pieces), len(known.b.pieces)
         row = rows.to_pylist()[0]
         bundle = _bundle(known, row)
         keys, inverse = np.unique(bundle.keys, return_inverse=True)
@@ -421,7 +432,7 @@ def aligned(counts: PairCounts, digest: bool = False) -> DataFrame:
         def per_text(values: np.ndarray) -> np.ndarray:
             return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[bundle.links_until])
 
-        groups = bundle.grouped(table, vocabulary)
+        groups = bundle.grouped(known.group_table, vocabulary)
         shown = [hashlib.sha256(g).hexdigest() if g and digest else g.decode() for g in groups]
         numbers = [bundle.n_a, bundle.n_b, np.diff(bundle.groups_until), np.diff(bundle.links_until), per_text(at_best), per_text(link_counts)]
         return pa.table([pa.array(row["ids"], pa.int64()), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(shown, pa.string())], names)

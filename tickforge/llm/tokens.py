@@ -21,7 +21,7 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import regex
@@ -40,7 +40,7 @@ BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x f
 SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 
 SIGNS = tuple(".,;:!?")
-PIECES, WORDS = 1_000_000, 150_000
+PIECES, WORDS = 1_000_000, 50_000
 """Entries that each of the two generations of a memo may hold; an entry takes about 200 bytes."""
 
 
@@ -60,6 +60,16 @@ class Memo(dict):
         self[key] = found
         return found
 
+    def new(self, keys: set[str]) -> list[str]:
+        """Those keys that are not remembered, to be learned together."""
+        return [key for key in keys - self.keys() if key not in self.old]
+
+    def learn(self, keys: list[str], values: Iterable[bytes]) -> None:
+        if len(self) + len(keys) > self.size:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, values))
+
     def forget(self) -> None:
         self.clear()
         self.old = {}
