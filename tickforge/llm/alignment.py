@@ -48,7 +48,7 @@ class ByteLevelSide:
 
     def __init__(self, path: str):
         self.tokens = text_tokens(path, special=False)
-        self.tokens.pieces.size = REMEMBERED
+        self.tokens.pieces.size, self.tokens.words.size = REMEMBERED, REMEMBERED // 5
         bytes_of = {chr(sign): byte for byte, sign in BYTE_CHARACTERS.items()}
         rules = json.loads(self.tokens.tokenizer.to_str())
         added = {x["id"] for x in rules["added_tokens"]}

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -129,7 +128,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", te
     spark.createDataFrame([(PRECISION, table.frequencies.astype(np.int64).tolist())], "precision int, frequencies array<long>").coalesce(
         1
     ).write.parquet(f"{path}/table")
-    ordered = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    ordered = ids.filter("n > 0").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
     ordered.select("doc_id", "n", "ids").mapInArrow(_encoder(table), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     offsets_before(totals, "part", "n").write.parquet(f"{path}/places")
@@ -182,17 +181,23 @@ def decode_block(block: dict, table: Table) -> np.ndarray:
 
 
 def _ids(docs: DataFrame, tokenizer: str, id: str, text: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, n, ids) of each row; `tie` puts rows with equal ids in order."""
+    """(doc_id, tie, n, ids) of each row; `tie` puts rows with equal ids in order.
+
+    A row with n = -1 at the end of each task holds how often it has met each id, as 64-bit numbers.
+    """
 
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = text_tokens(tokenizer)
-        end = np.array([end_id], tokens.dtype).tobytes()
+        tokens, names = text_tokens(tokenizer), ["doc_id", "tie", "n", "ids"]
+        end, sums = np.array([end_id], tokens.dtype).tobytes(), np.zeros(0, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = batch.slice(lo, 500)
                 ids = [x + end for x in tokens.encode(rows.column(2).to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64) // tokens.dtype.itemsize
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "tie", "n", "ids"])
+                sums = _added(sums, np.bincount(np.frombuffer(b"".join(ids), tokens.dtype)))
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n), pa.array(ids, pa.binary())], names)
+        none = pa.array([None], pa.int64())
+        yield pa.record_batch([none, none, pa.array([-1]), pa.array([sums.astype("<i8").tobytes()], pa.binary())], names)
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tie"), body.alias("text"))
@@ -203,11 +208,11 @@ def _numbers(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
-def _all_numbers(ids: pa.BinaryArray, n: pa.Int64Array) -> np.ndarray:
-    """The ids of all rows of a batch one after another; all rows have ids of one width."""
-    offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
-    size, total = int(offsets[-1] - offsets[0]), pc.sum(n).as_py() or 0
-    return np.frombuffer(ids.buffers()[2], "<u2" if size == 2 * total else "<u4", total, int(offsets[0]))
+def _added(sums: np.ndarray, more: np.ndarray) -> np.ndarray:
+    if len(more) > len(sums):
+        sums = np.pad(sums, (0, len(more) - len(sums)))
+    sums[: len(more)] += more
+    return sums
 
 
 def _counts(ids: DataFrame) -> np.ndarray:
@@ -216,14 +221,12 @@ def _counts(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(_all_numbers(batch.column(0), batch.column(1)))
-            if len(found) > len(sums):
-                sums = np.pad(sums, (0, len(found) - len(sums)))
-            sums[: len(found)] += found
+            for raw in batch.column(0).to_pylist():
+                sums = _added(sums, np.frombuffer(raw, "<i8"))
         used = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(used), pa.array(sums[used])], ["id", "n"])
 
-    found = ids.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = ids.filter("n < 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"]
     return counts
