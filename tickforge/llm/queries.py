@@ -100,8 +100,7 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    ids = rans.read_ids(spark, path)
-    return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return rans.read_ids(spark, path, digest=True).withColumnsRenamed({"n": "n_tokens", "ids": "ids_crc32"})
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickforge.llm.common import drop_path, fresh_path, offsets_before, small_side, stored_at
 from tickforge.llm.tokens import text_tokens
 
-PRECISION = 20
-LANES = 4096
-CHECKPOINT_ROWS = 128
+PRECISION = 18
+LANES = 8192
+CHECKPOINT_ROWS = 64
 BLOCK_IDS = 1 << 20
 END_ID = 0
 _LOW = np.uint64(1 << 31)
@@ -123,7 +123,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", te
     """
     spark = docs.sparkSession
     kept = fresh_path(spark, "ids")
-    ids = stored_at(_ids(docs, tokenizer, id, text, end_id), kept)
+    ids = stored_at(_ids(docs, tokenizer, id, text, end_id), kept, "lz4")
     table = Table.of(_counts(ids))
     spark.createDataFrame([(PRECISION, table.frequencies.astype(np.int64).tolist())], "precision int, frequencies array<long>").coalesce(
         1
@@ -135,8 +135,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", te
     drop_path(spark, kept)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): each document's ids from the files, as little-endian unsigned 32-bit numbers."""
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n, ids): each document's ids from the files, as little-endian unsigned 32-bit numbers.
+
+    With `digest`, `ids` is their unsigned CRC-32 instead.
+    """
     row = spark.read.parquet(f"{path}/table").first()
     if row.precision != PRECISION:
         raise ValueError("written with another precision")
@@ -149,7 +152,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 ids = decode_block(block, table)
                 lengths = [d["n"] for d in block["docs"]]
                 ends = np.cumsum(lengths)
-                raw = ids.astype("<u4").tobytes()
+                raw, kind = memoryview(ids.astype("<u4").tobytes()), pa.int64() if digest else pa.binary()
                 for lo in range(0, len(lengths), 1000):
                     part = slice(lo, lo + 1000)
                     begins = ends[part] - lengths[part]
@@ -157,14 +160,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         [
                             pa.array([d["doc_id"] for d in block["docs"][part]], pa.int64()),
                             pa.array(begins + block["start"], pa.int64()),
-                            pa.array([raw[4 * a : 4 * b] for a, b in zip(begins, ends[part])], pa.binary()),
+                            pa.array(lengths[part], pa.int64()),
+                            pa.array([zlib.crc32(x) if digest else bytes(x) for x in (raw[4 * a : 4 * b] for a, b in zip(begins, ends[part]))], kind),
                         ],
-                        ["doc_id", "start", "ids"],
+                        ["doc_id", "start", "n", "ids"],
                     )
 
     blocks = spark.read.parquet(f"{path}/blocks").join(small_side(spark.read.parquet(f"{path}/places")), "part")
     placed = blocks.withColumn("start", F.col("before") + F.col("local_start"))
-    return placed.mapInArrow(decode, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(decode, f"doc_id long, start long, n long, ids {'long' if digest else 'binary'}")
 
 
 def decode_block(block: dict, table: Table) -> np.ndarray:
