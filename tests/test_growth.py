@@ -42,4 +42,49 @@ def test_parts_of_the_late_trades_are_written_by_many_tasks(small, places):
     assert len(list((places / "closing/topics/mixed").glob("part-*"))) > 4
 
 
+def test_parts_of_the_vendor_records_are_written_by_many_tasks(small, places):
+    assert stored._symbol_stream(small).count() == 1200
+    assert len(list((places / "vendor/records").glob("part-*"))) > 3
+
+
+class Value:
+    """A value state that is kept here."""
+
+    value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_records_wait_packed_and_leave_in_the_parts_they_came_in():
+    processor, parts = stateful.KnownMappings(), []
+    processor.init(Value())
+    rows = [(5, 1, None), (7, 2, "B"), (7, 3, None), (3, 4, "A"), (9, 5, None), (7, 1, None), (2, 9, None)]
+    for begin in range(0, len(rows), 2):
+        parts.append(pd.DataFrame([(*r, f"r{r[1]}") for r in rows[begin : begin + 2]], columns=["ts_event", "record_id", "offered_symbol", "record"]))
+    found = list(processor.handleInputRows((100,), iter(parts), None))
+    assert [len(f) for f in found] == [2, 2, 2, 1]
+    assert [x for f in found for x in f["mapped_symbol"]] == ["A", "B", "B", "A", "B", "A", None]
+    later = pd.DataFrame([(8, 1, None, "x"), (4, 1, "C", "y"), (5, 0, None, "z")], columns=["ts_event", "record_id", "offered_symbol", "record"])
+    assert list(next(processor.handleInputRows((100,), iter([later]), None))["mapped_symbol"]) == ["B", "C", "C"]
+
+
+def test_packed_records_come_back_as_they_were(spark):
+    when = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    rows = [(1, 1 << 60, 1, "é\n\"", 0.1, [(1.5, None, None, 3)], when), (2, None, None, None, float("nan"), [], None), (3, 0, 0, "", -0.0, [(None,) * 4, None], when)]
+    df = spark.createDataFrame(rows, "record_id long, a long, b int, c string, d double, levels array<struct<x: double, y: double, z: long, w: long>>, t timestamp")
+    text = F.to_json(F.struct(*df.columns), stateful.PACKED)
+    back = df.select(F.inline(F.array(F.from_json(text, df.schema, stateful.PACKED))))
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]

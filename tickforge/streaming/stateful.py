@@ -7,12 +7,14 @@ bounds that.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickforge.contracts import GAP_TOPICS, ROLLING_PRICES, STALE_MESSAGE, STALE_MS
@@ -244,42 +246,72 @@ def rolling_metrics_stream(messages: DataFrame, prices: int = ROLLING_PRICES) ->
 
 class KnownMappings(StatefulProcessor):
     """The mappings of an instrument so far. A record gets the last one before it in its own order,
-    also when later ones are known already."""
+    also when later ones are known already.
 
-    def __init__(self, columns: list[str]):
-        self.columns = columns
+    The records of a batch wait until its mappings are known, as packed texts in Arrow arrays and
+    not as objects per field; they go on in the parts they came in.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "ts array<long>, ids array<long>, symbols array<string>")
+        self.known = handle.getValueState("known", "ts binary, ids binary, codes binary, symbols array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        ts, ids, symbols = map(list, self.known.get()) if self.known.exists() else ([], [], [])
-        new = batch[batch["offered_symbol"].notna()]
-        if len(new):
-            ts, ids, symbols = ts + new["ts_event"].tolist(), ids + new["record_id"].tolist(), symbols + new["offered_symbol"].tolist()
-            order = np.lexsort([np.array(ids, "int64"), np.array(ts, "int64")])
-            ts, ids, symbols = ([x[i] for i in order] for x in (ts, ids, symbols))
-            self.known.update((ts, ids, symbols))
-        place = np.array(list(zip(ts, ids)), dtype=[("ts", "int64"), ("id", "int64")])
-        asked = np.array(list(zip(batch["ts_event"], batch["record_id"])), dtype=place.dtype)
-        before = np.searchsorted(place, asked, "right") - 1
-        out = batch.assign(instrument_id=key[0])[self.columns]
-        out["mapped_symbol"] = [symbols[i] if i >= 0 else None for i in before]
-        yield out
+        waiting, new = deque(), []
+        for part in rows:
+            offered = part["offered_symbol"].notna()
+            ts, ids = (part[name].to_numpy("int64") for name in ("ts_event", "record_id"))
+            waiting.append((ts, ids, pa.array(part["record"], pa.string())))
+            new.append((ts[offered], ids[offered], part.loc[offered, "offered_symbol"].to_numpy(object)))
+        ts, ids, codes, symbols = self._with(new)
+        names = np.array([*symbols, None], object)
+        while waiting:
+            asked, numbers, records = waiting.popleft()
+            before = places_before(ts, ids, asked, numbers)
+            yield pd.DataFrame({"record": records.to_pandas(), "mapped_symbol": names[np.append(codes, len(symbols))[before]]})
+
+    def _with(self, new: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Time, number and symbol (a place in a list) of all mappings, in order."""
+        old = self.known.get() if self.known.exists() else (b"", b"", b"", [])
+        symbols = list(old[3])
+        place = {symbol: i for i, symbol in enumerate(symbols)}
+        found = [np.array([place.setdefault(x, len(place)) for x in offered], "<i4") for _, _, offered in new]
+        ts, ids, codes = (
+            np.concatenate([np.frombuffer(bytes(raw), kind), *more])
+            for raw, kind, more in zip(old, ("<i8", "<i8", "<i4"), ([x[0] for x in new], [x[1] for x in new], found))
+        )
+        if any(map(len, found)):
+            order = np.lexsort([ids, ts])
+            ts, ids, codes, symbols = ts[order], ids[order], codes[order], list(place)
+            self.known.update((ts.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), codes.astype("<i4").tobytes(), symbols))
+        return ts, ids, codes, symbols
 
     def close(self) -> None:
         pass
 
 
+def places_before(ts: np.ndarray, ids: np.ndarray, asked_ts: np.ndarray, asked_ids: np.ndarray) -> np.ndarray:
+    """The place of the last (ts, id) in order that is not after each asked one, or -1."""
+    low, high = np.searchsorted(ts, asked_ts, "left"), np.searchsorted(ts, asked_ts, "right")
+    tied = np.flatnonzero(low < high)
+    if len(tied):
+        pair = np.dtype([("ts", "<i8"), ("id", "<i8")])
+        known, asked = np.empty(len(ts), pair), np.empty(len(tied), pair)
+        known["ts"], known["id"], asked["ts"], asked["id"] = ts, ids, asked_ts[tied], asked_ids[tied]
+        low[tied] = np.searchsorted(known, asked, "right")
+    return low - 1
+
+
+PACKED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def symbol_resolution_stream(records: DataFrame) -> DataFrame:
-    """``resolved_symbol`` of vendor records as they come. The state holds an instrument's mappings, a few
-    for each; records without an instrument need none."""
-    columns = records.columns
-    offered = records.withColumn("offered_symbol", vendor.offered_mapping())
-    schema = T.StructType([*records.schema.fields, T.StructField("mapped_symbol", T.StringType())])
-    known = offered.where("instrument_id IS NOT NULL").groupBy("instrument_id")
-    mapped = known.transformWithStateInPandas(KnownMappings(columns), schema, "Append", "None")
+    """``resolved_symbol`` of vendor records as they come. The state holds an instrument's mappings, twenty bytes
+    for each; records without an instrument need none. A record passes the state as one JSON text."""
+    packed = records.where("instrument_id IS NOT NULL").select(
+        "instrument_id", "ts_event", "record_id", vendor.offered_mapping().alias("offered_symbol"), F.to_json(F.struct(*records.columns), PACKED).alias("record")
+    )
+    known = packed.groupBy("instrument_id").transformWithStateInPandas(KnownMappings(), "record string, mapped_symbol string", "Append", "None")
+    mapped = known.select(F.inline(F.array(F.from_json("record", records.schema, PACKED))), "mapped_symbol")
     others = records.where("instrument_id IS NULL").withColumn("mapped_symbol", F.lit(None).cast("string"))
     return mapped.unionByName(others).withColumn("resolved_symbol", vendor.resolved_symbol("mapped_symbol")).drop("mapped_symbol")
 
