@@ -87,4 +87,12 @@ def test_packed_records_come_back_as_they_were(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def test_state_messages_are_made_once(small, monkeypatch, tmp_path):
+    seen = []
+    monkeypatch.setattr(stored, "_place", lambda m, name: f"{tmp_path}/scratch/{name}")
+    monkeypatch.setattr(hot_state.HotState, "upsert", lambda self, messages, batch: seen.append(messages))
+    stored._hot_state_upsert(small)
+    assert len(seen) == 3 and all("/scratch/messages/" in f for df in seen for f in df.inputFiles())
+
+
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]
