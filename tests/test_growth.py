@@ -95,4 +95,13 @@ def test_state_messages_are_made_once(small, monkeypatch, tmp_path):
     assert len(seen) == 3 and all("/scratch/messages/" in f for df in seen for f in df.inputFiles())
 
 
+def test_replayed_trades_are_made_once_per_time(small, monkeypatch, tmp_path):
+    taken, own = [], live.silver_state
+    numbers = iter(range(100))
+    monkeypatch.setattr(stored, "_place", lambda m, name: f"{tmp_path}/scratch/{name}/{next(numbers)}")
+    monkeypatch.setattr(live, "silver_state", lambda trades, quotes, as_of: taken.append(trades) or own(trades, quotes, as_of))
+    stored._state_differences(small)
+    assert len(taken) == 2 and all("/scratch/replayed/" in f for df in taken for f in df.inputFiles())
+
+
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]
