@@ -104,4 +104,12 @@ def test_replayed_trades_are_made_once_per_time(small, monkeypatch, tmp_path):
     assert len(taken) == 2 and all("/scratch/replayed/" in f for df in taken for f in df.inputFiles())
 
 
+def test_reported_tables_are_made_once(small, monkeypatch):
+    seen, own = [], reports.quality_report
+    monkeypatch.setattr(reports, "quality_report", lambda tables, *rest: seen.extend(tables.values()) or own(tables, *rest))
+    assert stored._table_append(small).count() == 4
+    assert len(seen) == 6 and len({f for df in seen for f in df.inputFiles()}) == len({f for df in seen[:2] for f in df.inputFiles()})
+    assert all("/trades-" in f or "/quotes-" in f for df in seen for f in df.inputFiles())
+
+
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]
