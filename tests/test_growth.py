@@ -112,4 +112,12 @@ def test_reported_tables_are_made_once(small, monkeypatch):
     assert all("/trades-" in f or "/quotes-" in f for df in seen for f in df.inputFiles())
 
 
+def test_wide_rows_are_cut_into_more_tiles(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("k"), "id", F.lit("x").alias("wide"))
+    tiles = lambda: scans.range_tiles(rows, ["k"], ["id"]).select(scans.TILE).distinct().count()
+    assert tiles() == 2
+    monkeypatch.setattr(scans, "TILE_BYTES", 20_000)
+    assert tiles() >= 7
+
+
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]
