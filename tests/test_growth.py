@@ -120,4 +120,14 @@ def test_wide_rows_are_cut_into_more_tiles(spark, monkeypatch):
     assert tiles() >= 7
 
 
+def test_texts_are_embedded_in_slices(monkeypatch):
+    texts = pa.array(["a b", None, "c" * 50, "", "d e f", "é" * 30, "g"])
+    parts = vectors.text_slices(texts, 40)
+    assert sum((p.to_pylist() for p in parts), []) == texts.to_pylist()
+    assert max(len("".join(x or "" for x in p.to_pylist()).encode()) for p in parts) <= 40 + 60 and len(parts) > 2
+    assert [len(p) for p in vectors.text_slices(pa.array([], pa.string()))] == [0]
+    whole = vectors._embedded(texts, 16)
+    assert pa.concat_arrays([vectors._embedded(p, 16) for p in parts]).to_pylist() == whole.to_pylist()
+
+
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]
