@@ -131,3 +131,14 @@ def test_texts_are_embedded_in_slices(monkeypatch):
 
 
 CHUNKS = [(f"doc:{i}", k, f"word{i} word{k} common text number {i * k}") for i in range(40) for k in range(3)]
+
+
+def test_winners_are_broadcast_not_the_chunks_shuffled(spark):
+    chunks = vectors.with_embedding(spark.createDataFrame(CHUNKS, "source_uri string, chunk_index int, content string"))
+    asked = spark.createDataFrame([("q", "common word3")], "query_id string, query string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vectors.vector_topk(chunks, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
