@@ -142,3 +142,13 @@ def test_winners_are_broadcast_not_the_chunks_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_a_search_over_postings_scores_once(spark, monkeypatch):
+    """What is counted before it is broadcast is not made from scores."""
+    index = postings.PostingIndex.save(vectors.with_embedding(spark.createDataFrame(CHUNKS, "source_uri string, chunk_index int, content string")), scratch_path(spark, "p"))
+    asked = spark.createDataFrame([("q", "common word3"), ("r", "word5 text")], "query_id string, query string")
+    counted, own = [], postings.few
+    monkeypatch.setattr(postings, "few", lambda df, limit=vectors.BROADCAST_SLOTS, of=None: counted.append(df if of is None else of) or own(df, limit, of))
+    assert index.search(asked).count() == 10
+    assert counted and not any({"score", "share"} & {*df.columns} for df in counted)
