@@ -120,6 +120,24 @@ def test_wide_rows_are_cut_into_more_tiles(spark, monkeypatch):
     assert tiles() >= 7
 
 
+def test_chunks_of_an_upsert_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    index = folders.BucketedIndex(spark, scratch_path(spark, "index"), buckets=4)
+    for n, version in ((30, 0), (10, 1)):
+        rows = [(f"doc:{i}", 0, f"text {version}", dt.datetime(2026, 5, 7 + version)) for i in range(n)]
+        df = spark.createDataFrame(rows, "source_uri string, chunk_index int, content string, indexed_at timestamp")
+        index.upsert(df.mapInPandas(counted, df.schema))
+    assert made.value == 40
+    assert sorted(r.content for r in index.read().collect()) == ["text 0"] * 20 + ["text 1"] * 10
+    assert not index.names("sent")
+
+
 def test_texts_are_embedded_in_slices(monkeypatch):
     texts = pa.array(["a b", None, "c" * 50, "", "d e f", "é" * 30, "g"])
     parts = vectors.text_slices(texts, 40)
