@@ -119,3 +119,12 @@ def test_packed_odd_rows(spark):
         expected[k] += len(x)
     assert Counter({k: sum(r.length for r in found if r.doc_id == k) for k in expected}) == expected
     assert packing.sequences(packing.windows(documents(spark, []), WORDS)).count() == 0
+
+
+def test_long_pieces_are_not_remembered():
+    made = []
+    memo = Memo(lambda key: made.append(key) or key.encode(), 500)
+    for _ in range(3):
+        assert memo["x" * 5000] == b"x" * 5000 and memo["word"] == b"word"
+    assert made.count("word") == 1 and made.count("x" * 5000) == 3
+    assert sum(map(len, [*memo, *memo.old])) == 4

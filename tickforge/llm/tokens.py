@@ -40,8 +40,10 @@ BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x f
 SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 
 SIGNS = tuple(".,;:!?")
-PIECES, WORDS = 1_000_000, 150_000
+PIECES, WORDS = 500_000, 150_000
 """Entries that each of the two generations of a memo may hold; an entry takes about 200 bytes."""
+LONGEST = 100
+"""Characters of the longest key that a memo remembers."""
 
 
 class Memo(dict):
@@ -54,6 +56,8 @@ class Memo(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        if len(key) > LONGEST:
+            return found
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
