@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions import scans
-from tickforge.operators import live, reports, vectors
-from tickforge.plans import stored
+from tickforge.contracts import EVENT_CONTRACTS
+from tickforge.operators import checks, live, reports, vectors
+from tickforge.plans import market, stored
 from tickforge.plans.market import DENSE, TABLE_COLUMNS
-from tickforge.plans.queries import Market
+from tickforge.plans.queries import BATCH, Market
 from tickforge.session import scratch_path
 from tickforge.sources import folders, postings
 from tickforge.streaming import hot_state, stateful
@@ -170,3 +171,45 @@ def test_a_search_over_postings_scores_once(spark, monkeypatch):
     monkeypatch.setattr(postings, "few", lambda df, limit=vectors.BROADCAST_SLOTS, of=None: counted.append(df if of is None else of) or own(df, limit, of))
     assert index.search(asked).count() == 10
     assert counted and not any({"score", "share"} & {*df.columns} for df in counted)
+
+
+def test_events_are_numbered_once_for_their_check_and_leave_the_task_of_their_symbol(small, spark, monkeypatch, tmp_path):
+    numbered, own = [], market.market_events
+    monkeypatch.setattr(market, "market_events", lambda *args, **kw: numbered.append(args) or own(*args, **kw))
+    one = small.spark.read.parquet(f"{small.sf_dir}/events.parquet").withColumn("user_id", F.lit(5).cast("long"))
+    one.write.parquet(f"{tmp_path}/one/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = BATCH["contract_violations"](Market(spark, f"{tmp_path}/one", DENSE))
+        tasks = {r.contract: r.n for r in found.groupBy("contract", F.spark_partition_id().alias("task")).count().groupBy("contract").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(numbered) == 1
+    assert set(tasks) == set(EVENT_CONTRACTS) and min(tasks["bar_1s"], tasks["rolling_metrics"]) > 1
+
+
+TEXT = '"symbol": "A", "exchange": "X", "event_time": "2024-01-01T00:00:00Z", "ingest_time": "2024-01-01T00:00:00Z", "schema_version": "1.0", "event_type": "trade"'
+HEAD = f'"sequence_number": 1, {TEXT}'
+MARKET = {
+    f"{{{HEAD}}}": [],
+    f'{{{HEAD}, "payload": {{"price": 1.5, "size": 2}}}}': [],
+    f'{{{HEAD}, "payload": {{"a b": {{"c": [1]}}}}}}': [],
+    f'{{{HEAD}, "payload": {{"a": "b"}}, "port": {{"c": "d"}}}}': ["unknown:port"],
+    f'{{{HEAD}, "x: STRING, y": 1}}': ["unknown:x: STRING, y"],
+    f'{{{TEXT}, "sequence_number": 2.0}}': [],
+    f'{{{TEXT}, "sequence_number": 2.5}}': ["type:sequence_number"],
+    f'{{{TEXT}, "sequence_number": null}}': ["type:sequence_number"],
+    f"{{{TEXT}}}": ["required:sequence_number"],
+    f'{{{HEAD}, "symbol": "B"}}': ["malformed"],
+    "{}": ["required:event_time", "required:event_type", "required:exchange", "required:ingest_time", "required:schema_version", "required:sequence_number", "required:symbol"],
+    "null": ["malformed"],
+}
+
+
+def test_rules_are_looked_up_one_by_one_only_for_documents_that_are_not_sound(spark):
+    events = spark.createDataFrame([(text,) for text in MARKET], "value string")
+    assert {r.value: r.violations for r in checks.contract_violations(events, "market").collect()} == MARKET
+    parsed = events.withColumn("document", F.explode(F.array(F.try_parse_json("value"))))
+    sound = {r.value for r in parsed.where(checks._sound(EVENT_CONTRACTS["market"])).collect()}
+    assert sound == {text for text in list(MARKET)[:2]}
+    assert {r.value: r.v for r in parsed.withColumn("v", checks._broken(EVENT_CONTRACTS["market"], "value")).collect()} == MARKET
