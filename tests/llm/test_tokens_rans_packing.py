@@ -6,14 +6,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import documents, long_text
-from tickforge.llm import packing, rans
+from tickforge.llm import packing, rans, tokens as tokens_module
 from tickforge.llm.common import fresh_path
 from tickforge.llm.queries import queries
-from tickforge.llm.tokens import Memo, TextTokens
+from tickforge.llm.tokens import Memo, PackedMemo, TextTokens, even_parts
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ROWS = [(4, "b"), (2, "Hello, world."), (2, "Hello, world."), (None, "no id"), (7, None), (9, ""), (11, long_text(1, 30_000)), (3, "İ 日本 <|endoftext|>"), (12, "a<|endoftext|>b <|startoftext|>")]
@@ -128,3 +129,53 @@ def test_long_pieces_are_not_remembered():
         assert memo["x" * 5000] == b"x" * 5000 and memo["word"] == b"word"
     assert made.count("word") == 1 and made.count("x" * 5000) == 3
     assert sum(map(len, [*memo, *memo.old])) == 4
+
+
+def test_a_word_is_made_once_whatever_stands_around_it():
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts = ["x " + " ".join(w + sign + v for w, v in zip(words, words[k:])) for k, sign in enumerate([". ", ", ", "!! ", "\n", ".\n", " (", "12 ", ")-"])]
+    tokens, made = TextTokens(BYTES), []
+    make = tokens.pieces.make
+    tokens.pieces.make = lambda piece: made.append(piece) or make(piece)
+    found = [np.frombuffer(x, tokens.dtype).tolist() + [0] for _ in range(3) for x in tokens.encode(texts)]
+    assert found == own_ids(BYTES, texts, 0) * 3
+    assert len(made) <= 2 * len(words) + 20
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_ids_where_kinds_of_characters_meet(path, monkeypatch):
+    monkeypatch.setattr(tokens_module, "PART_BYTES", 2000)
+    draw = random.Random(5)
+    signs = ["don't", "'s", "'", "''ll", "é", "×", "a", "Zq", "ª", "12", "7", ".", "..", "(", "#'", "\n", "\n\n", " ", " ", " ", "<|", "word" * 30]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(1, 12))) for _ in range(4000)] + ["", " ", "\n", " a", "a\n", "\na"]
+    tokens = TextTokens(path)
+    tokens.pieces.size = 100
+    assert [np.frombuffer(x, tokens.dtype).tolist() + [0] for x in tokens.encode(texts)] == own_ids(path, texts, 0)
+    assert tokens.encode([]) == [] and tokens.encode([""]) == [b""]
+    tokens.apart = False
+    assert [np.frombuffer(x, tokens.dtype).tolist() + [0] for x in tokens.encode(texts)] == own_ids(path, texts, 0)
+
+
+def test_packed_memo_keeps_what_was_used_last():
+    made = []
+    memo = PackedMemo(lambda key: made.append(key) or key * 2, 10)
+    for k in range(30):
+        keys = [b"often", b"%d" % k, b"x" * 5000, b"often"]
+        assert memo.many(pa.array(keys, pa.large_binary())).to_pylist() == [key * 2 for key in keys]
+        assert len(memo.keys) == len(memo.values) == len(memo.used) <= 10
+    assert made.count(b"often") == 1 and made.count(b"x" * 5000) == 30 and len(made) == 61
+    memo.forget()
+    assert len(memo.many(pa.array([], pa.large_binary()))) == 0
+
+
+def test_parts_of_batches_are_even(monkeypatch):
+    monkeypatch.setattr(tokens_module, "PART_BYTES", 100)
+    monkeypatch.setattr(tokens_module, "PART_ROWS", 20)
+    texts = ["", "é" * 300, *["ab" * k for k in range(12)], *[""] * 50, "end"]
+    batches = [pa.record_batch([pa.array(texts[a:b], pa.string()), pa.array(range(a, b), pa.int64())], ["text", "k"]) for a, b in ((0, 3), (3, 3), (3, 40), (40, len(texts)))]
+    parts = list(even_parts(batches, 0))
+    assert [k for p in parts for k in p.column(1).to_pylist()] == list(range(len(texts)))
+    sizes = [[len(t.encode()) for t in p.column(0).to_pylist()] for p in parts]
+    assert all(0 < len(x) <= 20 and sum(x[:-1]) < 100 for x in sizes)
+    assert all(sum(x) >= 100 or len(x) == 20 for x in sizes[:-1])
+    assert list(even_parts([], 0)) == []

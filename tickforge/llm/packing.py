@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tickforge.llm.common import offsets_before, small_side, stored
-from tickforge.llm.tokens import text_tokens
+from tickforge.llm.tokens import even_parts, text_tokens
 
 WINDOW = 4096
 END_ID = 2
@@ -35,17 +35,15 @@ def document_ids(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, at = text_tokens(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], tokens.dtype).tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
-                ids = [x + end for x in tokens.encode(rows.column(1).to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64) // tokens.dtype.itemsize
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.record_batch(
-                    [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), rows.column(0), pa.array(n), pa.array(ids, pa.binary())],
-                    ["part", "local_start", "doc_id", "n", "ids"],
-                )
+        for rows in even_parts(batches, 1):
+            ids = [x + end for x in tokens.encode(rows.column(1).to_pylist())]
+            n = np.array([len(x) for x in ids], np.int64) // tokens.dtype.itemsize
+            starts = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.record_batch(
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), rows.column(0), pa.array(n), pa.array(ids, pa.binary())],
+                ["part", "local_start", "doc_id", "n", "ids"],
+            )
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(encode_texts, "part int, local_start long, doc_id long, n long, ids binary")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickforge.llm.common import drop_path, fresh_path, offsets_before, small_side, stored_at
-from tickforge.llm.tokens import text_tokens
+from tickforge.llm.tokens import even_parts, text_tokens
 
 PRECISION = 18
 LANES = 8192
@@ -193,13 +193,11 @@ def _ids(docs: DataFrame, tokenizer: str, id: str, text: str, end_id: int) -> Da
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, names = text_tokens(tokenizer), ["doc_id", "tie", "n", "ids"]
         end, sums = np.array([end_id], tokens.dtype).tobytes(), np.zeros(0, np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
-                ids = [x + end for x in tokens.encode(rows.column(2).to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64) // tokens.dtype.itemsize
-                sums = _added(sums, np.bincount(np.frombuffer(b"".join(ids), tokens.dtype)))
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n), pa.array(ids, pa.binary())], names)
+        for rows in even_parts(batches, 2):
+            ids = [x + end for x in tokens.encode(rows.column(2).to_pylist())]
+            n = np.array([len(x) for x in ids], np.int64) // tokens.dtype.itemsize
+            sums = _added(sums, np.bincount(np.frombuffer(b"".join(ids), tokens.dtype)))
+            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n), pa.array(ids, pa.binary())], names)
         none = pa.array([None], pa.int64())
         yield pa.record_batch([none, none, pa.array([-1]), pa.array([sums.astype("<i8").tobytes()], pa.binary())], names)
 

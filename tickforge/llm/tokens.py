@@ -6,8 +6,10 @@ of encoding the whole text, since tokenizers of this kind never join characters
 
 * Texts of plain Latin-1 characters are cut by Python's `re`, with the pattern's classes of
   letters and numbers written out for them. There normalization changes case alone. Where every
-  space stands between two characters that are not white space, a cut comes before each of them,
-  and what lies between two spaces is looked up as one piece.
+  space stands between two characters that are not white space, a cut comes before each of them.
+  Some megabytes of such texts are cut together at those spaces and where letters, numbers and
+  signs meet, each distinct piece is looked up once in Arrow arrays, and Arrow puts the ids in
+  the order of the pieces.
 * Other texts are cut by the pattern itself if the tokenizer does not normalize, and are
   encoded whole if it does.
 * A text that holds the string of an added token is encoded whole. With `special=False` such
@@ -21,9 +23,11 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -39,11 +43,16 @@ BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x f
 """How byte-level vocabularies write a byte: itself if it shows, else the next sign from 256 on."""
 SPACE_SIGN = chr(BYTE_CHARACTERS[ord(" ")])
 
-SIGNS = tuple(".,;:!?")
+LETTER, NUMBER, SIGN, OTHER = range(4)
+KINDS = np.array([LETTER if re.match(f"[{LATIN_LETTERS}]", c) else NUMBER if c in "0123456789" else OTHER if c in " \n'" else SIGN for c in map(chr, range(256))], np.uint8)
+"""Kinds of the plain Latin-1 characters; an apostrophe may go with the letters behind it."""
+MEET = np.array([[a != b and OTHER not in (a, b) for b in range(4)] for a in range(4)]).ravel()
 PIECES, WORDS = 500_000, 150_000
-"""Entries that each of the two generations of a memo may hold; an entry takes about 200 bytes."""
+"""Entries of the packed memo, about 50 bytes each, and of each generation of the other, about 200 bytes each."""
 LONGEST = 100
 """Characters of the longest key that a memo remembers."""
+PART_BYTES, PART_ROWS = 1 << 22, 50_000
+"""What is encoded together: so many bytes or characters of texts, and so many texts."""
 
 
 class Memo(dict):
@@ -64,6 +73,9 @@ class Memo(dict):
         self[key] = found
         return found
 
+    def many(self, keys: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        return pa.array(map(self.__getitem__, keys.to_pylist()), pa.large_binary())
+
     def new(self, keys: set[str]) -> list[str]:
         """Those keys that are not remembered, to be learned together."""
         return [key for key in keys - self.keys() if key not in self.old]
@@ -79,6 +91,40 @@ class Memo(dict):
         self.old = {}
 
 
+class PackedMemo:
+    """What `make` gives for keys that are asked for in large numbers, remembered as two Arrow arrays.
+
+    Each question goes over all that is remembered. Of more than `size` keys the half that was used last stays.
+    """
+
+    def __init__(self, make: Callable[[bytes], bytes], size: int):
+        self.make, self.size = make, size
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = self.values = pa.array([], pa.large_binary())
+        self.used, self.turn = np.zeros(0, np.int64), 0
+
+    def many(self, keys: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The value of each key."""
+        old = len(self.keys)
+        found = pa.concat_arrays([self.keys, keys]).dictionary_encode()
+        every, places = found.dictionary, found.indices[old:]
+        made = pa.array(map(self.make, every[old:].to_pylist()), pa.large_binary())
+        values = pa.concat_arrays([self.values, made])
+        out = values.take(places)
+        self.turn += 1
+        used = np.pad(self.used, (0, len(made)))
+        used[places.to_numpy()] = self.turn
+        keep = np.flatnonzero(pc.binary_length(every).to_numpy() <= LONGEST)
+        if len(keep) > self.size:
+            keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[: self.size // 2]])
+        if len(keep) < len(every):
+            every, values, used = every.take(pa.array(keep)), values.take(pa.array(keep)), used[keep]
+        self.keys, self.values, self.used = every, values, used
+        return out
+
+
 class TextTokens:
     """Ids of texts as bytes of little-endian unsigned numbers of `dtype`."""
 
@@ -98,44 +144,70 @@ class TextTokens:
         self.holds_added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
         self.words = Memo(self._word, WORDS)
         self.before = " " if " ?" in pattern else ""
-        self.pieces = Memo(self._piece, PIECES)
+        self.pieces = PackedMemo(self._piece, PIECES)
+        parts = " ab", ".,#", "\n", "Cd", "12", "(", "3", "é"
+        self.apart = self.cut_plain("".join(parts)) == [word for part in parts for word in self.cut_plain(part)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the texts are worked through about two megabytes at a time."""
+        """The ids of each text; the texts are worked through about `PART_BYTES` characters at a time."""
         out, part, size = [], [], 0
         for text in texts:
             part.append(text)
             size += len(text)
-            if size > 1 << 21:
+            if size >= PART_BYTES:
                 out += self._encode_part(part)
                 part, size = [], 0
         return out + self._encode_part(part)
 
     def _encode_part(self, texts: list[str]) -> list[bytes]:
-        return [self._text(text) for text in texts]
+        found = [self._text(text) for text in texts]
+        cut = iter(self._cut_at_spaces([x for x in found if isinstance(x, str)]))
+        return [next(cut) if isinstance(x, str) else x for x in found]
 
-    def _text(self, text: str) -> bytes:
+    def _text(self, text: str) -> bytes | str:
+        """The ids of a text, or the normalized text if it is to be cut at its spaces."""
         if self.holds_added(text):
             return self._encode_whole(text)
         if NOT_PLAIN.search(text):
             return self._looked_up(self.cut_other(text)) if self.cut_other else self._encode_whole(text)
         if self.lower:
             text = text.lower()
-        if not _spaces_stand_alone(text):
-            return self._cut_ids(text)
-        first, *rest = text.split(" ")
-        return self._cut_ids(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return text if _spaces_stand_alone(text) else self._cut_ids(text)
+
+    def _cut_at_spaces(self, texts: list[str]) -> list[bytes]:
+        starts = np.cumsum([0, *map(len, texts)])
+        data = "".join(texts).encode("latin-1")
+        cuts = self._cuts(np.frombuffer(data, np.uint8), starts)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        ids = self.pieces.many(pieces.dictionary).take(pieces.indices)
+        _, ends, joined = ids.buffers()
+        places = np.frombuffer(ends, np.int64)[np.searchsorted(cuts, starts)].tolist() if len(ids) else [0] * len(starts)
+        joined = memoryview(joined or b"")
+        return [bytes(joined[lo:hi]) for lo, hi in zip(places, places[1:])]
+
+    def _cuts(self, signs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where pieces begin, and the end: at texts, at spaces, where kinds meet, and around a line feed that has no other beside it."""
+        begins = np.zeros(len(signs) + 1, bool)
+        begins[:-1] = signs == ord(" ")
+        begins[starts] = True
+        if self.apart:
+            kinds = KINDS[signs]
+            begins[1:-1] |= MEET[kinds[:-1] * np.uint8(4) + kinds[1:]]
+            feeds = np.flatnonzero(signs == ord("\n"))
+            alone = np.diff(feeds) > 1
+            feeds = feeds[np.append(True, alone) & np.append(alone, True)] if len(feeds) else feeds
+            begins[feeds] = begins[feeds + 1] = True
+        return np.flatnonzero(begins)
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of what follows a space; most often a word, with or without a sign behind it."""
-        if piece.isalpha():
-            return self._word(self.before + piece)
-        if piece[-1:] in SIGNS and piece[:-1].isalpha():
-            return self.pieces[piece[:-1]] + self.words[piece[-1]]
-        return self._cut_ids(self.before + piece)
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of a piece in Latin-1; most often a space and a word."""
+        text = piece.decode("latin-1")
+        if text[:1] == " " and text[1:].isalpha():
+            return self._word(self.before + text[1:])
+        return self._cut_ids(text)
 
     def _cut_ids(self, text: str) -> bytes:
         words = self.cut_plain(text)
@@ -172,6 +244,23 @@ def _pattern(rule: dict) -> str:
     raise ValueError("a pre-tokenizer with a pattern is needed")
 
 
+def even_parts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, with about `PART_BYTES` of the texts in `column` and at most `PART_ROWS` in each but the last."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        ends, at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, before + PART_BYTES - size)) + 1, at + PART_ROWS - rows, batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            rows, size, at = rows + to - at, size + int(ends[to - 1]) - before, to
+            if size >= PART_BYTES or rows >= PART_ROWS:
+                yield pa.concat_batches(held)
+                held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _loaded: dict[tuple[str, bool], TextTokens] = {}
 
 
